@@ -87,3 +87,8 @@ def with_comp_key(df: DataFrame, address: str, unit: str, out: str) -> DataFrame
 def has_text(text: Column) -> Column:
     """True for text with at least one non-blank character."""
     return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
+def names_something(text: Column) -> Column:
+    """True if normalization leaves at least one word of the text."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f.,]"), F.lit(False))
