@@ -44,7 +44,8 @@ def tokens(text: Column) -> Column:
     """Lower-cased words with edge dots and commas trimmed; empty for null."""
     folded = F.lower(F.coalesce(text, F.lit("")))
     folded = F.translate(F.replace(folded, F.lit("ß"), F.lit("ss")), "ς", "σ")
-    trimmed = F.transform(F.split(folded, _SPACE), lambda t: F.btrim(t, F.lit(".,")))
+    spaced = F.regexp_replace(folded, _SPACE, " ")
+    trimmed = F.transform(F.split(spaced, " "), lambda t: F.btrim(t, F.lit(".,")))
     return F.filter(trimmed, lambda t: t != "")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,19 +117,21 @@ def price_tests(
     k: int,
     half_width_pct: float,
     horizons: Sequence[int],
+    keep: Callable[[DataFrame, str], DataFrame],
 ) -> dict[str, DataFrame]:
     """The price test of every request with a candidate rent and an anchor.
 
     ``result`` has one row per tested request with ``state`` guard or curve;
     curve columns are null under a guard. ``neighbors``, ``curve`` and
-    ``horizons`` are long tables.
+    ``horizons`` are long tables. ``keep`` materializes what several of them read.
     """
     candidates = candidate_edges(requests, edges)
-    neighbors = nearest(neighbor_pool(scored), candidates, k)
-    verdict = guard(edge_guards(candidates, neighbors))
+    neighbors = keep(nearest(neighbor_pool(scored), candidates, k), "neighbors")
+    guards = edge_guards(candidates, neighbors)
+    verdict = keep(guard(guards), "verdicts")
     trusted = verdict.where(F.col("reason").isNull()).select("request_id")
     shown = neighbors.join(trusted, "request_id", "left_semi")
-    curve = km_steps(shown, _EDGE)
+    curve = keep(km_steps(shown, _EDGE), "curves")
     curves = candidates.join(trusted, "request_id", "left_semi").select(*_EDGE, "candidate_rent")
     readouts = survival_at(curves, curve, _EDGE, horizons)
 
@@ -147,6 +149,8 @@ def price_tests(
     )
     return {
         "result": result,
+        "edge_neighbors": neighbors,
+        "edge_guards": guards,
         "neighbors": neighbor_union(neighbors),
         "curve": curve,
         "horizons": readouts,

@@ -349,3 +349,27 @@ def shaping_summary(chains: DataFrame) -> DataFrame:
         F.count_if("in_window").alias("kept"),
         F.count_if(~F.col("in_window")).alias("dropped_outside_window"),
     )
+
+
+def with_sequence(comps: DataFrame, prefix: int = 6) -> DataFrame:
+    """Add ``comp_seq``, the comp's place in its pull's fixed order.
+
+    A pull may be too large to number in one task. Comps are counted per
+    leading characters of their unit key, the counts are summed up in order,
+    and only comps that share those characters are numbered together.
+    """
+    block = F.substring("group_key", 1, prefix)
+    blocked = comps.withColumn("_block", block)
+    blocks = Window.partitionBy("pull_ref").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        blocked.groupBy("pull_ref", "_block")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(blocks), F.lit(0)))
+        .drop("_n")
+    )
+    inside = Window.partitionBy("pull_ref", "_block").orderBy("group_key", "first_listed")
+    return (
+        blocked.join(offsets, ["pull_ref", "_block"])
+        .withColumn("comp_seq", F.col("_before") + F.row_number().over(inside))
+        .drop("_block", "_before")
+    )
