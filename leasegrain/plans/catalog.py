@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasegrain.config import Knobs
-from leasegrain.operators import cohorts, curation, shaping, statistics
+from leasegrain.config import GO_THRESHOLD, Knobs
+from leasegrain.functions.dates import calendar_date
+from leasegrain.operators import cohorts, coverage, curation, planning, profile, shaping, statistics, views
 from leasegrain.operators.cohorts import EDGES
+from leasegrain.sources import bookkeeping, event_responses, responses
 from leasegrain.sources.order_listings import Workbench, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -509,3 +511,349 @@ def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     _, rejected = curation.split_requests(broken, weights)
     return rejected.select("request_id", F.array_join("errors", "; ").alias("errors"))
+
+
+# ---- raw responses and pull bookkeeping
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.parse_responses(event_responses.responses(spark, sf_dir))
+
+
+@query
+def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of usable bodies: bare arrays and envelopes, objects only."""
+    return responses.listing_records(_parsed(spark, sf_dir)).select("pull_ref", "response_status", "id")
+
+
+@query
+def unusable_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.unusable_responses(_parsed(spark, sf_dir)).select("pull_ref", "event_id", "body")
+
+
+@query
+def response_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = event_responses.responses(spark, sf_dir)
+    return named.select("event_id", "sig", "status", "year", "page_offset")
+
+
+@query
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.stored_index(_parsed(spark, sf_dir))
+
+
+@query
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing records through JSON bodies and back: nothing is lost."""
+    records = Workbench(spark, sf_dir).records()
+    fields = [c for c in records.columns if c != "pull_ref"]
+    bodies = records.select(
+        "pull_ref", F.concat(F.lit("["), F.to_json(F.struct(*fields)), F.lit("]")).alias("body"), F.lit("Active").alias("status")
+    )
+    back = responses.listing_records(responses.parse_responses(bodies))
+    return back.groupBy("pull_ref", "propertyType").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.round(F.sum("price"), 2).alias("price_sum"),
+        F.count_if(F.col("history").isNotNull()).alias("with_history"),
+        F.count("squareFootage").alias("with_sqft"),
+    )
+
+
+@query
+def window_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir)
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.reconcile(
+        event_responses.planned(spark, sf_dir),
+        event_responses.recorded(spark, sf_dir),
+        coverage.stored_index(_parsed(spark, sf_dir)),
+    )
+
+
+@query
+def window_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = coverage.stored_index(_parsed(spark, sf_dir))
+    return coverage.corroborate(event_responses.recorded(spark, sf_dir), stored)
+
+
+@query
+def pull_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = coverage.pull_gaps(_reconciled(spark, sf_dir))
+    return gaps.withColumn("missing", F.array_join("missing", ","))
+
+
+@query
+def observation_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.observation_dates(
+        event_responses.pulls(spark, sf_dir),
+        event_responses.manifests(spark, sf_dir),
+        event_responses.responses(spark, sf_dir),
+    )
+
+
+@query
+def truncated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.truncation(_parsed(spark, sf_dir))
+
+
+@query
+def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = event_responses.manifests(spark, sf_dir).select("pull_ref")
+    gaps = coverage.pull_gaps(_reconciled(spark, sf_dir)).join(known, "pull_ref", "left_semi")
+    return coverage.cache_status(event_responses.pulls(spark, sf_dir).select("pull_ref"), gaps)
+
+
+@query
+def monthly_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.monthly_calls(event_responses.calls(spark, sf_dir))
+
+
+@query
+def affordable_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owed = coverage.pull_gaps(_reconciled(spark, sf_dir)).join(
+        event_responses.pulls(spark, sf_dir).select(
+            "pull_ref", F.col("user_id").alias("account"), F.date_format("today", "yyyy-MM").alias("month")
+        ),
+        "pull_ref",
+    )
+    budgets = coverage.monthly_calls(event_responses.calls(spark, sf_dir))
+    judged = coverage.affordable(owed, budgets)
+    return judged.select("pull_ref", "account", "calls_to_complete", "remaining", "refused")
+
+
+@query
+def evidence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.evidence_digests(
+        event_responses.responses(spark, sf_dir), event_responses.manifests(spark, sf_dir)
+    )
+
+
+@query
+def changed_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulls that a later batch of responses changes."""
+    stored = event_responses.responses(spark, sf_dir)
+    noted = event_responses.manifests(spark, sf_dir)
+    before = coverage.evidence_digests(stored.where(F.col("total_count").isNotNull()), noted)
+    return coverage.changed_pulls(coverage.evidence_digests(stored, noted), before).select("pull_ref")
+
+
+@query
+def latest_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bookkeeping.latest_workspaces(event_responses.workspace_versions(spark, sf_dir))
+
+
+@query
+def workspace_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = bookkeeping.latest_workspaces(event_responses.workspace_versions(spark, sf_dir))
+    listed = bookkeeping.list_workspaces(bookkeeping.parse_workspaces(latest))
+    return listed.select("key", "saved_at", F.col("state.pull_ref").alias("pull_ref"), "error")
+
+
+@query
+def recent_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = bookkeeping.latest_workspaces(event_responses.workspace_versions(spark, sf_dir))
+    rows = bookkeeping.parse_workspaces(latest).select("key", F.col("state.pull_ref").alias("pull_ref"), "error")
+    return coverage.recents(
+        rows, event_responses.manifests(spark, sf_dir), event_responses.responses(spark, sf_dir)
+    )
+
+
+# ---- searches
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.normalize_searches(event_responses.searches(spark, sf_dir))
+
+
+@query
+def search_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).select(
+        "search_id",
+        "address",
+        F.round("radius", 6).alias("radius"),
+        "years_back",
+        "window_start",
+        "window_end",
+        F.array_join("property_types", "|").alias("property_types"),
+        F.array_join("errors", "; ").alias("errors"),
+        F.array_join("warnings", "; ").alias("warnings"),
+    )
+
+
+@query
+def bed_bath_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).select(
+        "search_id",
+        F.col("bed.lo").alias("bed_lo"),
+        F.col("bed.hi").alias("bed_hi"),
+        F.col("bed.error").alias("bed_error"),
+        F.col("bath.lo").alias("bath_lo"),
+        F.col("bath.hi").alias("bath_hi"),
+        F.col("bath.error").alias("bath_error"),
+    )
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.plan_windows(planning.valid_searches(_normalized(spark, sf_dir)))
+
+
+@query
+def season_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).select(
+        "search_id", "year", "status", "opens", "closes", "days_old_min", "days_old_max", "fetchable"
+    )
+
+
+@query
+def fetchable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.fetchable_windows(_windows(spark, sf_dir)).select("search_id", "sig", "label")
+
+
+@query
+def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = planning.plan_costs(_windows(spark, sf_dir))
+    return costs.withColumns(
+        {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("cohorts", "fetchable_cohorts")}
+    )
+
+
+@query
+def search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = planning.valid_searches(_normalized(spark, sf_dir))
+    return valid.select("search_id", planning.search_key().alias("pull_ref"))
+
+
+@query
+def selected_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings within radius, size, type, status and age of each search."""
+    valid = planning.valid_searches(_normalized(spark, sf_dir))
+    listings = Workbench(spark, sf_dir).records().select(
+        F.col("id").alias("listing_id"),
+        F.col("latitude").alias("lat"),
+        F.col("longitude").alias("lng"),
+        F.col("bedrooms").alias("beds"),
+        F.col("bathrooms").alias("baths"),
+        F.col("propertyType").alias("property_type"),
+        "status",
+        calendar_date(F.col("listedDate")).alias("listed"),
+    )
+    found = planning.select_listings(valid, planning.plan_windows(valid), listings)
+    return rounded(found.select("search_id", "year", "status", "listing_id", "distance_mi"), "distance_mi")
+
+
+def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = Workbench(spark, sf_dir)
+    plans = bench.pulls().select(
+        F.col("pull_ref").alias("search_id"),
+        F.col("as_of").alias("today"),
+        "window_start",
+        "window_end",
+        F.lit(3).alias("years_back"),
+    )
+    windows = planning.plan_windows(plans).where(F.col("status") == "Active")
+    return planning.padded_matches(bench.records(), windows.withColumnRenamed("search_id", "pull_ref"))
+
+
+@query
+def padded_window_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.window_checks(_padded(spark, sf_dir))
+
+
+@query
+def window_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.window_yields(_padded(spark, sf_dir))
+
+
+@query
+def coverage_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.coverage_verdicts(_padded(spark, sf_dir), GO_THRESHOLD)
+
+
+@query
+def empty_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a one-day season leaves a pull without comps."""
+    bench = Workbench(spark, sf_dir)
+    number = F.split_part("pull_ref", F.lit("-"), F.lit(2)).cast("int")
+    day = F.when(number % 2 == 0, "02-29").otherwise("06-15")
+    narrow = bench.pulls().withColumns({"window_start": day, "window_end": day})
+    summary = shaping.shape(bench.records(), narrow).summary
+    gaps = narrow.select("pull_ref", (number % 3 != 0).alias("complete"))
+    asked = narrow.select(
+        "pull_ref", (number % 7 * 12.5).alias("radius"), (number % 5 + 1).cast("int").alias("years_back")
+    )
+    return coverage.empty_results(summary, gaps, asked)
+
+
+@query
+def pull_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = Workbench(spark, sf_dir).records()
+    return rounded(profile.profile(records, shaping.with_identity(records)), "value")
+
+
+# ---- view rules
+
+
+@query
+def visible_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.visible(_scored(spark, sf_dir, "state"))
+
+
+@query
+def filtered_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.filtered_out(_scored(spark, sf_dir, "state"))
+
+
+@query
+def weights_after_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = Workbench(spark, sf_dir).scored()
+    return views.select_all(Workbench(spark, sf_dir).weights(), scored)
+
+
+@query
+def weights_after_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = Workbench(spark, sf_dir).scored()
+    return views.select_none(Workbench(spark, sf_dir).weights(), scored)
+
+
+@query
+def included_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and overrides after every filtered comp is included by hand."""
+    bench = Workbench(spark, sf_dir)
+    scored, _ = bench.scored()
+    weights, overrides = views.include_comps(
+        bench.weights(), bench.overrides(), scored, views.filtered_out(scored)
+    )
+    return overrides.withColumn("override", F.lit(True)).join(weights, ["request_id", "comp_key"], "full")
+
+
+@query
+def outcome_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = shaping.with_row_dates(Workbench(spark, sf_dir).comps())
+    return dated.select("pull_ref", "comp_key", views.outcome_text().alias("outcome"))
+
+
+@query
+def dominant_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = Workbench(spark, sf_dir).scored()
+    shared = curation.contribution_shares(scored)
+    return shared.select("request_id", "comp_key", views.dominates(F.col("contribution_share") * 200).alias("dominant"))
+
+
+@query
+def map_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = Workbench(spark, sf_dir)
+    scored, _ = bench.scored()
+    return rounded(views.map_frames(scored, bench.requests()), "south", "north", "west", "east")
+
+
+@query
+def comp_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comps = Workbench(spark, sf_dir).comps()
+    return comps.select(
+        "pull_ref",
+        "comp_key",
+        views.listing_link(F.concat(F.col("address"), F.lit(" & Söhne"))).alias("listing_link"),
+        views.street_link(F.col("lat"), F.col("lng")).alias("street_link"),
+    )
