@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leasegrain.config import KnobError, Knobs
 from leasegrain.functions.dates import calendar_date
@@ -93,7 +94,7 @@ def latest_workspaces(versions: DataFrame) -> DataFrame:
 
 def parse_workspaces(versions: DataFrame) -> DataFrame:
     """Add the parsed ``state`` and ``error``; a bad document keeps its row."""
-    schema = WORKSPACE.add("_corrupt_record", "string")
+    schema = T.StructType([*WORKSPACE.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = F.from_json("document", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     negative = F.exists(F.map_values("state.weights"), lambda w: w < 0)
     error = (

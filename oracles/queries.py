@@ -223,9 +223,168 @@ SELECTS: dict[str, str] = {
                    CASE WHEN s % 9 = 0 THEN 'maximum distance must not be negative' END,
                    CASE WHEN s % 8 = 0 THEN 'weights must be non-negative' END) AS errors
           FROM requests) WHERE errors <> ''""",
+    # ---- responses and bookkeeping
+    "response_records": """
+        SELECT pull_ref, CASE WHEN contains(sig, 'inactive') THEN 'Inactive' ELSE 'Active' END AS response_status,
+               'e' || event_id AS id FROM resp WHERE n_records = 1""",
+    "unusable_responses": "SELECT pull_ref, event_id, body FROM resp WHERE NOT usable",
+    "response_names": """
+        SELECT event_id, sig, CASE WHEN contains(sig, 'inactive') THEN 'Inactive' ELSE 'Active' END AS status,
+               CAST(sig[2:5] AS INTEGER) AS year, event_id AS page_offset FROM resp""",
+    "stored_windows": "SELECT pull_ref, sig, filed, held FROM stores",
+    "listing_pages": """
+        SELECT pull_ref, property_type AS "propertyType", count(*) AS records, round(sum(price), 2) AS price_sum,
+               count(*) FILTER (has_history) AS with_history, count(sqft) AS with_sqft FROM all_records GROUP BY ALL""",
+    "window_reconciliation": "SELECT pull_ref, sig, label, satisfied, owed, error FROM judged",
+    "window_corroboration": "SELECT pull_ref, sig, label, satisfied, owed, error FROM judged WHERE mark < 2",
+    "pull_gaps": "SELECT pull_ref, missing, calls_to_complete, complete FROM gaps",
+    "observation_dates": """
+        SELECT pull_ref, least(today, coalesce(m.as_of, filed, today)) AS as_of
+        FROM event_pulls LEFT JOIN event_manifests m USING (pull_ref)
+        LEFT JOIN (SELECT pull_ref, max(CAST(ts AS DATE)) AS filed FROM resp GROUP BY ALL) USING (pull_ref)""",
+    "truncated_windows": """
+        SELECT pull_ref, sig, sum(n_records)::BIGINT AS fetched, max(total_count) AS total_count,
+               coalesce(sum(n_records) >= max(total_count), true) AS complete,
+               coalesce(greatest(0, max(total_count) - sum(n_records)), 0)::BIGINT AS missing_records
+        FROM resp GROUP BY ALL""",
+    "cache_states": """
+        SELECT pull_ref, CASE WHEN m.as_of IS NULL THEN 'miss' WHEN complete THEN 'hit' ELSE 'stale' END AS cache_status
+        FROM event_pulls LEFT JOIN event_manifests m USING (pull_ref) LEFT JOIN gaps USING (pull_ref)""",
+    "monthly_calls": """
+        SELECT user_id AS account, strftime(ts, '%Y-%m') AS month, count(*) AS calls, greatest(0, 50 - count(*)) AS remaining
+        FROM events GROUP BY ALL""",
+    "affordable_pulls": """
+        SELECT pull_ref, user_id AS account, calls_to_complete, remaining, calls_to_complete > remaining AS refused
+        FROM gaps JOIN event_pulls USING (pull_ref)
+        JOIN (SELECT user_id, greatest(0, 50 - count(*)) AS remaining FROM events GROUP BY ALL) USING (user_id)""",
+    "evidence_digests": """
+        SELECT pull_ref, sha256(concat_ws('|', coalesce(noted, '-'), coalesce(files, '-'))) AS digest
+        FROM (SELECT pull_ref, CAST(as_of AS VARCHAR) || ':06-01:06-16' AS noted FROM event_manifests)
+        FULL JOIN (SELECT pull_ref, concat_ws(':', CAST(count(*) AS VARCHAR),
+                     CAST(sum(CAST('0x' || h[1:15] AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || h[16:30] AS BIGINT)) AS VARCHAR),
+                     CAST(sum(CAST('0x' || h[31:45] AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || h[46:60] AS BIGINT)) AS VARCHAR)) AS files
+                   FROM (SELECT pull_ref, sha256(file_name || ':' || sha256(body)) AS h FROM resp) GROUP BY ALL) USING (pull_ref)""",
+    "changed_pulls": "SELECT DISTINCT pull_ref FROM resp WHERE total_count IS NULL",
+    "latest_workspaces": "SELECT key, saved_at, document FROM saves",
+    "workspace_list": "SELECT key, saved_at, pull_ref, error FROM saves",
+    "recent_searches": """
+        SELECT key, pull_ref, coalesce(error, lost) AS error, coalesce(error, lost) IS NOT NULL AS offer_refresh
+        FROM (SELECT key, pull_ref, error,
+                     CASE WHEN pull_ref IS NULL OR pull_ref NOT IN (SELECT pull_ref FROM event_manifests)
+                            OR pull_ref NOT IN (SELECT pull_ref FROM resp) THEN 'evidence missing' END AS lost FROM saves)""",
+    # ---- searches
+    "search_validation": """
+        SELECT s AS search_id, address, round(radius, 6) AS radius, years_back, window_start, window_end, property_types,
+               errors, warnings FROM judged_searches""",
+    "bed_bath_ranges": """
+        SELECT s AS search_id, [2.0::DOUBLE, 1, 0, NULL, NULL, 2][s % 6 + 1] AS bed_lo, [2.0::DOUBLE, 3, 1, NULL, NULL, 3][s % 6 + 1] AS bed_hi,
+               CASE s % 6 WHEN 3 THEN 'bedrooms: range is backwards' WHEN 4 THEN 'bedrooms: must be whole' END AS bed_error,
+               [NULL, NULL, 1.0::DOUBLE, 1.5, 1][s % 5 + 1] AS bath_lo, [NULL, NULL, 1.5::DOUBLE, 1.5, NULL][s % 5 + 1] AS bath_hi,
+               CAST(NULL AS VARCHAR) AS bath_error FROM supplier, LATERAL (SELECT s_suppkey AS s)""",
+    "season_plan": """
+        SELECT s AS search_id, year, status, opens, closes, days_old_min, days_old_max, fetchable FROM planned_searches""",
+    "fetchable_windows": """
+        SELECT s AS search_id, 'y' || year || '-' || lower(status) AS sig, year || ' ' || status AS label
+        FROM planned_searches WHERE fetchable""",
+    "plan_costs": """
+        SELECT s AS search_id, count(*) FILTER (fetchable) AS estimated_calls,
+               coalesce(string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR) DESC), '') AS cohorts,
+               coalesce(string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR) DESC) FILTER (fetchable), '') AS fetchable_cohorts
+        FROM planned_searches GROUP BY ALL""",
+    "search_keys": """
+        SELECT s AS search_id, sha256(concat_ws(';', lower(regexp_replace(address, '\\s+', ' ', 'g')),
+                 CAST(CAST(round(radius * 1000000) AS BIGINT) AS VARCHAR), bedrooms, coalesce(bathrooms, '-'), property_types,
+                 CAST(years_back AS VARCHAR), window_start, window_end)) AS pull_ref
+        FROM sound_searches""",
+    "selected_listings": """
+        SELECT s AS search_id, year, 'Inactive' AS status, id AS listing_id, round(d, 6) AS distance_mi
+        FROM (SELECT p.*, o.id, 2 * 3958.7613::DOUBLE * asin(sqrt(least(1.0::DOUBLE,
+                       pow(sin((radians(lat) - radians(center_lat)) / 2), 2)
+                       + cos(radians(center_lat)) * cos(radians(lat)) * pow(sin(radians(lng - center_lng) / 2), 2)))) AS d
+              FROM planned_searches p JOIN base_orders o
+                ON status = 'Inactive' AND fetchable AND o.k % 13 <> 0
+               AND p.today - o.listed BETWEEN days_old_min AND days_old_max
+               AND beds BETWEEN [2.0::DOUBLE, 1, 0, NULL, NULL, 2][s % 6 + 1] AND [2.0::DOUBLE, 3, 1, NULL, NULL, 3][s % 6 + 1]
+               AND CASE s % 5 WHEN 2 THEN coalesce(baths BETWEEN 1 AND 1.5, false) WHEN 3 THEN coalesce(baths = 1.5, false)
+                              WHEN 4 THEN coalesce(baths >= 1, false) ELSE true END
+               AND contains('|' || property_types || '|', '|' || ['Apartment', 'Single Family', 'Condo', 'Townhouse', 'Multi-Family'][o.u % 5 + 1] || '|'))
+        WHERE d <= radius""",
+    "padded_window_checks": """
+        SELECT pull_ref, year, count(*) FILTER (in_window) AS in_window, count(*) FILTER (NOT in_window) AS out_of_window,
+               bool_and(in_window) AS ok FROM padded GROUP BY ALL""",
+    "window_yields": """
+        SELECT pull_ref, year, count(DISTINCT listing_name) AS listings FROM padded WHERE in_window GROUP BY ALL""",
+    "coverage_verdicts": """
+        SELECT pull_ref, count(DISTINCT listing_name) FILTER (in_window) AS in_window_listings,
+               CASE WHEN count(DISTINCT listing_name) FILTER (in_window) >= 15 THEN 'GO' ELSE 'NO-GO' END AS verdict
+        FROM padded GROUP BY ALL""",
+    "empty_results": """
+        SELECT pull_ref, kept, dropped_outside_window,
+               CASE WHEN kept > 0 THEN NULL WHEN dropped_outside_window > 0 THEN 'date window' ELSE 'radius, beds or types' END AS "constraint",
+               n % 3 = 0 AS has_gap, least(100.0::DOUBLE, n % 7 * 25.0::DOUBLE) AS wider_radius,
+               CAST(least(5, n % 5 + 2) AS INTEGER) AS more_years
+        FROM (SELECT pull_ref, CAST(split_part(pull_ref, '-', 2) AS INTEGER) AS n,
+                     count(*) FILTER (hit) AS kept, count(*) FILTER (NOT hit) AS dropped_outside_window
+              FROM (SELECT pull_ref, month(first_listed) * 100 + day(first_listed)
+                           = CASE WHEN CAST(split_part(pull_ref, '-', 2) AS INTEGER) % 2 = 0 THEN 229 ELSE 615 END AS hit
+                    FROM pulls LEFT JOIN chains USING (pull_ref)) GROUP BY ALL)""",
+    "pull_profile": """
+        SELECT 'history events' AS report, CASE WHEN has_history THEN '2' ELSE '0' END AS item, count(*)::DOUBLE AS value FROM all_records GROUP BY ALL
+        UNION ALL SELECT 'gap days', 'over 180', count(*)::DOUBLE FROM all_records WHERE has_history
+        UNION ALL SELECT 'property type', property_type || ' / ' || status, count(*)::DOUBLE FROM all_records GROUP BY ALL
+        UNION ALL SELECT 'missing share', item, round(value, 6) FROM (
+          UNPIVOT (SELECT 0.0::DOUBLE AS price, 0.0::DOUBLE AS "listedDate", 0.0::DOUBLE AS bedrooms, avg((baths IS NULL)::INT) AS bathrooms,
+                          avg((removed_text IS NULL)::INT) AS "removedDate", avg((NOT has_history)::INT) AS history,
+                          avg((sqft IS NULL)::INT) AS "squareFootage", 1.0::DOUBLE AS "yearBuilt" FROM all_records)
+          ON COLUMNS(*) INTO NAME item VALUE value)
+        UNION ALL SELECT 'duplicate addresses', 'units', count(*)::DOUBLE
+          FROM (SELECT 1 FROM all_records GROUP BY pull_ref, own_key HAVING count(*) > 1)
+        UNION ALL SELECT 'extremes', item, round(value, 6) FROM (
+          UNPIVOT (SELECT min(price) AS "price min", max(price) AS "price max",
+                          min(price / sqft) FILTER (sqft > 0) AS "price per sqft min",
+                          max(price / sqft) FILTER (sqft > 0) AS "price per sqft max" FROM all_records)
+          ON COLUMNS(*) INTO NAME item VALUE value)""",
+    # ---- view rules
+    "visible_comps": "SELECT request_id, comp_key, state FROM curated WHERE state <> 'filtered'",
+    "filtered_comps": "SELECT request_id, comp_key, state FROM curated WHERE state = 'filtered'",
+    "weights_after_all": """
+        SELECT request_id, comp_key, CASE WHEN state <> 'filtered' AND psf IS NOT NULL THEN 1.0::DOUBLE ELSE weight END AS weight
+        FROM curated JOIN asked USING (request_id, comp_key)
+        WHERE asked_for OR (state <> 'filtered' AND psf IS NOT NULL)""",
+    "weights_after_none": """
+        SELECT request_id, comp_key, CASE WHEN state <> 'filtered' THEN 0.0::DOUBLE ELSE weight END AS weight
+        FROM curated JOIN asked USING (request_id, comp_key) WHERE asked_for OR state <> 'filtered'""",
+    "included_by_hand": """
+        SELECT request_id, comp_key,
+               CASE WHEN overridden OR state = 'filtered' THEN true END AS override,
+               CASE WHEN state = 'filtered' AND weight <= 0 THEN 1.0::DOUBLE WHEN asked_for THEN weight END AS weight
+        FROM curated JOIN asked USING (request_id, comp_key)
+        WHERE overridden OR state = 'filtered' OR asked_for""",
+    "outcome_texts": """
+        SELECT pull_ref, comp_key,
+               CASE WHEN censored THEN 'active ' || effective_dom || '+ days'
+                    WHEN removal_class = 'confirmed' THEN 'leased ' || effective_dom || ' days'
+                    WHEN removal_class = 'provisional' THEN 'leased ' || effective_dom || ' days · provisional'
+                    ELSE 'removed ' || (as_of - chain_end) || ' days ago — classifying' END AS outcome FROM comps""",
+    "dominant_comps": """
+        SELECT request_id, comp_key, coalesce(included AND total > 0 AND weight / total * 200 > 0.4, false) AS dominant
+        FROM (SELECT *, sum(weight) FILTER (included) OVER (PARTITION BY request_id) AS total FROM curated)""",
+    "map_frames": """
+        SELECT request_id, round(s - (n - s) * 0.08, 6) AS south, round(n + (n - s) * 0.08, 6) AS north,
+               round(w - (e - w) * 0.08, 6) AS west, round(e + (e - w) * 0.08, 6) AS east
+        FROM (SELECT request_id, least(subject_lat, min(lat)) AS s, greatest(subject_lat, max(lat)) AS n,
+                     least(subject_lng, min(lng)) AS w, greatest(subject_lng, max(lng)) AS e
+              FROM curated WHERE NOT (lat = 0 AND lng = 0) GROUP BY request_id, subject_lat, subject_lng)""",
+    "comp_links": """
+        SELECT pull_ref, comp_key,
+               'https://www.zillow.com/homes/' || replace(replace(replace(regexp_replace(trim(address || ' & Söhne'), '\\s+', '-', 'g'),
+                 '&', '%26'), ',', '%2C'), 'ö', '%C3%B6') || '_rb/' AS listing_link,
+               'https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=' || printf('%.4f,%.4f', lat, lng) AS street_link
+        FROM comps""",
 }
 
 EXTRA: dict[str, str] = {
+    "asked": "SELECT request_id, comp_key, (s + CAST(split_part(comp_key, ' ', 1) AS BIGINT)) % 3 = 0 AS asked_for FROM curated",
     "pull_curves": """
         SELECT pull_ref, day, truncated_at,
                product(1.0::DOUBLE - events / at_risk) OVER (PARTITION BY pull_ref ORDER BY day) AS survival

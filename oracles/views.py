@@ -23,6 +23,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 23 <> 0
                     THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey * 37 % 200 + 1 AS INTEGER) END AS removed,
                o_totalprice AS price,
+               o_custkey || CASE o_orderkey % 3 WHEN 0 THEN ' West Oak Street' WHEN 1 THEN ' W. Oak St' ELSE '  w oak street,' END AS street,
+               o_custkey || ' West Oak Street Rear' AS rear_street,
                CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey % 5 AS VARCHAR) END AS unit,
                o_custkey || ' w oak st|' || CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey % 5 AS VARCHAR) ELSE '' END AS front_key,
                o_custkey || ' w oak st rear|' || CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey % 5 AS VARCHAR) ELSE '' END AS rear_key,
@@ -36,16 +38,16 @@ VIEWS: dict[str, str] = {
     "named_orders": "SELECT * FROM base_orders WHERE k % 251 <> 0",
     "observed": """
         SELECT pull_ref, id, front_key AS own_key, CASE WHEN k % 499 <> 0 THEN listed END AS listed,
-               removed, price, unit, lat, lng, beds, baths, sqft
+               removed, price, unit, lat, lng, beds, baths, sqft, street AS address
         FROM named_orders
         UNION ALL
-        SELECT pull_ref, id, front_key, listed, removed, price, unit, lat, lng, beds, baths, sqft
+        SELECT pull_ref, id, front_key, listed, removed, price, unit, lat, lng, beds, baths, sqft, street
         FROM named_orders WHERE k % 5 = 0
         UNION ALL
-        SELECT pull_ref, id, front_key, listed - 400, listed - 350, price - 50.0::DOUBLE, unit, lat, lng, beds, baths, sqft
+        SELECT pull_ref, id, front_key, listed - 400, listed - 350, price - 50.0::DOUBLE, unit, lat, lng, beds, baths, sqft, street
         FROM named_orders WHERE k % 5 = 0
         UNION ALL
-        SELECT pull_ref, id, rear_key, listed, NULL, price + 100.0::DOUBLE, unit, 0.0::DOUBLE, 0.0::DOUBLE, beds, NULL, NULL
+        SELECT pull_ref, id, rear_key, listed, NULL, price + 100.0::DOUBLE, unit, 0.0::DOUBLE, 0.0::DOUBLE, beds, NULL, NULL, rear_street
         FROM base_orders WHERE k % 11 = 0""",
     "grouped": """
         SELECT *, CASE WHEN id IS NULL THEN own_key ELSE min(own_key) OVER (PARTITION BY pull_ref, id) END AS group_key
@@ -84,7 +86,7 @@ VIEWS: dict[str, str] = {
                CAST(count(*) - 1 AS INTEGER) AS relist_count,
                CAST(coalesce(sum(off_market) FILTER (NOT starts_chain), 0) AS INTEGER) AS gap_days,
                CAST(count(*) FILTER (NOT starts_chain AND price < previous_price) AS INTEGER) AS cut_count,
-               arg_max(own_key, listed) AS base_key,
+               arg_max(own_key, listed) AS base_key, arg_max(address, listed) AS address,
                coalesce(arg_max(lat, listed) FILTER (lat <> 0 AND lng <> 0), arg_max(lat, listed)) AS lat,
                coalesce(arg_max(lng, listed) FILTER (lat <> 0 AND lng <> 0), arg_max(lng, listed)) AS lng,
                arg_max(beds, listed) AS beds,
@@ -233,10 +235,112 @@ VIEWS: dict[str, str] = {
         SELECT request_id, edge, sum(survival * greatest(0, least(next_day, limit_day) - day)) AS days
         FROM (SELECT *, lead(day, 1, 1000000) OVER (PARTITION BY request_id, edge ORDER BY step) AS next_day FROM stairs)
         JOIN limits USING (request_id) WHERE day < limit_day OR limit_day <= 0 GROUP BY ALL""",
+    # ---- events as responses, manifests and calls
+    "ev": """
+        SELECT event_id, user_id, ts, event_type, 'u' || user_id || '-' || day(ts) AS pull_ref, CAST(day(ts) AS INTEGER) AS day_no,
+               CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""",
+    "resp": """
+        SELECT *, sig || '-off' || CASE WHEN event_id < 1000 THEN lpad(CAST(event_id AS VARCHAR), 3, '0') ELSE CAST(event_id AS VARCHAR) END || '.json' AS file_name,
+               event_id % 9 NOT IN (0, 1) AS usable, CASE WHEN event_id % 9 <= 2 THEN 0 ELSE 1 END AS n_records,
+               CASE WHEN event_id % 3 <> 0 THEN k % 3 END AS total_count,
+               CASE event_id % 9 WHEN 0 THEN '{"listings": [' WHEN 1 THEN '{"data": []}' WHEN 2 THEN '[]'
+                    WHEN 3 THEN '{"listings": [{"id":"e' || event_id || '"}, 7]}'
+                    ELSE '[{"id":"e' || event_id || '"}]' END AS body
+        FROM (SELECT *, CASE event_type WHEN 'click' THEN 'y2024-active' WHEN 'view' THEN 'y2024-inactive'
+                        WHEN 'purchase' THEN 'y2023-active' WHEN 'signup' THEN 'y2023-inactive' END AS sig FROM ev)
+        WHERE sig IS NOT NULL""",
+    "event_pulls": "SELECT DISTINCT pull_ref, user_id, day_no, make_date(2024, 1, least(20, day_no)) AS today FROM ev",
+    "event_windows": """
+        SELECT pull_ref, user_id, day_no, place, sig, label, (user_id + day_no + place) % 3 AS mark
+        FROM event_pulls, (VALUES (0, 'y2024-active', '2024 Active'), (1, 'y2024-inactive', '2024 Inactive'),
+                                  (2, 'y2023-active', '2023 Active'), (3, 'y2023-inactive', '2023 Inactive')) AS w(place, sig, label)""",
+    "event_manifests": """
+        SELECT pull_ref, make_date(2024, 1, day_no) AS as_of FROM event_pulls WHERE user_id % 4 <> 0""",
+    "stores": "SELECT pull_ref, sig, true AS filed, bool_or(usable) AS held FROM resp GROUP BY ALL",
+    "judged": """
+        SELECT pull_ref, sig, label, mark,
+               coalesce(held, false) AND mark <> 1 AS satisfied,
+               CASE WHEN mark = 0 AND NOT coalesce(held, false) THEN NOT coalesce(filed, false)
+                    WHEN mark = 0 THEN false WHEN mark = 1 THEN true ELSE NOT coalesce(held, false) END AS owed,
+               CASE WHEN mark = 1 THEN 'HTTP 500' WHEN coalesce(held, false) THEN NULL
+                    WHEN mark = 2 THEN 'not fetched'
+                    WHEN filed THEN 'the stored response cannot be read as listings; fetching it again returns the same bytes'
+                    ELSE 'the response that answered this window is no longer stored' END AS error
+        FROM event_windows LEFT JOIN stores USING (pull_ref, sig)""",
+    "gaps": """
+        SELECT pull_ref, coalesce(string_agg(label, ',' ORDER BY label) FILTER (NOT satisfied), '') AS missing,
+               count(*) FILTER (owed) AS calls_to_complete, bool_and(satisfied) AS complete
+        FROM judged GROUP BY ALL""",
+    "saves": """
+        SELECT * EXCLUDE (place) FROM (
+          SELECT 'u' || user_id AS key, ts AS saved_at, event_id,
+                 CASE WHEN event_id % 7 >= 2 THEN pull_ref END AS pull_ref,
+                 CASE event_id % 7 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'negative weight' END AS error,
+                 CASE WHEN event_id % 7 = 0 THEN '{broken' WHEN event_id % 7 = 1 THEN '{"drift_pct": 7.0}'
+                      ELSE '{"pull_ref":"' || pull_ref || '","subject":{"sqft":900},"weights":{"a|":'
+                           || CASE WHEN event_id % 7 = 2 THEN '-1' ELSE '2' END || '}}' END AS document,
+                 row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS place
+          FROM ev) WHERE place = 1""",
+    # ---- searches
+    "typed": """
+        SELECT s_suppkey AS s, DATE '2001-08-01' AS today,
+               CASE WHEN s_suppkey % 23 <> 0 THEN s_suppkey || '  West OAK Street' END AS address,
+               41.8::DOUBLE + s_suppkey * 37 % 1000 / 10000.0::DOUBLE AS center_lat,
+               -87.7::DOUBLE + s_suppkey * 53 % 777 / 10000.0::DOUBLE AS center_lng,
+               CASE WHEN s_suppkey % 17 = 0 THEN 0.0::DOUBLE WHEN s_suppkey % 19 = 0 THEN 150.0::DOUBLE
+                    WHEN s_suppkey % 97 = 0 THEN 40.0::DOUBLE
+                    WHEN s_suppkey % 5 <> 4 THEN (s_suppkey % 4 + 1) / 10.0::DOUBLE ELSE 1.0::DOUBLE END AS radius,
+               ['2', '1-3', '0-1', '3-1', '1.5', '2:3'][s_suppkey % 6 + 1] AS bedrooms,
+               [NULL, NULL, '1-1.5', '1.5', '1:*'][s_suppkey % 5 + 1] AS bathrooms,
+               CASE WHEN s_suppkey % 7 = 0 THEN ''
+                    ELSE ['Apartment|Condo', 'Apartment|Multi-Family|Townhouse|Single Family', 'Multi-Family|Apartment|Townhouse'][s_suppkey % 3 + 1] END AS property_types,
+               CAST(CASE WHEN s_suppkey % 11 = 0 THEN 6 WHEN s_suppkey % 4 <> 0 THEN 1 + s_suppkey % 5 ELSE 2 END AS INTEGER) AS years_back,
+               ['07-17', '06-01', '11-15', '02-29', '02-30', '01-01', '04-15', '13-01'][s_suppkey % 8 + 1] AS window_start,
+               ['08-16', '06-16', '02-15', '03-10', '03-10', '12-31', '05-20', '02-01'][s_suppkey % 8 + 1] AS window_end
+        FROM supplier""",
+    "judged_searches": """
+        SELECT *, concat_ws('; ', CASE WHEN s % 23 = 0 THEN 'address: required' END,
+                 CASE WHEN s % 29 = 0 THEN 'sqft: required' END,
+                 CASE s % 6 WHEN 3 THEN 'bedrooms: range is backwards' WHEN 4 THEN 'bedrooms: must be whole' END,
+                 CASE WHEN radius <= 0 THEN 'radius: must be positive' WHEN radius > 100 THEN 'radius: at most 100' END,
+                 CASE WHEN s % 8 IN (4, 7) THEN 'window_start: not a month and day' END,
+                 CASE WHEN s % 11 = 0 THEN 'years_back: 1 to 5' END,
+                 CASE WHEN s % 7 = 0 THEN 'property_types: at least one' END) AS errors,
+               CASE WHEN radius > 25 THEN 'radius: very wide' ELSE '' END AS warnings
+        FROM typed""",
+    "sound_searches": "SELECT * FROM judged_searches WHERE errors = ''",
+    "season_windows": """
+        SELECT *, greatest(1, CAST(today - closes AS INTEGER) - 90) AS days_old_min, CAST(today - opens AS INTEGER) + 90 AS days_old_max
+        FROM (SELECT *, make_date(y, sm, least(sd, day(last_day(make_date(y, sm, 1))))) AS opens,
+                     make_date(y2, em, least(ed, day(last_day(make_date(y2, em, 1))))) AS closes
+              FROM (SELECT *, y + (em * 100 + ed < sm * 100 + sd)::INT AS y2
+                    FROM (SELECT *, CAST(year(today) - back AS INTEGER) AS y,
+                                 CAST(split_part(window_start, '-', 1) AS INTEGER) AS sm, CAST(split_part(window_start, '-', 2) AS INTEGER) AS sd,
+                                 CAST(split_part(window_end, '-', 1) AS INTEGER) AS em, CAST(split_part(window_end, '-', 2) AS INTEGER) AS ed
+                          FROM (SELECT *, unnest(range(years_back)) AS back FROM sound_searches))))""",
+    "planned_searches": """
+        SELECT *, y AS year, days_old_max >= days_old_min AS fetchable
+        FROM season_windows, (VALUES ('Active'), ('Inactive')) AS t(status)""",
+    "pull_windows": """
+        SELECT pull_ref, y AS year, make_date(y, sm, least(sd, day(last_day(make_date(y, sm, 1))))) AS opens,
+               make_date(y2, em, least(ed, day(last_day(make_date(y2, em, 1))))) AS closes
+        FROM (SELECT *, y + (season_end < season_start)::INT AS y2, season_start // 100 AS sm, season_start % 100 AS sd,
+                     season_end // 100 AS em, season_end % 100 AS ed
+              FROM (SELECT *, CAST(year(as_of) - back AS INTEGER) AS y FROM pulls, (VALUES (0), (1), (2)) AS b(back)))""",
+    "all_records": """
+        SELECT pull_ref, k, u, id, listed, price, 'Inactive' AS status, k % 5 = 0 AS has_history, coalesce(id, '') AS listing_name,
+               CASE WHEN k % 251 = 0 THEN '|' ELSE front_key END AS own_key, baths, sqft,
+               CASE WHEN k % 499 = 0 THEN 'unknown' ELSE CAST(removed AS VARCHAR) END AS removed_text,
+               ['Apartment', 'Single Family', 'Condo', 'Townhouse', 'Multi-Family'][u % 5 + 1] AS property_type
+        FROM base_orders
+        UNION ALL
+        SELECT pull_ref, k, u, id, listed, price + 100.0::DOUBLE, 'Active', false, rear_street, rear_key, NULL, NULL, NULL, 'Apartment'
+        FROM base_orders WHERE k % 11 = 0""",
+    "padded": """
+        SELECT r.pull_ref, w.year, listing_name, listed BETWEEN opens - 90 AND closes + 90 AS in_window
+        FROM all_records r JOIN pull_windows w USING (pull_ref)""",
 }
 
-_order = list(VIEWS)
-
 
 def with_views(select: str, extra: dict[str, str] | None = None) -> str:
     """``select`` behind a WITH clause of the views it needs, in order."""

@@ -93,7 +93,7 @@ def main() -> int:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         mark = "ok " if problem is None else "BAD"
         failed += problem is not None
-        print(mark, name, f"{time.time() - start:.1f}s", "" if oracle.get(name) else "(no oracle)", problem or "", flush=True)
+        print("\n" + mark, name, f"{time.time() - start:.1f}s", "" if oracle.get(name) else "(no oracle)", problem or "", flush=True)
     print("failed:", failed)
     return failed
 
