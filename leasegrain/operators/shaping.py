@@ -161,9 +161,17 @@ def fold_chains(stitched: DataFrame, keys: list[str] = UNIT) -> DataFrame:
 
     Each described field comes from the latest spell that reports a usable
     value; coordinates are taken as a pair; bedrooms from the last spell.
+
+    The rows of a unit already lie together, so the facts of a chain are read
+    over its window and its first row is kept: nothing moves or is merged again.
+    A chain holds at most one spell per day, which bounds windows and lists.
     """
     unit = Window.partitionBy(*keys).orderBy("listed")
-    previous = F.lag("price").over(unit)
+    chain = (
+        Window.partitionBy(*keys, "chain")
+        .orderBy("listed")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     cut = F.when(
         ~F.col("starts_chain") & (F.col("price") < F.col("_previous_price")),
         F.struct(
@@ -173,34 +181,45 @@ def fold_chains(stitched: DataFrame, keys: list[str] = UNIT) -> DataFrame:
         ),
     )
 
-    def latest(field: str, usable: Column) -> Column:
-        return F.max_by(field, F.when(usable, F.col("listed")))
+    def latest(value: Column, usable: Column) -> Column:
+        return F.last(F.when(usable, value), ignorenulls=True).over(chain)
 
     point = F.struct("lat", "lng")
-    return (
-        stitched.withColumn("_previous_price", previous)
-        .groupBy(*keys, "chain")
-        .agg(
-            F.min("listed").alias("first_listed"),
-            F.when(~F.bool_or(F.col("removed").isNull()), F.max("removed")).alias("chain_end"),
-            F.min_by("price", "listed").alias("initial_ask"),
-            (F.count(F.lit(1)) - 1).cast("int").alias("relist_count"),
-            F.coalesce(F.sum(F.when(~F.col("starts_chain"), F.col("off_market"))), F.lit(0)).cast("int").alias("gap_days"),
-            # a chain holds at most one spell per day, so this list is short
-            F.sort_array(F.collect_list(cut)).alias("cut_history"),
-            F.coalesce(latest("address", has_text(F.col("address"))), F.max_by("address", "listed")).alias("address"),
-            latest("unit", has_text(F.col("unit"))).alias("unit"),
-            F.coalesce(
-                F.max_by(point, F.when((F.col("lat") != 0) & (F.col("lng") != 0), F.col("listed"))),
-                F.max_by(point, "listed"),
-            ).alias("_point"),
-            F.max_by("beds", "listed").alias("beds"),
-            latest("baths", F.col("baths").isNotNull()).alias("baths"),
-            latest("sqft", F.col("sqft") > 0).alias("sqft"),
-        )
-        .withColumn("lat", F.col("_point.lat"))
-        .withColumn("lng", F.col("_point.lng"))
-        .drop("_point")
+    reported_point = latest(point, (F.col("lat") != 0) & (F.col("lng") != 0))
+    facts = stitched.withColumn("_previous_price", F.lag("price").over(unit)).select(
+        *keys,
+        "chain",
+        "starts_chain",
+        F.col("listed").alias("first_listed"),
+        F.max("removed").over(chain).alias("_last_removed"),
+        F.bool_or(F.col("removed").isNull()).over(chain).alias("_open"),
+        F.col("price").alias("initial_ask"),
+        (F.count(F.lit(1)).over(chain) - 1).cast("int").alias("relist_count"),
+        F.coalesce(F.sum(F.when(~F.col("starts_chain"), F.col("off_market"))).over(chain), F.lit(0)).cast("int").alias("gap_days"),
+        F.collect_list(cut).over(chain).alias("cut_history"),
+        F.coalesce(latest(F.col("address"), has_text(F.col("address"))), F.last("address").over(chain)).alias("address"),
+        latest(F.col("unit"), has_text(F.col("unit"))).alias("unit"),
+        F.coalesce(reported_point, F.last(point).over(chain)).alias("_point"),
+        F.last("beds").over(chain).alias("beds"),
+        latest(F.col("baths"), F.col("baths").isNotNull()).alias("baths"),
+        latest(F.col("sqft"), F.col("sqft") > 0).alias("sqft"),
+    )
+    return facts.where("starts_chain").select(
+        *keys,
+        "chain",
+        "first_listed",
+        F.when(~F.col("_open"), F.col("_last_removed")).alias("chain_end"),
+        "initial_ask",
+        "relist_count",
+        "gap_days",
+        "cut_history",
+        "address",
+        "unit",
+        "beds",
+        "baths",
+        "sqft",
+        "_point.lat",
+        "_point.lng",
     )
 
 
@@ -209,7 +228,8 @@ def flag_withdrawals(chains: DataFrame, months: int, keys: list[str] = UNIT) ->
 
     Runs before the season filter: the returning chain may lie outside it.
     """
-    unit = Window.partitionBy(*keys).orderBy("first_listed")
+    # chains are numbered by their start
+    unit = Window.partitionBy(*keys).orderBy("chain")
     gap = F.datediff(F.lead("first_listed").over(unit), F.col("chain_end"))
     suspect = (gap >= WITHDRAWAL_FLOOR_DAYS) & (gap < months * DAYS_PER_MONTH)
     return chains.withColumn("withdrawal_suspect", F.coalesce(suspect, F.lit(False)))
@@ -236,18 +256,21 @@ def classify(chains: DataFrame, pulls: DataFrame, knobs: Knobs) -> DataFrame:
     observation is data and never the clock.
     """
     end = F.col("chain_end")
+    seasons = pulls.select(
+        "pull_ref",
+        "as_of",
+        month_day(F.col("window_start")).alias("_opens"),
+        month_day(F.col("window_end")).alias("_closes"),
+    )
     return (
-        chains.join(pulls.select("pull_ref", "as_of", "window_start", "window_end"), "pull_ref")
+        chains.join(seasons, "pull_ref")
         .withColumn("effective_dom", F.datediff(F.coalesce(end, F.col("as_of")), F.col("first_listed")))
         .withColumn("censored", end.isNull())
         .withColumn("removal_class", removal_class(end, F.col("as_of"), knobs.provisional_lease_days))
         .withColumn("cohort_year", F.year("first_listed"))
         .withColumn("psf", price_per_sqft(F.col("initial_ask"), F.col("sqft")))
-        .withColumn(
-            "in_window",
-            in_season(F.col("first_listed"), month_day(F.col("window_start")), month_day(F.col("window_end"))),
-        )
-        .drop("window_start", "window_end")
+        .withColumn("in_window", in_season(F.col("first_listed"), F.col("_opens"), F.col("_closes")))
+        .drop("_opens", "_closes")
     )
 
 
