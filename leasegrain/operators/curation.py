@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasegrain.functions.geo import haversine_miles
+from leasegrain.operators.spread import spread_join
+from leasegrain.operators.statistics import checked_weight
 
 CURATED_COMP = [
     "comp_key",
@@ -113,14 +115,15 @@ def membership(weight: Column, overridden: Column, distance: Column) -> Column:
 def curate(pairs: DataFrame, weights: DataFrame, overrides: DataFrame) -> DataFrame:
     """Add ``weight``, ``overridden``, ``state`` and ``included`` to every pair.
 
-    Both curation tables share one key, so the pairs are shuffled once.
+    Both curation tables share one key, so the pairs are shuffled once. A
+    negative weight fails the job; ``split_requests`` keeps such requests aside.
     """
     marked = overrides.select("request_id", "comp_key").distinct().withColumn("_override", F.lit(True))
     asked = weights.select("request_id", "comp_key", F.col("weight").alias("_asked"))
     return (
         pairs.join(asked, ["request_id", "comp_key"], "left")
         .join(marked, ["request_id", "comp_key"], "left")
-        .withColumn("weight", effective_weight(F.col("_asked"), F.col("psf")))
+        .withColumn("weight", effective_weight(checked_weight(F.col("_asked")), F.col("psf")))
         .withColumn("overridden", F.coalesce("_override", F.lit(False)))
         .withColumn("state", membership(F.col("weight"), F.col("overridden"), F.col("distance_mi")))
         .withColumn("included", F.col("state") == "included")
@@ -138,4 +141,5 @@ def contribution_shares(curated: DataFrame) -> DataFrame:
         curated.where("included").groupBy("request_id").agg(F.sum("weight").alias("_total"))
     )
     share = F.when(F.col("included") & (F.col("_total") > 0), F.col("weight") / F.col("_total"))
-    return curated.join(totals, "request_id", "left").withColumn("contribution_share", share).drop("_total")
+    joined = spread_join(curated, totals, ["request_id"], by=["comp_key"], how="left")
+    return joined.withColumn("contribution_share", share).drop("_total")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leasegrain.config import DAYS_PER_MONTH, GUARD_MINIMUM, GUARD_RANGE
 from leasegrain.operators.cohorts import EDGES, bucket_of
+from leasegrain.operators.spread import SALTS
 from leasegrain.operators.statistics import expected_days, km_steps, survival_at
 
 _EDGE = ["request_id", "edge"]
@@ -30,16 +31,26 @@ def candidate_edges(requests: DataFrame, edges: DataFrame) -> DataFrame:
 def nearest(pool: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The k comps nearest in premium for each request and edge.
 
-    Only the premium and the comps' fixed order decide. Each task keeps its own
-    k best rows per edge before anything is shuffled.
+    Only the premium and the comps' fixed order decide. A request's comps are
+    dealt out to several tasks, each of which keeps its k best per edge; only
+    those meet for the final choice, so no pool is ever sorted in one place.
     """
+    per_share = Window.partitionBy(*_EDGE, "_share").orderBy("_away", "group_key", "first_listed")
     closest = Window.partitionBy(*_EDGE).orderBy("_away", "group_key", "first_listed")
+    edges = candidates.groupBy("request_id", "candidate_rent").agg(
+        F.collect_list(F.struct("edge", "candidate_premium")).alias("_edges")  # three
+    )
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
-        pool.join(candidates, "request_id")
+        pool.withColumn("_share", F.pmod(F.xxhash64("comp_key"), F.lit(SALTS)).cast("int"))
+        .join(edges.withColumn("_share", shares), ["request_id", "_share"])
+        .select("*", F.inline("_edges"))
         .withColumn("_away", F.abs(F.col("premium") - F.col("candidate_premium")))
+        .withColumn("_rank", F.row_number().over(per_share))
+        .where(F.col("_rank") <= k)
         .withColumn("neighbor_rank", F.row_number().over(closest))
         .where(F.col("neighbor_rank") <= k)
-        .drop("_away")
+        .drop("_away", "_share", "_rank", "_edges")
     )
 
 

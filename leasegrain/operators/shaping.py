@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from leasegrain.config import CONFIRMED_DAYS, DAYS_PER_MONTH, WITHDRAWAL_FLOOR_DAYS, Knobs
 from leasegrain.functions.address import SEPARATOR, has_text, names_something, with_comp_key
 from leasegrain.functions.dates import calendar_date, in_season, month_day
+from leasegrain.operators.spread import spread_join
 
 UNIT = ["pull_ref", "group_key"]
 _OBSERVED = ["address", "unit", "lat", "lng", "beds", "baths", "sqft"]
@@ -263,7 +264,7 @@ def classify(chains: DataFrame, pulls: DataFrame, knobs: Knobs) -> DataFrame:
         month_day(F.col("window_end")).alias("_closes"),
     )
     return (
-        chains.join(seasons, "pull_ref")
+        spread_join(chains, seasons, ["pull_ref"], by=["group_key"])
         .withColumn("effective_dom", F.datediff(F.coalesce(end, F.col("as_of")), F.col("first_listed")))
         .withColumn("censored", end.isNull())
         .withColumn("removal_class", removal_class(end, F.col("as_of"), knobs.provisional_lease_days))
@@ -288,6 +289,8 @@ def with_final_keys(comps: DataFrame) -> DataFrame:
     ordinal = F.when(F.col("_twin") > 1, F.concat(F.lit(SEPARATOR), F.col("_twin").cast("string"))).otherwise(F.lit(""))
     return (
         with_comp_key(comps, "address", "unit", "_base")
+        # stated, as rows that arrive grouped by pull alone would stay so
+        .repartition("pull_ref", "_base")
         .withColumn("_n", F.count(F.lit(1)).over(same))
         .withColumn("_twin", F.row_number().over(twin))
         .withColumn("comp_key", F.concat(dated, ordinal))

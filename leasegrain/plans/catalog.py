@@ -15,6 +15,7 @@ from leasegrain.config import GO_THRESHOLD, Knobs
 from leasegrain.functions.dates import calendar_date
 from leasegrain.operators import cohorts, coverage, curation, planning, profile, shaping, statistics, views
 from leasegrain.operators.cohorts import EDGES
+from leasegrain.session import staged
 from leasegrain.sources import bookkeeping, event_responses, responses
 from leasegrain.sources.order_listings import Workbench, table
 
@@ -695,8 +696,14 @@ def bed_bath_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid searches, written once: planning and selection both read them."""
+    valid = planning.valid_searches(_normalized(spark, sf_dir))
+    return Workbench(spark, sf_dir).once("searches", lambda: staged(valid, "searches"))
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.plan_windows(planning.valid_searches(_normalized(spark, sf_dir)))
+    return planning.plan_windows(_valid(spark, sf_dir))
 
 
 @query
@@ -721,14 +728,13 @@ def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = planning.valid_searches(_normalized(spark, sf_dir))
-    return valid.select("search_id", planning.search_key().alias("pull_ref"))
+    return _valid(spark, sf_dir).select("search_id", planning.search_key().alias("pull_ref"))
 
 
 @query
 def selected_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings within radius, size, type, status and age of each search."""
-    valid = planning.valid_searches(_normalized(spark, sf_dir))
+    valid = _valid(spark, sf_dir)
     listings = Workbench(spark, sf_dir).records().select(
         F.col("id").alias("listing_id"),
         F.col("latitude").alias("lat"),

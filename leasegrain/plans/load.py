@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leasegrain.config import Knobs
 from leasegrain.operators.shaping import Shaped, shape
+from leasegrain.operators.spread import spread_join
 from leasegrain.sources.bookkeeping import read_manifests
 from leasegrain.sources.responses import listing_records, parse_responses, read_responses
 
@@ -18,5 +19,5 @@ def shape_store(spark: SparkSession, root: str, knobs: Knobs = Knobs()) -> Shape
 
 def shape_pulls(responses: DataFrame, manifests: DataFrame, wanted: DataFrame, knobs: Knobs = Knobs()) -> Shaped:
     """The same for the pulls in ``wanted`` only, for incremental runs."""
-    chosen = responses.join(wanted.select("pull_ref"), "pull_ref", "left_semi")
+    chosen = spread_join(responses, wanted.select("pull_ref"), ["pull_ref"], by=["file_name"], how="left_semi")
     return shape(listing_records(parse_responses(chosen)), manifests, knobs)

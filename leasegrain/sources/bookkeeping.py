@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leasegrain.config import KnobError, Knobs
-from leasegrain.functions.dates import calendar_date
+from leasegrain.functions.dates import calendar_date, valid_month_day
 from leasegrain.operators.shaping import price_per_sqft, with_final_keys
 from leasegrain.schemas import LEDGER, MANIFEST, SHAPED_PULL, WORKSPACE
 
@@ -48,7 +48,9 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce("m.planned", F.lit(0)).alias("planned"),
         F.coalesce("m.fetchable", F.lit(0)).alias("fetchable"),
         F.coalesce("m.queries", F.array().cast(MANIFEST["queries"].dataType)).alias("windows"),
-    ).where(F.col("as_of").isNotNull() & F.col("window_end").isNotNull())
+    ).where(
+        F.col("as_of").isNotNull() & valid_month_day(F.col("window_start")) & valid_month_day(F.col("window_end"))
+    )
 
 
 def manifest_windows(manifests: DataFrame) -> DataFrame:

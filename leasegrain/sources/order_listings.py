@@ -216,7 +216,7 @@ class Workbench:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def _once(self, name: str, make: Callable[[], object]) -> object:
+    def once(self, name: str, make: Callable[[], object]) -> object:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in self._written:
             self._written[key] = make()
@@ -233,7 +233,7 @@ class Workbench:
 
     def comps(self) -> DataFrame:
         """The comps table: the shaping job's output, read by all that follows."""
-        return self._once("comps", lambda: staged(self.shaped().comps, "comps"))
+        return self.once("comps", lambda: staged(self.shaped().comps, "comps"))
 
     def requests(self) -> DataFrame:
         return requests(self.spark, self.sf_dir)
@@ -249,14 +249,14 @@ class Workbench:
 
     def scored(self) -> tuple[DataFrame, DataFrame]:
         """(scored pairs, cohort medians)."""
-        return self._once(
+        return self.once(
             "scored", lambda: score(self.requests(), self.comps(), self.weights(), self.overrides())
         )
 
     def derived(self) -> dict[str, DataFrame]:
         """All results of all requests."""
         scored, medians = self.scored()
-        return self._once(
+        return self.once(
             "derived",
             lambda: results(
                 scored, medians, self.requests(), self.comps(), summary=self.shaped().summary
