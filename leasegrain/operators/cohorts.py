@@ -100,15 +100,16 @@ def anchors(curated: DataFrame, requests: DataFrame) -> DataFrame:
     merged = (
         _evidence(curated)
         .groupBy("request_id", F.year("as_of").alias("_year"), "cohort_year", "psf", "drift_pct")
-        .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("weight").alias("weight"))
     )
     rate = F.lit(1.0) + F.col("edge_drift") / 100.0
     adjusted = (
         merged.select("*", F.inline(drift_edges(F.col("drift_pct"))))
         .withColumn("adjusted", F.col("psf") * F.pow(rate, F.col("_year") - F.col("cohort_year")))
     )
-    medians = weighted_median(adjusted, ["request_id", "edge"], "adjusted", out="anchor_psf")
-    counts = merged.groupBy("request_id").agg(F.sum("_n").alias("n_comps"))
+    # equal prices were merged per year, and a year moves them to one value
+    medians = weighted_median(adjusted, ["request_id", "edge"], "adjusted", out="anchor_psf", merged=True)
+    counts = _evidence(curated).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_comps"))
     return (
         requests.select("request_id", "subject_sqft", F.inline(drift_edges(F.col("drift_pct"))))
         .join(medians, ["request_id", "edge"])
