@@ -230,7 +230,7 @@ SELECTS: dict[str, str] = {
     "unusable_responses": "SELECT pull_ref, event_id, body FROM resp WHERE NOT usable",
     "response_names": """
         SELECT event_id, sig, CASE WHEN contains(sig, 'inactive') THEN 'Inactive' ELSE 'Active' END AS status,
-               CAST(sig[2:5] AS INTEGER) AS year, event_id AS page_offset FROM resp""",
+               CAST(sig[2:5] AS INTEGER) AS year, CAST(event_id AS INTEGER) AS page_offset FROM resp""",
     "stored_windows": "SELECT pull_ref, sig, filed, held FROM stores",
     "listing_pages": """
         SELECT pull_ref, property_type AS "propertyType", count(*) AS records, round(sum(price), 2) AS price_sum,

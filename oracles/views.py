@@ -76,7 +76,7 @@ VIEWS: dict[str, str] = {
     "stitched": """
         SELECT *, CAST(sum(starts_chain::INT) OVER (PARTITION BY pull_ref, group_key ORDER BY listed) AS BIGINT) AS chain,
                lag(price) OVER (PARTITION BY pull_ref, group_key ORDER BY listed) AS previous_price
-        FROM (SELECT *, CASE WHEN before_end IS NOT NULL THEN off_market_raw END AS off_market,
+        FROM (SELECT *, CASE WHEN before_end IS NOT NULL THEN CAST(off_market_raw AS INTEGER) END AS off_market,
                      before_end IS NULL OR off_market_raw >= 42 AS starts_chain
               FROM gaps_off)""",
     "folded": """
@@ -95,7 +95,7 @@ VIEWS: dict[str, str] = {
         FROM stitched GROUP BY ALL""",
     "chains": """
         SELECT *, CASE WHEN sqft > 0 THEN initial_ask / sqft END AS psf,
-               year(first_listed) AS cohort_year,
+               CAST(year(first_listed) AS INTEGER) AS cohort_year,
                chain_end IS NULL AS censored,
                CAST(coalesce(chain_end, as_of) - first_listed AS INTEGER) AS effective_dom,
                CASE WHEN chain_end IS NULL THEN NULL
@@ -192,8 +192,8 @@ VIEWS: dict[str, str] = {
         SELECT * FROM (
           SELECT c.*, s.comp_key, s.comp_seq, s.premium, s.effective_dom, s.censored, s.removal_class, s.weight,
                  s.cohort_year, s.cut_count,
-                 row_number() OVER (PARTITION BY request_id, edge
-                                    ORDER BY abs(s.premium - candidate_premium), comp_seq) AS neighbor_rank
+                 CAST(row_number() OVER (PARTITION BY request_id, edge
+                                    ORDER BY abs(s.premium - candidate_premium), comp_seq) AS INTEGER) AS neighbor_rank
           FROM candidates c JOIN (SELECT * EXCLUDE (candidate_rent) FROM scored WHERE included AND premium IS NOT NULL) s USING (request_id))
         WHERE neighbor_rank <= 7""",
     "edge_reasons": """
