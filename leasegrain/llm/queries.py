@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasegrain.llm import exact_index, mixing, sharding, simhash, token_files
+from leasegrain.llm import decontamination, exact_index, langid, licenses, mixing, sharding, simhash, token_files, toxicity
 from leasegrain.llm.common import table
 from leasegrain.session import shared_folder
 
@@ -51,6 +51,24 @@ def op4_live_digests(spark: SparkSession, folder: str) -> DataFrame:
     return exact_index.exact_groups(table(spark, folder, "documents"))
 
 
+def op5_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "n_windows", "contained", "slots_changed")
+
+
+def op6_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_code_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op9_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.with_licenses(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -58,7 +76,7 @@ def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op10_apportioned_mixture)
+    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op8_code_languages, op9_license_rules, op10_apportioned_mixture)
 }
 ORACLES: dict[str, str] = {
     "op4_live_digests": """
