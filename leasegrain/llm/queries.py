@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasegrain.llm import decontamination, exact_index, langid, licenses, mixing, sharding, simhash, token_files, toxicity
+from leasegrain.llm import decontamination, exact_index, langid, licenses, mixing, sharding, simhash, substrings, token_files, toxicity
 from leasegrain.llm.common import table
 from leasegrain.session import shared_folder
 
@@ -60,6 +60,10 @@ def op6_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_induced_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"))
+
+
 def op8_code_languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
@@ -76,7 +80,7 @@ def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op8_code_languages, op9_license_rules, op10_apportioned_mixture)
+    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture)
 }
 ORACLES: dict[str, str] = {
     "op4_live_digests": """
