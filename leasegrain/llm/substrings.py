@@ -207,7 +207,10 @@ def _anchors(batches: Iterator) -> Iterator:
 
 
 def _contexts(batches: Iterator) -> Iterator:
-    """Candidate anchors with the bytes around them. Contexts that a task meets again are repeats and are passed on once."""
+    """Candidate anchors with the bytes around them. Contexts that a task meets again are repeats and are passed on once.
+
+    Rows without bytes are spans already found; they go along, spread by their text.
+    """
     met: dict[bytes, tuple | None] = {}
     for batch in slices(batches, "text"):
         out: list[list] = [[] for _ in range(9)]
@@ -220,7 +223,7 @@ def _contexts(batches: Iterator) -> Iterator:
                 if mark in met:
                     # twice the same: both are repeated from end to end
                     for d, k, begin, stop in filter(None, (met[mark], (doc, key, first, last + LENGTH))):
-                        for c, v in zip(out, (d, k, None, None, None, None, None, begin, stop)):
+                        for c, v in zip(out, (d, k, k, None, None, None, None, begin, stop)):
                             c.append(v)
                     met[mark] = None
                     continue
@@ -247,6 +250,10 @@ def _repeats(batches: Iterator) -> Iterator:
 
     held, before, right = empty(), None, b""
     for batch in batches:
+        ready = batch.filter(batch.column("right").is_null())
+        if ready.num_rows:
+            yield _batch(SPANS, [ready.column(c) for c in ("doc_id", "key", "begin", "stop")])
+        batch = batch.filter(batch.column("right").is_valid())
         for doc, key, h, now, left, place, least in zip(
             *[batch.column(c).to_pylist() for c in ("doc_id", "key", "hash", "right", "left", "place", "least")]
         ):
@@ -314,9 +321,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     asked = asked.join(one, same(asked, one), "left_semi")
     hold = long.join(asked, same(long, asked)).select(long["doc_id"], long["key"], "text", "asked")
     hold = staged(hold, "texts")
-    contexts = staged(map_arrow(hold, _contexts, CONTEXTS), "contexts")
-    ordered = contexts.where("hash is not null").repartition("hash").sortWithinPartitions("hash", "right")
-    spans = map_arrow(ordered.drop("begin", "stop"), _repeats, SPANS).unionByName(contexts.where("hash is null").select("doc_id", "key", "begin", "stop"))
+    contexts = map_arrow(hold, _contexts, CONTEXTS).repartition("hash").sortWithinPartitions("hash", "right")
+    spans = map_arrow(contexts, _repeats, SPANS)
     return known, groups, hold.select("doc_id", "key", "text"), spans
 
 
