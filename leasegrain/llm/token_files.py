@@ -182,7 +182,7 @@ class Encoder:
     the library whole. The memory of pieces is bounded: it starts anew when full.
     """
 
-    def __init__(self, path: str, known: int = 400_000):
+    def __init__(self, path: str, known: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -247,10 +247,12 @@ class Encoder:
         pieces = [x for p in cut if p for x in (" " + p[0], *p[1:])]
         if len(self.index) > self.known:
             self.forget()
-        missing = [x for x in pieces if x not in self.index]
-        if missing:
-            self.learn(missing)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        get = self.index.get
+        at = np.array([get(x, -1) for x in pieces], np.int64)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.learn([pieces[k] for k in new])
+            at[new] = [self.index[pieces[k]] for k in new]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.offset[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
