@@ -89,7 +89,7 @@ SCALE = 400.0
 def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model:
     """A model from ``(text, language)`` rows; a fifth is kept out to weigh the bits."""
     languages = sorted({lang for _, lang in rows})
-    code = codewords(languages)
+    code = codewords(languages) if len(languages) > 1 else np.ones((len(languages), 1), np.int8)
     bits = code.shape[1]
     weights, bias, trust = np.zeros((DIMENSIONS, bits), np.float32), np.zeros(bits), np.ones(bits) / max(1, bits)
     if len(languages) < 2:

@@ -102,6 +102,7 @@ def plan(sizes: list[tuple[str | None, int]], seed: int, shards: int, blocks_per
     return out
 
 
+ADDED = ("size", "source_size", "target", "taken", "passes", "picked")
 PLAN = "source string, source_size long, target double, block long, blocks long, quota long, passes long, extra long, a long, c long, quotas array<long>"
 
 
@@ -116,17 +117,21 @@ def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = RO
     the plan go through the driver, never rows.
 
     Null texts have no words and are never taken; a null source is a source; an
-    empty table gives no rows. A table without words takes nothing.
+    empty table gives no rows. A table without words takes nothing. Other columns are
+    carried along; those named like an added one are replaced.
     """
     rows = docs.count()
     buckets = max(1, -(-rows // bucket_rows))
-    sized = docs.withColumn("size", n_words(F.col("text")))
+    carried = [c for c in docs.columns if c not in ADDED]
+    sized = docs.select(
+        F.struct(*carried).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")
+    )
     sizes = [(r["source"], r["n"] or 0) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     spark = docs.sparkSession
     plans = spark.createDataFrame(plan(sizes, seed, shards, blocks_per_source), PLAN)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     keyed = sized.withColumn("_source", key).withColumn("_hash", seeded(seed, F.col("doc_id"), F.col("_source")))
-    order = [F.col("_hash"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.xxhash64("text")]
+    order = [F.col("_hash"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("_tie")]
     lined = with_prefix(
         keyed, ["_source"], F.floor(F.col("_hash") * F.lit(float(buckets)) / F.lit(float(SPAN))), order, F.col("size"), "_offset"
     )
@@ -141,13 +146,13 @@ def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = RO
         lined.withColumn("_blocks", blocks)
         .withColumn("picked", picked)
         .withColumn("taken", F.col("passes") * F.col("size") + F.expr("aggregate(picked, 0L, (s, x) -> s + x[1] - x[0])"))
-        .select(*docs.columns, "size", "source_size", "target", "taken", "passes", "picked")
+        .select("_row.*", *ADDED)
     )
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The rows of the mixture, with the columns of ``docs``: each whole pass repeats the document, the last has its picked words."""
-    full = mix(docs, seed)
+    full = mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"), seed)
     words = F.expr(
         r"""array_join(filter(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0),
             (w, i) -> exists(picked, p -> i >= p[0] and i < p[1])), ' ')"""
@@ -155,7 +160,8 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     last = F.when(F.expr("aggregate(picked, 0L, (s, x) -> s + x[1] - x[0])") == F.col("size"), F.col("text")).otherwise(words)
     whole = full.withColumn("_text", F.explode(F.expr("array_repeat(text, cast(passes as int))")))
     part = full.where(F.size("picked") > 0).withColumn("_text", last)
-    out = whole.where("size > 0").unionByName(part).withColumn("text", F.col("_text"))
+    out = whole.where("size > 0").unionByName(part)
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

@@ -23,8 +23,10 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, bucket_rows: int = R
 
     A null source is a source of its own, null ids and repeated rows are rows like
     others (equal rows may swap slots), an empty table gives no rows. Other columns
-    are carried along. Columns starting with an underscore are reserved.
+    are carried along, but for ``shard`` and ``slot``, which are replaced; names that
+    start with an underscore are reserved.
     """
+    docs = docs.drop("shard", "slot")
     rows = docs.count()
     buckets = max(1, -(-rows // bucket_rows))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))

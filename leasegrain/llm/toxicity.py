@@ -26,7 +26,7 @@ DIMENSIONS_BITS = 20
 #: Prefix lengths (bytes) that stand for stems, beside whole words.
 STEMS = (4, 5, 6)
 #: A feature counts if at least SUPPORT sampled texts hold it and it tells the classes apart by Z.
-SUPPORT, Z, INDUCED_VOTERS, EM_ROUNDS, FIT_ROUNDS = 8, 5.0, 12, 30, 300
+SUPPORT, Z, INDUCED_VOTERS, EM_ROUNDS, FIT_ROUNDS = 8, 10.0, 12, 30, 300
 #: A word joins an induced lexicon if it is so much (log) likelier in toxic texts.
 ODDS = 3.0
 #: How often a human label says toxic of a clean and of a toxic text.
@@ -112,7 +112,8 @@ def telling(rows: list[np.ndarray], weight: np.ndarray, support: int, z: float)
     all_ = np.bincount(flat, minlength=size)
     good, n_bad, n_good = all_ - bad, weight.sum() + 1, (1 - weight).sum() + 1
     odds = np.log((bad + 0.5) / n_bad) - np.log((good + 0.5) / n_good)
-    sure = np.abs(odds) / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    rate = np.maximum(all_ / (n_bad + n_good), 1e-12)
+    sure = np.abs(bad / n_bad - good / n_good) / np.sqrt(rate * (1 / n_bad + 1 / n_good))
     chosen = np.flatnonzero((all_ >= support) & (sure >= z))
     return chosen, odds[chosen]
 
@@ -242,7 +243,7 @@ def sample(docs: DataFrame, known: DataFrame, per_class: int = ROWS_PER_CLASS) -
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     if not total:
-        return [], 0.5
+        return [], 0.0
     limit = F.lit(0.0)
     for y, n in counts.items():
         limit = F.when(F.col("toxic") == y, min(1.0, per_class / n) * (1 << 52)).otherwise(limit)
@@ -275,7 +276,8 @@ def judge(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:
 
     Rows without a label (or with a null one) are scored like others; repeated ids
     are scored per row, a label that repeats counts once per pair of rows; an empty
-    table gives no rows.
+    table gives no rows. Without labels of both classes every text gets the rate of
+    toxic among them (0 without any).
     """
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     part = clean.withColumn("held_out", fold("doc_id", 5) == held_out)
