@@ -152,7 +152,8 @@ def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = RO
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The rows of the mixture, with the columns of ``docs``: each whole pass repeats the document, the last has its picked words."""
-    full = mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"), seed)
+    clash = [c for c in docs.columns if c in ADDED]
+    full = mix(docs.withColumn("_own", F.struct(*clash)) if clash else docs, seed)
     words = F.expr(
         r"""array_join(filter(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0),
             (w, i) -> exists(picked, p -> i >= p[0] and i < p[1])), ' ')"""
@@ -161,7 +162,7 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     whole = full.withColumn("_text", F.explode(F.expr("array_repeat(text, cast(passes as int))")))
     part = full.where(F.size("picked") > 0).withColumn("_text", last)
     out = whole.where("size > 0").unionByName(part)
-    new = {"text": F.col("_text")}
+    new = {"text": F.col("_text")} | {c: F.col(f"_own.`{c}`") for c in clash}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
