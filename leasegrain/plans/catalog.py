@@ -844,7 +844,7 @@ def outcome_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dominant_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = Workbench(spark, sf_dir).scored()
     shared = curation.contribution_shares(scored)
-    return shared.select("request_id", "comp_key", views.dominates(F.col("contribution_share") * 200).alias("dominant"))
+    return shared.select("request_id", "comp_key", views.dominates(F.col("contribution_share")).alias("dominant"))
 
 
 @query

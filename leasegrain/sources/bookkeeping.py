@@ -127,16 +127,20 @@ def read_workspaces(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_ledgers(spark: SparkSession, root: str) -> DataFrame:
-    """One row per ledger file with its month, spent calls and ``error``."""
-    files = _whole_files(spark, root, "ledger*.json")
-    ledger = F.from_json("value", LEDGER)
-    spent = F.get_json_object("value", "$.calls_this_month")
-    bad_count = ~F.coalesce(spent, F.lit("0")).rlike(r"^\d+$")
-    return (
-        files.select("path", ledger.alias("ledger"), F.try_parse_json("value").isNull().alias("_broken"), bad_count.alias("_bad"))
-        .withColumn("error", F.when(F.col("_broken"), "not JSON").when(F.col("_bad"), "bad call count"))
-        .drop("_broken", "_bad")
+    """One row per ledger file with its month, spent calls and ``error``.
+
+    A ledger is an object whose count is absent or a whole number of at least 0;
+    anything else is an error, as a guess would hand back paid calls.
+    """
+    files = _whole_files(spark, root, "ledger*.json").withColumn("_json", F.try_parse_json("value"))
+    count = F.try_variant_get("_json", "$.calls_this_month", "variant")
+    good = (F.schema_of_variant(count) == "BIGINT") & (F.try_variant_get("_json", "$.calls_this_month", "bigint") >= 0)
+    cause = (
+        F.when(F.col("_json").isNull(), "not JSON")
+        .when(~F.ltrim("value").startswith("{"), "not an object")
+        .when(~F.coalesce(good, F.lit(True)), "bad call count")
     )
+    return files.select("path", F.from_json("value", LEDGER).alias("ledger"), cause.alias("error"))
 
 
 def current_spend(ledgers: DataFrame, month_now: str) -> DataFrame:

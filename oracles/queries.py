@@ -367,7 +367,7 @@ SELECTS: dict[str, str] = {
                     WHEN removal_class = 'provisional' THEN 'leased ' || effective_dom || ' days · provisional'
                     ELSE 'removed ' || (as_of - chain_end) || ' days ago — classifying' END AS outcome FROM comps""",
     "dominant_comps": """
-        SELECT request_id, comp_key, coalesce(included AND total > 0 AND weight / total * 200 > 0.4, false) AS dominant
+        SELECT request_id, comp_key, coalesce(included AND total > 0 AND weight / total > 0.4, false) AS dominant
         FROM (SELECT *, sum(weight) FILTER (included) OVER (PARTITION BY request_id) AS total FROM curated)""",
     "map_frames": """
         SELECT request_id, round(s - (n - s) * 0.08, 6) AS south, round(n + (n - s) * 0.08, 6) AS north,

@@ -1,10 +1,10 @@
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 
 from leasegrain.operators.statistics import expected_days, km_steps, survival_at, weighted_median, weighted_quantile
 from tests import plain
+from tests.raised import RAISED
 
 
 def frame(spark, rows, schema):
@@ -25,7 +25,7 @@ def test_weight_zero_is_no_evidence_and_keys_without_evidence_have_no_row(spark)
 
 def test_negative_weight_is_an_error(spark):
     df = frame(spark, [(1, 10.0, -1.0)], "k int, v double, weight double")
-    with pytest.raises(PySparkException, match="non-negative"):
+    with pytest.raises(RAISED, match="non-negative"):
         weighted_median(df, ["k"], "v").collect()
 
 
@@ -114,5 +114,5 @@ def test_all_censored_has_no_steps(spark):
 @pytest.mark.parametrize("days", [-1.0, 2.5])
 def test_durations_must_be_whole_days(spark, days):
     df = frame(spark, [(1, days, False, 1.0)], KM.replace("effective_dom int", "effective_dom double"))
-    with pytest.raises(PySparkException, match="whole"):
+    with pytest.raises(RAISED, match="whole"):
         km_steps(df, ["k"]).collect()

@@ -136,10 +136,14 @@ def test_call_log_months(spark, tmp_path):
     put(tmp_path / "ledger-b.json", {"calls_this_month": 8, "history": []})
     put(tmp_path / "ledger-c.json", {"month": "2026-07", "calls_this_month": -1})
     put(tmp_path / "ledger-d.json", "nope")
+    for k, bad in enumerate(([], {"calls_this_month": "8"}, {"calls_this_month": None}, {"calls_this_month": 2.5})):
+        put(tmp_path / f"ledger-x{k}.json", bad)
     read = bookkeeping.read_ledgers(spark, str(tmp_path))
     spend = bookkeeping.current_spend(read, "2026-07")
     found = {r.path[-6]: (r.calls_this_month, r.error) for r in spend.collect()}
-    assert found == {"a": (0, None), "b": (8, None), "c": (None, "bad call count"), "d": (None, "not JSON")}
+    assert found == {"a": (0, None), "b": (8, None), "c": (None, "bad call count"), "d": (None, "not JSON"), "0": (None, "not an object")} | dict.fromkeys(
+        "123", (None, "bad call count")
+    )
     (call,) = bookkeeping.ledger_calls(read).collect()
     assert (call.sig, call.params, call.total_count) == ("s", {"radius": "2"}, 39)
 
