@@ -39,7 +39,7 @@ def bucket_stats(
     """
     leased = F.coalesce(F.col("removal_class").isin("provisional", "confirmed"), F.lit(False))
     days = F.when(leased, F.col("effective_dom"))
-    cut = F.when(leased, (F.size("cut_history") > 0).cast("double"))
+    cut = F.when(leased, (F.col("cut_count") > 0).cast("double"))
     stats = (
         scored.where("included")
         .where(F.col("bucket").isNotNull())

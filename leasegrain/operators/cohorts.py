@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasegrain.config import DRIFT_SENSITIVITY_PTS, SQFT_SUSPECT_SHARE
+from leasegrain.operators.spread import spread_join
 from leasegrain.operators.statistics import weighted_median
 
 EDGES = ("low", "mid", "high")
@@ -71,7 +72,7 @@ def with_premiums(curated: DataFrame, cohorts: DataFrame, half_width_pct: float)
     """Add ``premium``, ``premium_basis``, ``sqft_suspect`` and ``bucket``."""
     reference = cohorts.select("request_id", "cohort_year", "median_psf", "basis")
     return (
-        curated.join(reference, ["request_id", "cohort_year"], "left")
+        spread_join(curated, reference, ["request_id", "cohort_year"], by=["comp_key"], how="left")
         .withColumn("premium", premium(F.col("psf"), F.col("median_psf")))
         .withColumn("premium_basis", F.when(F.col("premium").isNotNull(), F.col("basis")))
         .withColumn("sqft_suspect", sqft_suspect(F.col("premium")))

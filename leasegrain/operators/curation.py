@@ -26,7 +26,6 @@ CURATED_COMP = [
     "censored",
     "removal_class",
     "withdrawal_suspect",
-    "cut_history",
 ]
 
 
@@ -88,8 +87,8 @@ def split_requests(requests: DataFrame, weights: DataFrame) -> tuple[DataFrame,
 
 def pair(requests: DataFrame, comps: DataFrame) -> DataFrame:
     """Every request with every comp of its pull, and the distance between them."""
-    narrow = comps.select("pull_ref", "as_of", *CURATED_COMP)
-    return requests.join(narrow, "pull_ref").withColumn(
+    narrow = comps.select("pull_ref", "as_of", *CURATED_COMP, F.size("cut_history").alias("cut_count"))
+    return spread_join(narrow, requests, ["pull_ref"], by=["comp_key"]).withColumn(
         "distance_mi",
         haversine_miles(F.col("subject_lat"), F.col("subject_lng"), F.col("lat"), F.col("lng")),
     )

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from leasegrain.config import DAYS_PER_MONTH, GUARD_MINIMUM, GUARD_RANGE
 from leasegrain.operators.cohorts import EDGES, bucket_of
-from leasegrain.operators.spread import SALTS
+from leasegrain.operators.spread import spread_join
 from leasegrain.operators.statistics import expected_days, km_steps, survival_at
 
 _EDGE = ["request_id", "edge"]
-# Comps per pool that one task sorts without trouble.
-LARGE_POOL = 1_000_000
 _OUTCOME = ["effective_dom", "censored", "removal_class", "weight", "cohort_year", "cut_count"]
 
 
@@ -30,44 +28,24 @@ def candidate_edges(requests: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def large_pools(pool: DataFrame) -> DataFrame:
-    """Requests whose pool is too large to sort in one task.
-
-    With n comps in all there are at most n / LARGE_POOL of them.
-    """
-    return pool.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_POOL).drop("_n")
-
-
-def nearest(pool: DataFrame, candidates: DataFrame, k: int, large: DataFrame) -> DataFrame:
+def nearest(pool: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The k comps nearest in premium for each request and edge.
 
-    Only the premium and the comps' fixed order decide. The comps of a ``large``
-    pool are dealt out to several tasks, each of which keeps its k best per
-    edge; only those meet for the final choice.
+    Only the premium and the comps' fixed order decide. Each task keeps its k
+    best per edge before the shuffle (``WindowGroupLimit``); only those meet for
+    the final choice, however large a pool is.
     """
-    per_share = Window.partitionBy(*_EDGE, "_share").orderBy("_away", "group_key", "first_listed")
     closest = Window.partitionBy(*_EDGE).orderBy("_away", "group_key", "first_listed")
     edges = candidates.groupBy("request_id", "candidate_rent").agg(
         F.collect_list(F.struct("edge", "candidate_premium")).alias("_edges")  # three
     )
-    marks = large.select("request_id", F.lit(True).alias("_large"))
-    share = F.when(F.col("_large"), F.pmod(F.xxhash64("comp_key"), F.lit(SALTS)).cast("int")).otherwise(0)
-    shares = F.sequence(F.lit(0), F.when(F.col("_large"), SALTS - 1).otherwise(0))
     return (
-        pool.join(marks, "request_id", "left")
-        .withColumn("_share", share)
-        .drop("_large")
-        .join(
-            edges.join(marks, "request_id", "left").withColumn("_share", F.explode(shares)).drop("_large"),
-            ["request_id", "_share"],
-        )
+        spread_join(pool, edges, ["request_id"], by=["comp_key"])
         .select("*", F.inline("_edges"))
         .withColumn("_away", F.abs(F.col("premium") - F.col("candidate_premium")))
-        .withColumn("_rank", F.row_number().over(per_share))
-        .where(F.col("_rank") <= k)
         .withColumn("neighbor_rank", F.row_number().over(closest))
         .where(F.col("neighbor_rank") <= k)
-        .drop("_away", "_share", "_rank", "_edges")
+        .drop("_away", "_edges")
     )
 
 
@@ -80,8 +58,7 @@ def neighbor_pool(scored: DataFrame) -> DataFrame:
         "group_key",
         "first_listed",
         "premium",
-        *[c for c in _OUTCOME if c != "cut_count"],
-        F.size("cut_history").alias("cut_count"),
+        *_OUTCOME,
     )
 
 
@@ -155,9 +132,7 @@ def price_tests(
     """
     candidates = candidate_edges(requests, edges)
     pool = neighbor_pool(scored)
-    # kept as a table of known and tiny size, so that marking rows moves nothing
-    large = keep(large_pools(pool), "large-pools")
-    neighbors = keep(nearest(pool, candidates, k, large), "neighbors")
+    neighbors = keep(nearest(pool, candidates, k), "neighbors")
     guards = edge_guards(candidates, neighbors)
     verdict = keep(guard(guards), "verdicts")
     trusted = verdict.where(F.col("reason").isNull()).select("request_id")

@@ -8,6 +8,7 @@ small however often it was observed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from leasegrain.config import CONFIRMED_DAYS, DAYS_PER_MONTH, WITHDRAWAL_FLOOR_D
 from leasegrain.functions.address import SEPARATOR, has_text, names_something, with_comp_key
 from leasegrain.functions.dates import calendar_date, in_season, month_day
 from leasegrain.operators.spread import spread_join
+from leasegrain.session import staged
 
 UNIT = ["pull_ref", "group_key"]
 _OBSERVED = ["address", "unit", "lat", "lng", "beds", "baths", "sqft"]
@@ -163,16 +165,10 @@ def fold_chains(stitched: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     Each described field comes from the latest spell that reports a usable
     value; coordinates are taken as a pair; bedrooms from the last spell.
 
-    The rows of a unit already lie together, so the facts of a chain are read
-    over its window and its first row is kept: nothing moves or is merged again.
-    A chain holds at most one spell per day, which bounds windows and lists.
+    The rows of a unit already lie together, so they are merged where they are.
+    A chain holds at most one spell per day, which bounds the list of its cuts.
     """
     unit = Window.partitionBy(*keys).orderBy("listed")
-    chain = (
-        Window.partitionBy(*keys, "chain")
-        .orderBy("listed")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
     cut = F.when(
         ~F.col("starts_chain") & (F.col("price") < F.col("_previous_price")),
         F.struct(
@@ -182,46 +178,29 @@ def fold_chains(stitched: DataFrame, keys: list[str] = UNIT) -> DataFrame:
         ),
     )
 
-    def latest(value: Column, usable: Column) -> Column:
-        return F.last(F.when(usable, value), ignorenulls=True).over(chain)
-
-    point = F.struct("lat", "lng")
-    reported_point = latest(point, (F.col("lat") != 0) & (F.col("lng") != 0))
-    facts = stitched.withColumn("_previous_price", F.lag("price").over(unit)).select(
-        *keys,
-        "chain",
-        "starts_chain",
-        F.col("listed").alias("first_listed"),
-        F.max("removed").over(chain).alias("_last_removed"),
-        F.bool_or(F.col("removed").isNull()).over(chain).alias("_open"),
-        F.col("price").alias("initial_ask"),
-        (F.count(F.lit(1)).over(chain) - 1).cast("int").alias("relist_count"),
-        F.coalesce(F.sum(F.when(~F.col("starts_chain"), F.col("off_market"))).over(chain), F.lit(0)).cast("int").alias("gap_days"),
-        F.collect_list(cut).over(chain).alias("cut_history"),
-        F.coalesce(latest(F.col("address"), has_text(F.col("address"))), F.last("address").over(chain)).alias("address"),
-        latest(F.col("unit"), has_text(F.col("unit"))).alias("unit"),
-        F.coalesce(reported_point, F.last(point).over(chain)).alias("_point"),
-        F.last("beds").over(chain).alias("beds"),
-        latest(F.col("baths"), F.col("baths").isNotNull()).alias("baths"),
-        latest(F.col("sqft"), F.col("sqft") > 0).alias("sqft"),
-    )
-    return facts.where("starts_chain").select(
-        *keys,
-        "chain",
-        "first_listed",
-        F.when(~F.col("_open"), F.col("_last_removed")).alias("chain_end"),
-        "initial_ask",
-        "relist_count",
-        "gap_days",
-        "cut_history",
-        "address",
-        "unit",
-        "beds",
-        "baths",
-        "sqft",
-        "_point.lat",
-        "_point.lng",
+    def latest(value: Column, usable: Column = F.lit(True)) -> Column:
+        return F.max_by(value, F.when(usable, F.col("listed")))
+
+    address, point = F.col("address"), F.struct("lat", "lng")
+    merged = (
+        stitched.withColumn("_previous_price", F.lag("price").over(unit))
+        .groupBy(*keys, "chain")
+        .agg(
+            F.min("listed").alias("first_listed"),
+            F.when(~F.bool_or(F.col("removed").isNull()), F.max("removed")).alias("chain_end"),
+            F.max(F.when(F.col("starts_chain"), F.col("price"))).alias("initial_ask"),
+            (F.count(F.lit(1)) - 1).cast("int").alias("relist_count"),
+            F.coalesce(F.sum(F.when(~F.col("starts_chain"), F.col("off_market"))), F.lit(0)).cast("int").alias("gap_days"),
+            F.array_sort(F.collect_list(cut)).alias("cut_history"),
+            F.coalesce(latest(address, has_text(address)), latest(address)).alias("address"),
+            latest(F.col("unit"), has_text(F.col("unit"))).alias("unit"),
+            latest(F.col("beds")).alias("beds"),
+            latest(F.col("baths"), F.col("baths").isNotNull()).alias("baths"),
+            latest(F.col("sqft"), F.col("sqft") > 0).alias("sqft"),
+            F.coalesce(latest(point, (F.col("lat") != 0) & (F.col("lng") != 0)), latest(point)).alias("_point"),
+        )
     )
+    return merged.select("*", "_point.lat", "_point.lng").drop("_point")
 
 
 def flag_withdrawals(chains: DataFrame, months: int, keys: list[str] = UNIT) -> DataFrame:
@@ -250,11 +229,14 @@ def price_per_sqft(price: Column, sqft: Column) -> Column:
     return F.when(sqft > 0, price / sqft)
 
 
-def classify(chains: DataFrame, pulls: DataFrame, knobs: Knobs) -> DataFrame:
+def classify(
+    chains: DataFrame, pulls: DataFrame, knobs: Knobs, counts: DataFrame | None = None
+) -> DataFrame:
     """Vacancy length, censoring, removal class, cohort and season per chain.
 
     ``pulls`` has ``pull_ref, as_of, window_start, window_end``; the date of
-    observation is data and never the clock.
+    observation is data and never the clock. ``counts`` (``pull_ref, rows``)
+    tells how the chains spread over the pulls, where that is known cheaply.
     """
     end = F.col("chain_end")
     seasons = pulls.select(
@@ -264,7 +246,7 @@ def classify(chains: DataFrame, pulls: DataFrame, knobs: Knobs) -> DataFrame:
         month_day(F.col("window_end")).alias("_closes"),
     )
     return (
-        spread_join(chains, seasons, ["pull_ref"], by=["group_key"])
+        spread_join(chains, seasons, ["pull_ref"], by=["group_key"], counts=counts)
         .withColumn("effective_dom", F.datediff(F.coalesce(end, F.col("as_of")), F.col("first_listed")))
         .withColumn("censored", end.isNull())
         .withColumn("removal_class", removal_class(end, F.col("as_of"), knobs.provisional_lease_days))
@@ -345,7 +327,8 @@ def shape(records: DataFrame, pulls: DataFrame, knobs: Knobs = Knobs()) -> Shape
     observed = observations(with_identity(records.where(~nameless)))
     spells = collapse(observed)
     folded = fold_chains(stitch(spells, knobs.stitch_gap_days))
-    chains = classify(flag_withdrawals(folded, knobs.withdrawal_suspect_months), pulls, knobs)
+    counts = records.groupBy("pull_ref").agg(F.count(F.lit(1)).alias("rows"))
+    chains = classify(flag_withdrawals(folded, knobs.withdrawal_suspect_months), pulls, knobs, counts)
     sound = chains.where(F.col("effective_dom") >= 0)
     comps = with_final_keys(sound.where("in_window").drop("in_window"))
     quarantine = (
@@ -377,25 +360,25 @@ def shaping_summary(chains: DataFrame) -> DataFrame:
     )
 
 
-def with_sequence(comps: DataFrame, prefix: int = 6) -> DataFrame:
+def with_sequence(comps: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
     """Add ``comp_seq``, the comp's place in its pull's fixed order.
 
-    A pull may be too large to number in one task. Comps are counted per
-    leading characters of their unit key, the counts are summed up in order,
-    and only comps that share those characters are numbered together.
+    A pull may be too large to number in one task. The comps are sorted into
+    ranges of about equal size, whatever their keys look like, and written; the
+    sizes of a pull's earlier ranges are where a range starts to count.
     """
-    block = F.substring("group_key", 1, prefix)
-    blocked = comps.withColumn("_block", block)
-    blocks = Window.partitionBy("pull_ref").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["pull_ref", "group_key", "first_listed"]
+    ranges = keep(comps.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered-comps")
+    earlier = Window.partitionBy("pull_ref").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy("pull_ref", "_block")
+        ranges.groupBy("pull_ref", "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(blocks), F.lit(0)))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    inside = Window.partitionBy("pull_ref", "_block").orderBy("group_key", "first_listed")
+    inside = Window.partitionBy("pull_ref", "_range").orderBy("group_key", "first_listed")
     return (
-        blocked.join(offsets, ["pull_ref", "_block"])
+        ranges.join(offsets, ["pull_ref", "_range"])
         .withColumn("comp_seq", F.col("_before") + F.row_number().over(inside))
-        .drop("_block", "_before")
+        .drop("_range", "_before")
     )

@@ -8,13 +8,15 @@ per distinct day.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bins per e-fold of a value: neighbouring bins are about 0.012 % apart.
-_BINS_PER_EFOLD = 8192
+# Bins per e-fold of a value: neighbouring bins are about 0.0015 % apart.
+_BINS_PER_EFOLD = 1 << 16
+# The logarithm of a positive double lies between -745.2 and 709.8.
+_LOG_RANGE = 746
 
 
 def checked_weight(weight: Column) -> Column:
@@ -25,27 +27,44 @@ def checked_weight(weight: Column) -> Column:
 
 def _value_bin(value: Column) -> Column:
     """A bin number that never decreases as the value grows; never null, so that
-    no null check on it keeps Spark from sharing a shuffle."""
-    return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BINS_PER_EFOLD), F.lit(0))
+    no null check on it keeps Spark from sharing a shuffle.
 
+    Bins are relative to the value down to the smallest one; 0, infinities and
+    NaN (the largest value, as in Spark's order) have their own.
+    """
+    size = F.floor((F.ln(F.abs(value)) + _LOG_RANGE) * _BINS_PER_EFOLD) + 1
+    last = F.lit(2 * _LOG_RANGE * _BINS_PER_EFOLD)
+    infinite = F.lit(float("inf"))
+    return (
+        F.when(F.isnan(value), last + 1)
+        .when(value == infinite, last)
+        .when(value == -infinite, -last)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .otherwise(F.lit(0).cast("bigint"))
+    )
 
-def weighted_quantile(
+
+def weighted_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    weight: str | Column = "weight",
-    q: float = 0.5,
-    out: str = "quantile",
+    weight: str | Column,
+    qs: Mapping[str, float],
     merged: bool = False,
 ) -> DataFrame:
-    """One row per key: the smallest value whose cumulative weight share is >= q.
+    """One row per key with a column per entry ``name: q`` of ``qs``: the
+    smallest value whose cumulative weight share is >= q.
 
     Never interpolates. Rows without a value or with weight 0 are no evidence,
     and keys without evidence have no row. Equal values are merged first, unless
-    the caller says that they are ``merged`` already.
+    the caller says that they are ``merged`` already: a value that fills a
+    large part of the table is added up before it moves. All quantiles share
+    that one pass; then only the bins that hold an answer are put in order.
     """
-    if not 0.0 <= q <= 1.0:
-        raise ValueError(f"q must lie in [0, 1], got {q!r}")
+    for q in qs.values():
+        if not 0.0 <= q <= 1.0:
+            raise ValueError(f"q must lie in [0, 1], got {q!r}")
     keys = list(keys)
     weight = F.col(weight) if isinstance(weight, str) else weight
     points = (
@@ -56,37 +75,55 @@ def weighted_quantile(
         points = points.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
     points = points.withColumn("_bin", _value_bin(F.col("_v")))
 
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(float(q)).alias("_q")) for name, q in qs.items()])
     ordered = Window.partitionBy(*keys).orderBy("_bin")
-    before = F.lag("_upto", 1, 0.0).over(ordered)
     crossing = (
         points.groupBy(*keys, "_bin")
         .agg(F.sum("_w").alias("_bin_w"))
         .withColumn("_upto", F.sum("_bin_w").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_before", before)
+        .withColumn("_before", F.lag("_upto", 1, 0.0).over(ordered))
         .withColumn("_total", F.max("_upto").over(Window.partitionBy(*keys)))
+        .select(*keys, "_bin", "_upto", "_before", "_total", F.inline(asked))
         .where(
-            (F.col("_upto") / F.col("_total") >= q)
-            & ((F.col("_before") == 0) | (F.col("_before") / F.col("_total") < q))
+            (F.col("_upto") / F.col("_total") >= F.col("_q"))
+            & ((F.col("_before") == 0) | (F.col("_before") / F.col("_total") < F.col("_q")))
         )
-        .select(*keys, "_bin", "_before", "_total")
+        .groupBy(*keys, "_bin", "_before", "_total")
+        .agg(F.collect_list(F.struct("_name", "_q")).alias("_asked"))  # as many as asked for
     )
 
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
     share = (
         F.col("_before") + F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     ) / F.col("_total")
-    return (
+    answers = (
         points.join(crossing, [*keys, "_bin"])
         .withColumn("_share", share)
         .withColumn("_previous", F.lag("_share").over(inside))
         .withColumn("_next", F.lead("_share").over(inside))
+        .select(*keys, "_v", "_share", "_previous", "_next", F.inline("_asked"))
         # the last value of the bin answers if rounding leaves its share just below q
         .where(
-            (F.col("_previous").isNull() | (F.col("_previous") < q))
-            & ((F.col("_share") >= q) | F.col("_next").isNull())
+            (F.col("_previous").isNull() | (F.col("_previous") < F.col("_q")))
+            & ((F.col("_share") >= F.col("_q")) | F.col("_next").isNull())
         )
-        .select(*keys, F.col("_v").alias(out))
     )
+    if len(qs) == 1:
+        return answers.select(*keys, F.col("_v").alias(next(iter(qs))))
+    return answers.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in qs])
+
+
+def weighted_quantile(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str | Column = "weight",
+    q: float = 0.5,
+    out: str = "quantile",
+    merged: bool = False,
+) -> DataFrame:
+    """``weighted_quantiles`` for one q."""
+    return weighted_quantiles(df, keys, value, weight, {out: q}, merged)
 
 
 def weighted_median(

@@ -216,11 +216,8 @@ def shaped_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lower weighted quantiles per return flag: a third of the rows each."""
     lines = table(spark, sf_dir, "lineitem")
-    quartiles = [
-        statistics.weighted_quantile(lines, ["l_returnflag"], "l_extendedprice", "l_quantity", q, f"q{round(q * 100)}")
-        for q in (0.25, 0.5, 0.9)
-    ]
-    return quartiles[0].join(quartiles[1], "l_returnflag").join(quartiles[2], "l_returnflag")
+    asked = {"q25": 0.25, "q50": 0.5, "q90": 0.9}
+    return statistics.weighted_quantiles(lines, ["l_returnflag"], "l_extendedprice", "l_quantity", asked)
 
 
 @query

@@ -256,8 +256,7 @@ def test_outcome_words(spark, rows):
     }
 
 
-@pytest.mark.parametrize("large", [[], ["r"]])
-def test_top_k_of_ordinary_and_large_pools(spark, large):
+def test_top_k_of_a_pool_that_fills_the_table(spark):
     pool = spark.range(5000).selectExpr(
         "'r' AS request_id", "concat('c', id) AS comp_key", "concat('c', id) AS group_key", "date'2026-01-01' AS first_listed",
         "id / 5000.0D AS premium", "1 AS effective_dom", "false AS censored", "'confirmed' AS removal_class", "1.0D AS weight",
@@ -267,8 +266,9 @@ def test_top_k_of_ordinary_and_large_pools(spark, large):
         [("r", e, 2000.0, c) for e, c in (("low", 0.2), ("mid", 0.5), ("high", 0.9))],
         "request_id string, edge string, candidate_rent double, candidate_premium double",
     )
-    marked = spark.createDataFrame([(r,) for r in large], "request_id string")
-    found = price_test.nearest(pool, candidates, 3, marked)
+    found = price_test.nearest(pool, candidates, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "WindowGroupLimit" in plan
     assert {(r.edge, r.comp_key) for r in found.collect()} == {
         (e, f"c{n}") for e, m in (("low", 1000), ("mid", 2500), ("high", 4500)) for n in (m - 1, m, m + 1)
     }

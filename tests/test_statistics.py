@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from leasegrain.operators.statistics import expected_days, km_steps, survival_at, weighted_median, weighted_quantile
+from leasegrain.operators.statistics import (
+    _value_bin, expected_days, km_steps, survival_at, weighted_median, weighted_quantile, weighted_quantiles,
+)
 from tests import plain
 from tests.raised import RAISED
 
@@ -116,3 +119,21 @@ def test_durations_must_be_whole_days(spark, days):
     df = frame(spark, [(1, days, False, 1.0)], KM.replace("effective_dom int", "effective_dom double"))
     with pytest.raises(RAISED, match="whole"):
         km_steps(df, ["k"]).collect()
+
+
+def test_values_near_zero_spread_over_many_bins(spark):
+    df = spark.range(1, 1001).selectExpr("1 AS k", "id / 1e7 AS v", "1.0D AS weight")
+    assert df.select(_value_bin(F.col("v"))).distinct().count() > 990
+    assert weighted_median(df, ["k"], "v").first().median == 500 / 1e7
+
+
+def test_bins_follow_the_order_of_values(spark):
+    values = [float("-inf"), -1.7e308, -3.0, -1e-300, -5e-324, 0.0, 5e-324, 1e-300, 3.0, 1.7e308, float("inf"), float("nan")]
+    bins = [r.b for r in frame(spark, [(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(_value_bin(F.col("v")).alias("b")).collect()]
+    assert bins == sorted(set(bins))
+
+
+def test_several_quantiles_share_one_scan(spark):
+    df = spark.range(1, 101).selectExpr("id % 2 AS k", "cast(id AS double) AS v", "1.0D AS weight")
+    found = {tuple(r) for r in weighted_quantiles(df, ["k"], "v", "weight", {"a": 0.0, "b": 0.5, "c": 1.0}).collect()}
+    assert found == {(0, 2.0, 50.0, 100.0), (1, 1.0, 49.0, 99.0)}
