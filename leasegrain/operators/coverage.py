@@ -157,20 +157,26 @@ def affordable(gaps: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
-def evidence_digests(responses: DataFrame, manifests: DataFrame) -> DataFrame:
-    """A digest per pull of everything its comps are shaped from.
+def hash_sums(digest: Column) -> Column:
+    """The count and four sums over a group's hex digests, as one text.
 
-    Sums of per-file digests do not depend on order and merge before the
-    shuffle, so a pull of any number of files is never gathered in one place.
+    Whatever the order of the rows, and merged before the shuffle.
     """
-    file = F.sha2(F.concat_ws(":", "file_name", F.sha2("body", 256)), 256)
 
     def part(start: int) -> Column:
-        return F.sum(F.conv(F.substring(file, start, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+        return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)")).cast("string")
 
-    files = responses.groupBy("pull_ref").agg(
-        F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16), part(31), part(46)).alias("_files")
-    )
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16), part(31), part(46))
+
+
+def evidence_digests(responses: DataFrame, manifests: DataFrame) -> DataFrame:
+    """A digest per pull of everything its comps are shaped from.
+
+    Sums of per-file digests, so a pull of any number of files is never gathered
+    in one place.
+    """
+    file = F.sha2(F.concat_ws(":", "file_name", F.sha2("body", 256)), 256)
+    files = responses.groupBy("pull_ref").agg(hash_sums(file).alias("_files"))
     noted = manifests.select(
         "pull_ref", F.concat_ws(":", F.col("as_of").cast("string"), "window_start", "window_end").alias("_noted")
     )

@@ -60,6 +60,8 @@ def request_errors() -> Column:
     return F.array_compact(
         F.array(
             F.when(F.col("pull_ref").isNull(), "pull_ref is required"),
+            F.when(F.col("subject_lat").isNull() | F.isnan("subject_lat"), "subject latitude is required"),
+            F.when(F.col("subject_lng").isNull() | F.isnan("subject_lng"), "subject longitude is required"),
             F.when(F.coalesce(F.col("subject_sqft") <= 0, F.lit(True)), "subject sqft must be positive"),
             F.when(F.col("candidate_rent") <= 0, "candidate rent must be positive"),
             F.when(F.col("max_distance_mi") < 0, "maximum distance must not be negative"),

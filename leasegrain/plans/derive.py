@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasegrain.config import PIPELINE_VERSION, Knobs
 from leasegrain.operators import buckets, cohorts, curation, evidence, price_test
+from leasegrain.operators.coverage import hash_sums
 from leasegrain.operators.shaping import with_row_dates
 from leasegrain.session import staged
 
@@ -141,17 +143,19 @@ def derived_comps(scored: DataFrame, comps: DataFrame) -> DataFrame:
 def meta(
     requests: DataFrame, comps: DataFrame, knobs: Knobs, gaps: DataFrame | None = None
 ) -> DataFrame:
-    """Provenance of every request's numbers.
+    """Provenance of every request's numbers: digests of the comps and of the
+    knobs, and the knobs themselves as JSON.
 
     ``gaps`` has ``pull_ref, missing, calls_to_complete``; a pull without a row
     there is whole.
     """
     digests = comps.groupBy("pull_ref").agg(
-        F.max("as_of").alias("as_of"), F.count(F.lit(1)).alias("n_comps"), pull_digest().alias("pull_digest")
+        F.max("as_of").alias("as_of"), F.count(F.lit(1)).alias("n_comps"), pull_digest(comps.columns).alias("pull_digest")
     )
     rows = (
         requests.select("request_id", "pull_ref")
         .join(digests, "pull_ref", "left")
+        .withColumn("knobs", F.lit(json.dumps(knobs.to_mapping(), sort_keys=True)))
         .withColumn("config_digest", F.lit(knobs.digest()))
         .withColumn("pipeline_version", F.lit(PIPELINE_VERSION))
     )
@@ -160,9 +164,6 @@ def meta(
     return rows
 
 
-def pull_digest() -> Column:
-    """An order-free digest of a pull's comps: two sums of row hashes."""
-    row = F.struct("comp_key", "first_listed", "initial_ask", "effective_dom", "sqft")
-    low = F.sum((F.xxhash64(row) % F.lit(2**31)).cast("decimal(38,0)"))
-    high = F.sum(F.xxhash64(F.lit("b"), row).cast("decimal(38,0)"))
-    return F.sha2(F.concat_ws(":", low.cast("string"), high.cast("string"), F.count(F.lit(1)).cast("string")), 256)
+def pull_digest(columns: Sequence[str]) -> Column:
+    """An order-free digest of a pull's comps over all their columns, by name."""
+    return F.sha2(hash_sums(F.sha2(F.to_json(F.struct(*sorted(columns))), 256)), 256)

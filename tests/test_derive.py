@@ -1,3 +1,4 @@
+import json
 from datetime import date, timedelta
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leasegrain.config import Knobs
 from leasegrain.operators import cohorts, curation, price_test, views
-from leasegrain.plans.derive import derive, lazy
+from leasegrain.plans.derive import derive, lazy, meta
 from leasegrain.session import staged
 from leasegrain.schemas import CUTS
 from tests.raised import RAISED
@@ -272,3 +273,23 @@ def test_top_k_of_a_pool_that_fills_the_table(spark):
     assert {(r.edge, r.comp_key) for r in found.collect()} == {
         (e, f"c{n}") for e, m in (("low", 1000), ("mid", 2500), ("high", 4500)) for n in (m - 1, m, m + 1)
     }
+
+
+def test_a_changed_column_changes_the_pull_digest(spark):
+    def digest(**more):
+        asked, comps, _, _ = frames(spark, [comp("a", **more), comp("b")], [request()], [("r", "a", 1.0)], [("r", "a")])
+        return meta(asked, comps, Knobs()).first()
+
+    base = digest()
+    assert base.pull_digest == digest().pull_digest and json.loads(base.knobs) == json.loads(json.dumps(Knobs().to_mapping()))
+    for change in ({"lat": 41.9}, {"beds": 9.0}, {"removal_class": "pending"}, {"sqft": None}):
+        assert digest(**change).pull_digest != base.pull_digest, change
+
+
+def test_a_request_without_a_place_is_kept_aside(spark):
+    asked, _, weights, _ = frames(
+        spark, [comp("a")], [request(), request(request_id="x", subject_lat=None, subject_lng=float("nan"))], [("r", "a", 1.0)], [("r", "a")]
+    )
+    good, rejected = curation.split_requests(asked, weights)
+    assert [r.request_id for r in good.collect()] == ["r"]
+    assert rejected.first().errors == ["subject latitude is required", "subject longitude is required"]
