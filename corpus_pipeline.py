@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leasegrain.llm import decontamination, langid, mixing, queries, simhash, token_files
+from leasegrain.llm import decontamination, langid, mixing, queries, similar, token_files
 from leasegrain.llm.common import table
 from leasegrain.session import staged
 
@@ -21,8 +21,8 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; see ``simhash.keep_first``."""
-    return simhash.keep_first(docs)
+    """One document of each group of texts with a five-word Jaccard similarity of 0.8 or more; see ``similar.keep_first``."""
+    return similar.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
