@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
-Each rule is a regular expression with a keyword that must be in the text before
-it is tried, a priority and a confidence. Of overlapping detections one that lies
+Each rule is a regular expression with keywords, one of which must be in the text
+before it is tried, a priority and a confidence. Runs of white space are one space
+to both. Of overlapping detections one that lies
 inside another of higher priority (or as high and longer) is suppressed. Four base
 phrases are counted apart, word by word, and their labels always stay.
 """
@@ -30,7 +31,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, np.int8)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 
-#: label | keyword | name as a pattern | SPDX id as a pattern | address as a pattern
+#: label | keywords | name as a pattern | SPDX id as a pattern | address as a pattern
 FAMILIES = """
 agpl | affero | gnu affero general public licen[cs]e | agpl-(?P<v>[\\d.]+) | gnu\\.org/licenses/agpl
 lgpl | lesser | gnu lesser general public licen[cs]e | lgpl-(?P<v>[\\d.]+) | gnu\\.org/licenses/lgpl
@@ -42,7 +43,7 @@ mit | mit | mit licen[cs]e | mit\\b | opensource\\.org/licenses/mit
 x11 | x11 | (?:mit/)?x11 licen[cs]e | x11\\b | opensource\\.org/licenses/x11
 expat | expat | expat licen[cs]e | expat\\b | directory\\.fsf\\.org/wiki/license:expat
 bsd | bsd | bsd(?: licen[cs]e|[- ][0234][- ]clause(?: licen[cs]e)?) | bsd-(?P<v>\\d)-clause | opensource\\.org/licenses/bsd
-0bsd | zero-clause | zero[- ]clause bsd(?: licen[cs]e)? | 0bsd\\b | opensource\\.org/licenses/0bsd
+0bsd | zero | zero[- ]clause bsd(?: licen[cs]e)? | 0bsd\\b | opensource\\.org/licenses/0bsd
 isc | isc | isc licen[cs]e | isc\\b | opensource\\.org/licenses/isc
 mpl | mozilla | mozilla public licen[cs]e | mpl-(?P<v>[\\d.]+) | mozilla\\.org/(?:[a-z-]+/)?mpl
 npl | netscape | netscape public licen[cs]e | npl-(?P<v>[\\d.]+) | mozilla\\.org/mpl/npl
@@ -61,7 +62,7 @@ apsl | apple public | apple public source licen[cs]e | apsl-(?P<v>[\\d.]+) | ope
 rpl | reciprocal | reciprocal public licen[cs]e | rpl-(?P<v>[\\d.]+) | opensource\\.org/licenses/rpl
 ms-pl | microsoft public | microsoft public licen[cs]e | ms-pl\\b | opensource\\.org/licenses/ms-pl
 ms-rl | microsoft reciprocal | microsoft reciprocal licen[cs]e | ms-rl\\b | opensource\\.org/licenses/ms-rl
-psf | python software | python(?: software foundation)? licen[cs]e | (?:psf|python)-(?P<v>[\\d.]+) | docs\\.python\\.org/[\\w/.]*license
+psf | python | python(?: software foundation)? licen[cs]e | (?:psf|python)-(?P<v>[\\d.]+) | docs\\.python\\.org/[\\w/.]*license
 php | php | php licen[cs]e | php-(?P<v>[\\d.]+) | php\\.net/license
 ruby | ruby | ruby licen[cs]e | ruby\\b | ruby-lang\\.org/en/about/license
 zlib | zlib | zlib(?:/libpng)? licen[cs]e | zlib\\b | zlib\\.net/zlib_license
@@ -71,14 +72,14 @@ busl | business source | business source licen[cs]e | busl-(?P<v>[\\d.]+) | mari
 sspl | server side | server side public licen[cs]e | sspl-(?P<v>[\\d.]+) | mongodb\\.com/licensing/server-side
 elastic | elastic | elastic licen[cs]e | elastic-(?P<v>[\\d.]+) | elastic\\.co/licensing/elastic-license
 unlicense | unlicense | the unlicense | unlicense\\b | unlicense\\.org
-wtfpl | wtfpl | (?:do what the f\\S* you want to public licen[cs]e|wtfpl) | wtfpl\\b | wtfpl\\.net
-cc0 | cc0 | (?:creative commons zero|cc0)(?: universal)? | cc0-(?P<v>[\\d.]+) | creativecommons\\.org/publicdomain/zero
-cc-by-nc-nd | nc-nd | (?:cc by-nc-nd|creative commons attribution-non-?commercial-no-?derivatives) | cc-by-nc-nd-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nc-nd
-cc-by-nc-sa | nc-sa | (?:cc by-nc-sa|creative commons attribution-non-?commercial-share-?alike) | cc-by-nc-sa-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nc-sa
-cc-by-nc | nc | (?:cc by-nc(?!-)|creative commons attribution-non-?commercial(?!-)) | cc-by-nc-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nc/
-cc-by-nd | nd | (?:cc by-nd|creative commons attribution-no-?derivatives) | cc-by-nd-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nd
-cc-by-sa | sa | (?:cc by-sa|creative commons attribution-share-?alike) | cc-by-sa-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-sa
-cc-by | by | (?:cc by(?!-)|creative commons attribution(?!-)) | cc-by-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by/
+wtfpl | wtfpl; do what the f | (?:do what the f\\S* you want to public licen[cs]e|wtfpl) | wtfpl\\b | wtfpl\\.net
+cc0 | cc0; creative commons zero | (?:creative commons zero|cc0)(?: universal)? | cc0-(?P<v>[\\d.]+) | creativecommons\\.org/publicdomain/zero
+cc-by-nc-nd | by-nc-nd; creative commons attribution | (?:cc by-nc-nd|creative commons attribution-non-?commercial-no-?derivatives) | cc-by-nc-nd-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nc-nd
+cc-by-nc-sa | by-nc-sa; creative commons attribution | (?:cc by-nc-sa|creative commons attribution-non-?commercial-share-?alike) | cc-by-nc-sa-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nc-sa
+cc-by-nc | by-nc; creative commons attribution | (?:cc by-nc(?!-)|creative commons attribution-non-?commercial(?!-)) | cc-by-nc-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nc/
+cc-by-nd | by-nd; creative commons attribution | (?:cc by-nd|creative commons attribution-no-?derivatives) | cc-by-nd-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-nd
+cc-by-sa | by-sa; creative commons attribution | (?:cc by-sa|creative commons attribution-share-?alike) | cc-by-sa-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by-sa
+cc-by | cc by; creative commons attribution | (?:cc by(?!-)|creative commons attribution(?!-)) | cc-by-(?P<v>[\\d.]+) | creativecommons\\.org/licenses/by/
 odbl | open database | open (?:data commons open )?database licen[cs]e | odbl-(?P<v>[\\d.]+) | opendatacommons\\.org/licenses/odbl
 odc-by | open data commons | open data commons attribution licen[cs]e | odc-by-(?P<v>[\\d.]+) | opendatacommons\\.org/licenses/by
 pddl | public domain dedication | public domain dedication and licen[cs]e | pddl-(?P<v>[\\d.]+) | opendatacommons\\.org/licenses/pddl
@@ -95,16 +96,16 @@ SHAPES = (
     ("{name},? (?:version |v\\.? ?)?(?P<v>\\d[\\d.]*\\d|\\d)", 70, 0.85),
     ("{name}", 50, 0.7),
 )
-#: Rules outside the families: label, keyword, pattern, priority, confidence.
+#: Rules outside the families: label, keywords, pattern, priority, confidence.
 OTHERS = (
     ("mit", "free of charge", "permission is hereby granted, free of charge, to any person obtaining a copy", 85, 0.97),
     ("mit", "without restriction", "deal in the software without restriction, including without limitation the rights", 84, 0.95),
     ("bsd", "redistribution", "redistribution and use in source and binary forms, with or without modification", 85, 0.97),
-    ("bsd-3", "endorse", "neither the name of .{1,80}? may be used to endorse or promote products", 86, 0.97),
+    ("bsd-3", "endorse", "neither the name of (?:(?!neither the name of).)+? may be used to endorse or promote products", 86, 0.97),
     ("isc", "permission to use", "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 85, 0.95),
     ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation", 86, 0.97),
-    ("lgpl", "free software foundation", "under the terms of the gnu lesser general public license as published", 87, 0.97),
-    ("agpl", "free software foundation", "under the terms of the gnu affero general public license as published", 88, 0.97),
+    ("lgpl", "lesser", "under the terms of the gnu lesser general public license as published", 87, 0.97),
+    ("agpl", "affero", "under the terms of the gnu affero general public license as published", 88, 0.97),
     ("gpl-or-later", "later version", "(?:either version [\\d.]+ of the license, or )?\\(?at your option\\)? any later version", 60, 0.6),
     ("apache-2.0", "in compliance", "you may not use this file except in compliance with the license", 84, 0.9),
     ("zlib", "as-is", "this software is provided 'as-is', without any express or implied warranty", 83, 0.9),
@@ -115,15 +116,15 @@ OTHERS = (
     ("copyright", "copyright", "copyright (?:\\(c\\) ?|© ?)?(?:19|20)\\d\\d", 20, 0.4),
     ("proprietary", "proprietary", "proprietary and confidential", 60, 0.8),
     ("proprietary", "unauthorized", "unauthorized (?:copying|use|distribution) of this (?:file|software|document)", 60, 0.8),
-    ("proprietary", "license agreement", "end[- ]user licen[cs]e agreement", 55, 0.7),
-    ("non-commercial", "non-commercial", "for non-?commercial (?:use|purposes) only", 55, 0.7),
-    ("research-only", "research", "for (?:academic|research) (?:use|purposes) only", 55, 0.7),
+    ("proprietary", "license agreement; licence agreement", "end[- ]user licen[cs]e agreement", 55, 0.7),
+    ("non-commercial", "non-commercial; noncommercial", "for non-?commercial (?:use|purposes) only", 55, 0.7),
+    ("research-only", "research; academic", "for (?:academic|research) (?:use|purposes) only", 55, 0.7),
 )
 
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
@@ -134,22 +135,27 @@ def _spaced(pattern: str) -> bytes:
     return re.sub(r"(?<![\\?\[]) (?![?*+])", r"\\s+", pattern).encode()
 
 
+def _keywords(keys: str) -> tuple[bytes, ...]:
+    return tuple(k.encode() for k in keys.split("; "))
+
+
 def rules() -> list[Rule]:
     out = []
     for line in FAMILIES.splitlines():
-        label, keyword, name, spdx, address = (x.strip() for x in line.split(" | "))
+        label, keys, name, spdx, address = (x.strip() for x in line.split(" | "))
         for shape, priority, confidence in SHAPES:
             own = spdx if "{spdx}" in shape else name
             text = shape.replace("{spdx}", spdx).replace("{name}", name).replace("{address}", address)
-            need = "spdx" if "{spdx}" in shape else "://" if "{address}" in shape else keyword
+            need = "spdx" if "{spdx}" in shape else "://" if "{address}" in shape else keys
             edge = "" if own == spdx or "{address}" in shape else r"(?<![a-z0-9])"
-            out.append(Rule(label, need.encode(), re.compile(edge.encode() + _spaced(text)), priority, confidence))
-    out += [Rule(label, key.encode(), re.compile(_spaced(text)), priority, confidence) for label, key, text, priority, confidence in OTHERS]
+            out.append(Rule(label, _keywords(need), re.compile(edge.encode() + _spaced(text)), priority, confidence))
+    out += [Rule(label, _keywords(keys), re.compile(_spaced(text)), priority, confidence) for label, keys, text, priority, confidence in OTHERS]
     return sorted(out, key=lambda r: -r.priority)
 
 
 RULES = rules()
-KEYWORDS = sorted({r.keyword for r in RULES})
+KEYWORDS = sorted({k for r in RULES for k in r.keywords})
+SPACES = re.compile(rb"\s+")
 
 
 class Detection(NamedTuple):
@@ -161,11 +167,11 @@ class Detection(NamedTuple):
 
 
 def detect(low: bytes) -> list[Detection]:
-    """Detections of a lowered text after suppression, in order of place. A rule whose keyword is absent is not tried."""
+    """Detections of a lowered text with single spaces, after suppression, in order of place. A rule none of whose keywords is there is not tried."""
     there = {k for k in KEYWORDS if k in low}
     found = []
     for rule in RULES:
-        if rule.keyword in there:
+        if not there.isdisjoint(rule.keywords):
             for m in rule.pattern.finditer(low):
                 version = (m.groupdict().get("v") or b"").decode("latin-1").strip(".")
                 version = version[:-2] if version.endswith(".0") and rule.label.endswith("gpl") else version
@@ -179,7 +185,7 @@ def detect(low: bytes) -> list[Detection]:
 
 
 #: Texts without any of these hold no detection and no base phrase.
-GATE = re.compile(rb"licen[cs]|copyright|spdx|public domain|proprietary|all rights|unauthorized|://|cc0?(?![a-z0-9])|bsd|cecill|rail|wtfpl|permission|redistribution|commercial|research|as-is|later version|endorse|restriction|creative commons")
+GATE = re.compile(rb"licen[cs]|copyright|spdx|public domain|proprietary|all rights|unauthorized|://|cc0?(?![a-z0-9])|bsd|cecill|rail|wtfpl|permission|redistribution|commercial|research|academic|as-is|later version|endorse|restriction|creative commons")
 
 
 def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -187,6 +193,7 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     low = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
     inside = _IN_WORD[np.frombuffer(low, np.uint8)]
     n_words = int(np.count_nonzero(np.diff(inside, prepend=np.int8(0)) == 1))
+    low = SPACES.sub(b" ", low)
     if not GATE.search(low):
         return n_words, 0, None, None, "", "", 0.0
     line = b" " + b" ".join(WORD.findall(low)) + b" "

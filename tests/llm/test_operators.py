@@ -240,6 +240,62 @@ def test_detections_within_others_are_suppressed(docs, rows, none):
     assert licenses.with_licenses(docs).count() == len(rows) and licenses.with_licenses(none).count() == 0
 
 
+def samples(parsed):
+    """A text for each alternative of a parsed pattern, and with and without each optional part."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else {"CATEGORY_DIGIT": "3", "CATEGORY_SPACE": " "}.get(str(a), "x") for o, a in arg[:2]]
+            more = more if str(arg[0][0]) == "LITERAL" else more[:1]
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in samples(branch)]
+        elif op == "SUBPATTERN":
+            more = samples(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            few, many, inner = arg
+            more = [x * max(few, 1) for x in samples(inner)] + ([""] if few == 0 else [])
+        elif op == "ANY":
+            more = ["x y " * 60 + "x"]
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT", "AT"), op
+            more = [""]
+        out = [a + b for a in out for b in more][:400]
+    return out
+
+
+def test_rules_are_tried_on_every_text_they_match():
+    parser, tried = re._parser, 0
+    for rule in licenses.RULES:
+        if b"://" in rule.keywords:
+            continue
+        for text in samples(parser.parse(rule.pattern.pattern.decode())):
+            if rule.pattern.fullmatch(text.encode()):
+                tried += 1
+                low = licenses.SPACES.sub(b" ", text.encode())
+                assert any(k in low for k in rule.keywords) and licenses.GATE.search(low), text
+                wrapped = licenses.scan("w " + re.sub(r"\s+", "\n  ", text) + " w")
+                assert wrapped == licenses.scan(f"w {text} w") and wrapped[5], text
+    assert tried > 500
+
+
+def test_alternatives_without_the_short_name_get_a_label():
+    name = "Creative Commons Attribution-NonCommercial-"
+    for text, label in [
+        (name + "ShareAlike", "cc-by-nc-sa"),
+        (name + "NoDerivatives", "cc-by-nc-nd"),
+        ("Creative Commons Zero", "cc0"),
+        ("zero clause BSD", "0bsd"),
+        ("the GNU General\nPublic License", "gpl"),
+        ("placed in the public\ndomain", "public-domain"),
+        ("All\n rights  reserved", "all-rights-reserved"),
+        (f"Neither the name of {'the holder or ' * 20}its contributors may be used to endorse or promote products", "bsd-3"),
+    ]:
+        assert label in licenses.scan(text)[5].split(","), text
+
+
 def test_mixture_comes_near_its_targets(docs, rows, none):
     got = mixing.mix(docs, bucket_rows=7).collect()
     size, taken, target = Counter(), Counter(), {}
