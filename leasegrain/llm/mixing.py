@@ -1,4 +1,4 @@
-"""A mixture of sources at target weights: equal-token blocks dealt out by Sainte-Laguë."""
+"""A mixture of sources at target weights: equal-token units dealt out by Sainte-Laguë, taken in blocks."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leasegrain.llm.common import seeded, with_prefix
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Blocks for each source on average; a document never counts more than REPEATS times.
+#: Blocks for each source on average, and seats of the smallest target at least; a document never counts more than REPEATS times.
 BLOCKS_PER_SOURCE, REPEATS, WEIGHTS = 1000, 3, (5, 2, 1)
 ROWS_PER_BUCKET = 50_000
 SPAN = 1 << 52
@@ -81,36 +81,45 @@ def affine(n: int, seed: str) -> tuple[int, int]:
 
 
 def plan(sizes: list[tuple[str | None, int]], seed: int, shards: int, blocks_per_source: int = BLOCKS_PER_SOURCE) -> list[tuple]:
-    """A row per source: size, target, block length, blocks, quota and how the quota is met.
-
-    Every block of the source is taken ``passes`` times and ``extra`` blocks, the
-    first ones of a seeded permutation, once more. ``quotas`` is what each shard
-    gets of the quota, again by Sainte-Laguë, with each shard's whole quota kept.
+    """A row per source: size, target, block length, blocks, quota, how the quota is met, quotas of the shards, part.
+
+    Seats are units of words so short that the smallest target spans many of them; the
+    blocks of a source are whole units, of the same length in all sources but those too
+    small for it, which have shorter ones. Every block of the source is taken
+    ``passes`` times, ``extra`` blocks, the first ones of a seeded permutation, once
+    more, and of the next one its first ``part`` words, so that a quota is met to the
+    word. ``quotas`` is what each shard gets of the quota, again by Sainte-Laguë, with
+    each shard's whole quota kept.
     """
     want, total = targets(sizes), sum(n for _, n in sizes)
-    block = max(1, total // max(1, blocks_per_source * len(sizes)))
+    longest = max(1, total // max(1, blocks_per_source * len(sizes)))
     size = dict(sizes)
-    there = {s: -(-n // block) for s, n in sizes}
-    quota = apportion({s: want[s] for s in want}, round(sum(want.values()) / block), {s: REPEATS * there[s] for s in want})
+    unit = max(1, min([longest, *[int(w / BLOCKS_PER_SOURCE) for w in want.values() if w > 0]]))
+    quota = apportion({s: want[s] for s in want}, round(sum(want.values()) / unit), {s: REPEATS * size[s] // unit for s in want})
     out = []
     for s in want:
-        n = there[s]
-        passes, extra = divmod(quota[s], n) if n else (0, 0)
+        block = unit * max(1, min(longest, size[s] // max(1, blocks_per_source)) // unit)
+        n = -(-size[s] // block)
+        passes, rest = divmod(quota[s] * unit, size[s]) if n else (0, 0)
         a, c = affine(n, f"{seed}|{s}") if n else (1, 0)
+        # the source's last block may be short: blocks after it in the permutation start that much earlier
+        if n and rest >= ((a * (n - 1) + c) % n + 1) * block - (n * block - size[s]):
+            rest += n * block - size[s]
+        extra, part = divmod(rest, block)
         per_shard = apportion({str(k).zfill(6): 1.0 for k in range(shards)}, quota[s])
-        out.append((s, size[s], float(want[s]), block, n, quota[s], passes, extra, a, c, [per_shard[k] for k in sorted(per_shard)]))
+        out.append((s, size[s], float(want[s]), block, n, quota[s], passes, extra, a, c, [per_shard[k] for k in sorted(per_shard)], part))
     return out
 
 
 ADDED = ("size", "source_size", "target", "taken", "passes", "picked")
-PLAN = "source string, source_size long, target double, block long, blocks long, quota long, passes long, extra long, a long, c long, quotas array<long>"
+PLAN = "source string, source_size long, target double, block long, blocks long, quota long, passes long, extra long, a long, c long, quotas array<long>, part long"
 
 
 def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = ROWS_PER_BUCKET, blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
     """Adds ``size, source_size, target, taken, passes, first_word, picked`` to ``docs(doc_id, source, text, ...)``.
 
     The documents of a source stand in seeded order on one line of words, which
-    is cut into blocks of equal length; a document takes what its blocks are
+    is cut into blocks of equal length (shorter ones in a small source); a document takes what its blocks are
     taken. ``passes`` whole passes over the source are followed by one over the
     blocks in ``picked`` (positions of picked words, as ``[start, stop)`` pairs
     within the document). The plan has a row per source; only source sizes and
@@ -139,8 +148,10 @@ def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = RO
     lined = lined.join(F.broadcast(plans.withColumn("_source", key).drop("source")), "_source")
     blocks = F.expr("if(size = 0, array(), sequence(_offset div block, (_offset + size - 1) div block))")
     picked = F.expr(
-        """transform(filter(_blocks, j -> (cast(a as decimal(20)) * j + c) % blocks < extra),
-           j -> array(greatest(j * block - _offset, 0), least((j + 1) * block - _offset, size)))"""
+        """transform(
+             filter(transform(_blocks, j -> struct(j * block - _offset as at, (cast(a as decimal(20)) * j + c) % blocks as rank)),
+                    x -> x.rank < extra or (x.rank = extra and x.at + part > 0 and part > 0)),
+             x -> array(greatest(x.at, 0L), least(x.at + if(x.rank < extra, block, part), size)))"""
     )
     return (
         lined.withColumn("_blocks", blocks)

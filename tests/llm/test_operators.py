@@ -329,3 +329,22 @@ def test_seats_go_to_the_highest_quotients():
 def test_targets_stop_at_three_times_the_source():
     got = mixing.targets([("a", 10), ("b", 1000), (None, 500)])
     assert got["a"] == 30 and sum(got.values()) == pytest.approx(1510)
+
+
+def test_a_source_of_a_millionth_comes_near_its_target():
+    sizes = [(f"s{k:02}", 300_000_000) for k in range(19)] + [("tiny", 5_000)]
+    for row in mixing.plan(sizes, 11, 16):
+        s, size, target, block, blocks, passes, extra, part, a, c = *row[:5], *row[6:8], row[11], *row[8:10]
+        ends = [(((a * j + c) % blocks), min(size, (j + 1) * block) - j * block) for j in range(blocks)]
+        taken = passes * size + sum(n if rank < extra else min(n, part) if rank == extra else 0 for rank, n in ends)
+        assert abs(taken - target) <= 0.002 * target and taken <= 3 * size, s
+
+
+def test_a_tiny_source_stays_in_the_mixture(spark):
+    rows = [(k, f"s{k % 3}", prose(k, 400)) for k in range(90)] + [(900 + k, "tiny", prose(k, 3)) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [r for r in mixing.mix(docs, bucket_rows=20, blocks_per_source=3).collect()]
+    for s in ("s0", "s1", "s2", "tiny"):
+        mine = [r for r in got if r.source == s]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.01), s
+        assert all(0 <= a < b <= r.size for r in mine for a, b in r.picked)
