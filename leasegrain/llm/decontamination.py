@@ -1,7 +1,7 @@
 """Benchmark passages in documents, also with other numbers, names or units.
 
 Texts become templates: numbers, units and names turn into typed placeholders, runs
-of one type into one. Windows of template tokens meet in a hash join; windows of one
+of one type into one; beside them stand the literal tokens. Windows of template tokens meet in a hash join; windows of one
 alignment must fill the slots consistently (an item's value always stands for the
 same document value). An item is found where its windows are contained in a document.
 """
@@ -21,6 +21,9 @@ WINDOW, LITERALS, CONTAINED, RUN = 5, 3, 0.8, 9
 #: The filter of window hashes has at most so many bits; beyond, it only lets more through to the join.
 FILTER_BITS, SALTS = 28, 16
 NUM, UNIT, NAME = 1, 2, 3
+#: Forms in which an item is asked for: its template, the one without names, that of an item of mostly capitalised words, its literal tokens.
+TYPED, NAMELESS, CAPITAL, LITERAL = range(4)
+LITERAL_SEED, EDGE = np.uint64(1 << 32), "\x01"
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half quarter dozen"
 UNITS = "mm cm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros usd eur gbp degree degrees celsius fahrenheit kelvin volt volts watt watts joule joules newton newtons hz khz mhz ghz kb mb gb tb"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +37,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".?!:\n"]] = True
+_IN_NUMBER = np.frombuffer(b".,/:-", np.uint8)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 CHUNK = 1 << 16
@@ -76,55 +80,76 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-class Template:
-    """Tokens of a text: ``hash``, ``kind`` (0: literal) and the byte span each one covers."""
+class Tokens:
+    """Tokens of a text and the templates made of them; ``capital``: most words have a capital, so case tells nothing."""
 
     def __init__(self, text: str | None):
         self.data = (text or "").encode("utf-8", "surrogatepass")
-        b = np.frombuffer(self.data, np.uint8)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD[b], [False]]).astype(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            self.hash, self.kind, self.starts, self.ends = np.empty(0, np.uint64), np.empty(0, np.int8), starts, ends
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD[self.bytes], [False]]).astype(np.int8)))
+        self.starts, self.ends, self.names = edge[::2], edge[1::2], False
+        self.hash, self.kind, self.capital = np.empty(0, np.uint64), np.empty(0, np.int8), False
+        if not len(self.starts):
             return
+        b, starts, ends = self.bytes, self.starts, self.ends
         h = token_hashes(b, starts, ends)
-        kind = np.zeros(len(h), np.int8)
         upper = _UPPER[b[starts]]
-        if upper.mean() <= 0.5:  # else case tells nothing
+        self.hash, self.kind, self.capital = h, np.zeros(len(h), np.int8), bool(upper.mean() > 0.5)
+        if not self.capital:
             stops = np.concatenate([[0], np.cumsum(_STOP[b])])
             first = np.concatenate([[True], stops[starts[1:]] > stops[ends[:-1]]])
-            kind[upper & ~first] = NAME
-        kind[among(h, _UNITS)] = UNIT
+            self.kind[upper & ~first] = NAME
+        self.kind[among(h, _UNITS)] = UNIT
         digits = np.concatenate([[0], np.cumsum(_DIGIT[b])])
-        kind[(digits[ends] > digits[starts]) | among(h, _NUMBERS)] = NUM
-        new = np.concatenate([[True], (kind[1:] == 0) | (kind[1:] != kind[:-1])])
+        self.kind[(digits[ends] > digits[starts]) | among(h, _NUMBERS)] = NUM
+        self.names = bool((self.kind == NAME).any())
+
+    def template(self, names: bool = True) -> Template:
+        h, starts, ends = self.hash, self.starts, self.ends
+        if not len(h):
+            return Template(self.data, h, self.kind, starts, ends)
+        kind = self.kind if names else np.where(self.kind == NAME, 0, self.kind)
+        # a run of one type is one slot only where nothing but a space, or the sign inside a number, parts it
+        inner = self.bytes[ends[:-1]]
+        joined = (starts[1:] - ends[:-1] == 1) & ((inner == 32) | (kind[1:] == NUM) & np.isin(inner, _IN_NUMBER))
+        new = np.concatenate([[True], (kind[1:] == 0) | (kind[1:] != kind[:-1]) | ~joined])
         at = np.flatnonzero(new)
         last = np.concatenate([at[1:], [len(h)]]) - 1
-        self.kind, self.starts, self.ends = kind[at], starts[at], ends[last]
-        self.hash = np.where(self.kind == 0, h[at], self.kind.astype(np.uint64))
+        return Template(self.data, np.where(kind[at] == 0, h[at], kind[at].astype(np.uint64)), kind[at], starts[at], ends[last])
+
+    def literal(self) -> Template:
+        return Template(self.data, self.hash, np.zeros(len(self.hash), np.int8), self.starts, self.ends, LITERAL_SEED)
+
+
+class Template:
+    """Tokens of a template: ``hash``, ``kind`` (0: literal) and the byte span each one covers."""
+
+    def __init__(self, data: bytes, hash: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = np.uint64(0)):
+        self.data, self.hash, self.kind, self.starts, self.ends, self.seed = data, hash, kind, starts, ends, seed
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of ``size`` tokens, and which of them have enough literals to mean something."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, bool)
-        out, literals = np.full(n, np.uint64(size)), np.zeros(n, np.int64)
+        out = np.full(n, np.uint64(size) + self.seed)
         for k in range(size):
             out = scramble(out * BASE + self.hash[k : k + n])
-            literals += self.kind[k : k + n] == 0
-        return out, literals >= min(LITERALS, size)
+        literals = np.concatenate([[0], np.cumsum(self.kind == 0)])
+        return out, literals[size:] - literals[:-size] >= min(LITERALS, size)
 
-    def slots(self, at: int, size: int) -> list[str]:
-        """Type and filling of every slot of a window, in order."""
+    def slots(self, at: int, size: int, ends: bool = False) -> list[str]:
+        """Type and filling of every slot of a window, in order; with ``ends`` the text's first and last slot are marked,
+        as their runs may go on outside the passage."""
         return [
-            f"{self.kind[k]}{self.data[self.starts[k] : self.ends[k]].decode('utf-8', 'replace').lower()}"
+            f"{EDGE if ends and k in (0, len(self.kind) - 1) else ''}{self.kind[k]}{self.data[self.starts[k] : self.ends[k]].decode('utf-8', 'replace').lower()}"
             for k in range(at, at + size)
             if self.kind[k]
         ]
 
 
-ITEM_WINDOWS = "item_id long, size int, place long, hash long, slots array<string>, n_windows long"
-DOC_WINDOWS = "doc_id long, text_key long, size int, place long, hash long, slots array<string>"
+ITEM_WINDOWS = "item_id long, form int, size int, place long, hash long, slots array<string>, n_windows long"
+DOC_WINDOWS = "doc_id long, text_key long, view int, size int, place long, hash long, slots array<string>"
 
 
 def _emit(names: list[str], columns: list[list], kinds: list):
@@ -136,46 +161,55 @@ def _emit(names: list[str], columns: list[list], kinds: list):
 def _item_windows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
     for batch in slices(batches, "text"):
         columns: list[list] = [[] for _ in kinds]
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-            t = Template(text)
-            size = min(WINDOW, len(t.hash))
-            if not size:
-                continue
-            hashes, enough = t.windows(size)
-            places = np.flatnonzero(enough)
-            for at in places.tolist():
-                for c, v in zip(columns, (item, size, at, int(hashes[at].astype(np.int64)), t.slots(at, size), len(places))):
-                    c.append(v)
-        yield _emit(["item_id", "size", "place", "hash", "slots", "n_windows"], columns, kinds)
+            tokens = Tokens(text)
+            forms = [(CAPITAL if tokens.capital else TYPED, tokens.template()), (LITERAL, tokens.literal())]
+            if tokens.names:
+                forms.append((NAMELESS, tokens.template(names=False)))
+            for form, t in forms:
+                size = min(WINDOW, len(t.hash))
+                if not size:
+                    continue
+                hashes, enough = t.windows(size)
+                places = np.flatnonzero(enough)
+                for at in places.tolist():
+                    for c, v in zip(columns, (item, form, size, at, int(hashes[at].astype(np.int64)), t.slots(at, size, True), len(places))):
+                        c.append(v)
+        yield _emit(["item_id", "form", "size", "place", "hash", "slots", "n_windows"], columns, kinds)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     return map_arrow(items.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(), _item_windows, ITEM_WINDOWS)
 
 
-def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bitmap of the windows' hashes, of bounded size whatever the benchmark holds, and the window sizes in use."""
+def window_filter(windows: DataFrame) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """A bitmap of the windows' hashes, of bounded size whatever the benchmark holds, and the window sizes in use in each form."""
     n = max(1, windows.count())
     bits = min(FILTER_BITS, max(16, int(16 * n).bit_length()))
     marks = np.zeros(1 << bits >> 3, np.uint8)
     for row in windows.select("hash").toLocalIterator(prefetchPartitions=True):
         at = (row[0] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
         marks[at >> 3] |= 1 << (at & 7)
-    return marks, sorted(r[0] for r in windows.select("size").distinct().collect())
+    sizes: dict[int, list[int]] = {}
+    for form, size in sorted(windows.select("form", "size").distinct().collect()):
+        sizes.setdefault(form, []).append(size)
+    return marks, sizes
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, text_key, item_id, windows, n_windows, contained, slots_changed`` of every document that holds an item.
 
     ``docs(doc_id, text)``, ``items(item_id, text)``; ``text_key`` tells rows of one
-    id apart. An item is held if 0.8 of its windows stand in the document, in
-    alignments with consistent slots, or a run of 9 windows (13 tokens). Null and
+    id apart. An item is held if 0.8 of its windows stand in the document, or a run of
+    9 windows (13 tokens), of its template or of its literal lowered tokens; windows
+    whose slots conflict in an alignment do not count. The best form is given. Null and
     empty texts hold nothing and, as items, are in nothing; items of fewer than five
-    tokens are one window. Repeated rows give one result per id and text. Windows of
-    mostly placeholders are not compared, as they would fit anything. Extra columns
+    tokens are one window. Repeated rows give one result per id and text. Template
+    windows of mostly placeholders are not compared, as they would fit anything; such
+    an item is found by its literal tokens only. Extra columns
     are ignored; empty tables give no rows.
     """
     asked = staged(item_windows(items), "item-windows")
@@ -188,19 +222,24 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         marks, sizes = shared.value
         shift = np.uint64(64 - (len(marks) * 8).bit_length() + 1)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-        names = ["doc_id", "text_key", "size", "place", "hash", "slots"]
+        typed = sorted({x for form, found in sizes.items() if form != LITERAL for x in found})
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        names = ["doc_id", "text_key", "view", "size", "place", "hash", "slots"]
         for batch in slices(batches, "text"):
             columns: list[list] = [[] for _ in kinds]
             for doc, key, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")]):
-                t = Template(text)
-                for size in sizes:
-                    hashes, enough = t.windows(size)
-                    bit = hashes >> shift
-                    seen = (marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                    for at in np.flatnonzero(enough & (seen == 1)).tolist():
-                        for c, v in zip(columns, (doc, key, size, at, int(hashes[at].astype(np.int64)), t.slots(at, size))):
-                            c.append(v)
+                tokens = Tokens(text)
+                views = [(TYPED, tokens.template(), typed), (LITERAL, tokens.literal(), sizes.get(LITERAL, []))]
+                if tokens.names and CAPITAL in sizes:
+                    views.append((NAMELESS, tokens.template(names=False), sizes[CAPITAL]))
+                for view, t, wanted in views:
+                    for size in wanted:
+                        hashes, enough = t.windows(size)
+                        bit = hashes >> shift
+                        seen = (marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+                        for at in np.flatnonzero(enough & (seen == 1)).tolist():
+                            for c, v in zip(columns, (doc, key, view, size, at, int(hashes[at].astype(np.int64)), t.slots(at, size))):
+                                c.append(v)
                 if len(columns[0]) > 20_000:
                     yield _emit(names, columns, kinds)
                     columns = [[] for _ in kinds]
@@ -215,29 +254,38 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id",
         "text_key",
         "item_id",
+        "form",
+        "view",
         "n_windows",
         F.col("i.place").alias("place"),
         (F.col("d.place") - F.col("i.place")).alias("shift"),
         F.arrays_zip(F.col("i.slots").alias("item"), F.col("d.slots").alias("doc")).alias("slots"),
     )
-    whole = ["doc_id", "text_key", "item_id", "n_windows"]
-    aligned = pairs.groupBy(*whole, "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    whole = ["doc_id", "text_key", "item_id", "form", "n_windows"]
+    aligned = pairs.groupBy(*whole, "view", "shift").agg(F.collect_set(F.struct("place", "slots")).alias("all"))
+    # windows with an item's value that stands for several values of the document do not count
+    aligned = aligned.withColumn("fill", F.expr("array_distinct(flatten(transform(all, w -> w.slots)))"))
+    aligned = aligned.withColumn("values", F.expr("transform(fill, x -> x.item)"))
+    clash = F.expr("if(size(array_distinct(values)) = size(values), array(), filter(array_distinct(values), v -> size(filter(values, x -> x = v)) > 1))")
+    aligned = aligned.withColumn("clash", clash).withColumn("all", F.expr("filter(all, w -> not exists(w.slots, x -> array_contains(clash, x.item)))"))
+    aligned = aligned.where(F.size("all") > 0).select(
+        *whole, F.expr("transform(all, w -> w.place)").alias("places"), F.expr("flatten(transform(all, w -> w.slots))").alias("slots")
     )
-    first = F.expr("transform(slots, x -> x.item)")
-    aligned = aligned.where(F.size(F.array_distinct(first)) == F.size("slots"))
     runs = F.expr(
         """aggregate(array_sort(places), struct(-2L as last, 0 as n, 0 as best),
            (s, p) -> struct(p as last, if(p = s.last + 1, s.n + 1, 1) as n, greatest(s.best, if(p = s.last + 1, s.n + 1, 1)) as best), s -> s.best)"""
     )
-    changed = F.expr("exists(slots, x -> x.item <> x.doc)")
+    changed = F.expr(f"exists(slots, x -> ltrim('{EDGE}', x.item) <> x.doc)")
     found = aligned.select(*whole, "places", runs.alias("run"), changed.alias("changed")).groupBy(*whole).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"),
         F.max("run").alias("run"),
         F.max("changed").alias("slots_changed"),
     )
-    return found.where((F.col("windows") >= CONTAINED * F.col("n_windows")) | (F.col("run") >= RUN)).select(
-        "doc_id", "text_key", "item_id", "windows", "n_windows", (F.col("windows") / F.col("n_windows")).alias("contained"), "slots_changed"
+    found = found.where((F.col("windows") >= CONTAINED * F.col("n_windows")) | (F.col("run") >= RUN))
+    contained = (F.col("windows") / F.col("n_windows")).alias("contained")
+    best = F.max(F.struct(contained, (~F.col("slots_changed")).alias("same"), "windows", "n_windows")).alias("best")
+    return found.groupBy("doc_id", "text_key", "item_id").agg(best).select(
+        "doc_id", "text_key", "item_id", "best.windows", "best.n_windows", "best.contained", (~F.col("best.same")).alias("slots_changed")
     )
 
 

@@ -348,3 +348,10 @@ def test_a_tiny_source_stays_in_the_mixture(spark):
         mine = [r for r in got if r.source == s]
         assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.01), s
         assert all(0 <= a < b <= r.size for r in mine for a, b in r.picked)
+
+
+def test_an_item_after_a_number_keeps_its_slots(spark):
+    twelve = "12 boys and 12 girls share the apples of the old garden"
+    docs = spark.createDataFrame([(0, "see exercise 7. " + twelve), (1, "exercise 8 " + twelve.replace("12", "31") + " at home")], "doc_id long, text string")
+    got = {r.doc_id: r.slots_changed for r in decontamination.matches(docs, spark.createDataFrame([(1, twelve)], "item_id long, text string")).collect()}
+    assert got == {0: False, 1: True}
