@@ -355,3 +355,24 @@ def test_an_item_after_a_number_keeps_its_slots(spark):
     docs = spark.createDataFrame([(0, "see exercise 7. " + twelve), (1, "exercise 8 " + twelve.replace("12", "31") + " at home")], "doc_id long, text string")
     got = {r.doc_id: r.slots_changed for r in decontamination.matches(docs, spark.createDataFrame([(1, twelve)], "item_id long, text string")).collect()}
     assert got == {0: False, 1: True}
+
+
+def test_verbatim_items_are_found_whatever_surrounds_them(spark):
+    twelve = "12 boys and 12 girls share the apples of the old garden"
+    caps = "Aunt Maria Saw Boston And Denver With Old Uncle Henry Today"
+    plain = "the small dog of the farmer ran home over 30 green hills to sleep"
+    dates = "On Monday 4 Maria 7 Joan 9 Henry 11 Paul 13"
+    items = [(1, twelve), (2, "Solve 3x = 12"), (3, "What is 48 * 7 / 12 + 3?"), (4, caps), (5, plain), (6, dates)]
+    texts = [
+        "see exercise 7. " + twelve + " and more",
+        "we had to solve 3x = 12 at once",
+        "now what is 48 * 7 / 12 + 3 said he",
+        "it was so that yesterday in the end " + caps + " and nobody in the house of the old man knew of any of it at all",
+        ("ALL IS IN CAPITALS. " + plain + ". THE END").upper(),
+        "exercise 8 " + twelve.replace("12", "31") + " at home",
+        "what is 48 * 7 / 12 + 4 and solve 3x = 13",
+        "lines of " + dates,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.slots_changed for r in decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1): False, (1, 2): False, (2, 3): False, (3, 4): False, (4, 5): False, (5, 1): True, (7, 6): False}
