@@ -27,6 +27,7 @@ WORDS, ALIKE, OF = 5, 4, 5
 CELL_BITS = 18
 #: Longs of a set's bitmap, a power of two.
 MAP_WORDS = 8
+MAPS = [f"m{k}" for k in range(MAP_WORDS)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -52,16 +53,32 @@ def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hashes[order[: len(hashes) - -(-ALIKE * len(hashes) // OF) + 1]] if len(hashes) else hashes
 
 
+def key_of(text: str | None) -> int:
+    """A signed 64-bit key of the text's words in their order."""
+    import xxhash
+
+    x = xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(simhash.LOWER).split()))
+    return simhash.signed(x)
+
+
 def _nodes(batches: Iterator) -> Iterator:
     import pyarrow as pa
-    import xxhash
 
     for batch in slices(batches, "text"):
         texts = batch.column("text").to_pylist()
-        words = [b" ".join((t or "").encode("utf-8", "surrogatepass").translate(simhash.LOWER).split()) for t in texts]
-        keys = pa.array(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64))
-        prints = pa.array([simhash.fingerprint(t, WORDS) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, keys, prints], [*batch.schema.names, "key", "print"])
+        sets = [shingles(t) for t in texts]
+        maps = np.array([bitmap(s) for s in sets])
+        columns = [pa.array([key_of(t) for t in texts], pa.int64()), pa.array([simhash.fingerprint(t, WORDS) for t in texts], pa.int64())]
+        columns += [pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP_WORDS)]]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "print", "n", *MAPS])
+
+
+def _keyed(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in slices(batches, "text"):
+        keys = pa.array([key_of(t) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([keys, batch.column("text")], ["key", "text"])
 
 
 def _counts(batches: Iterator) -> Iterator:
@@ -91,15 +108,6 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(places, minlength=64 * MAP_WORDS) & 1).view(np.int64)
 
 
-def _bitmaps(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in slices(batches, "text"):
-        maps = np.array([bitmap(shingles(t)) for t in batch.column("text").to_pylist()])
-        columns = [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP_WORDS)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["id", *[f"m{k}" for k in range(MAP_WORDS)]])
-
-
 def prefixes(texts: DataFrame) -> DataFrame:
     """``shingle, key, n`` of the prefix of every text of ``texts(key, text)``; ``n`` is the size of its whole set."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -121,11 +129,22 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("key", "text"), run, "shingle long, key long, n int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether bitmaps and sizes of two nodes leave the similarity possible: of such sets, at most
+    (OF - ALIKE) / (OF + ALIKE) of all members are in one only."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in MAPS])
+    return (OF + ALIKE) * differ <= (OF - ALIKE) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of keys, each given once, whose texts are similar enough."""
-    pairs = staged(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = staged(map_arrow(texts.join(asked, "key", "left_semi").select("key", "text"), _sets, "key long, set array<long>"), "sets")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = nodes.select("key", "n", *MAPS).alias("x"), nodes.select("key", "n", *MAPS).alias("y")
+    near = pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & may_be_similar("x", "y"))
+    pairs = staged(near.select("a", "b"), "pairs")
+    asked = staged(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "asked")
+    found = texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+    sets = staged(map_arrow(found, _sets, "key long, set array<long>"), "sets")
     sided = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"of_{k}"))
     both = pairs.join(sided("a"), "a").join(sided("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -156,30 +175,26 @@ def similar_components(docs: DataFrame) -> DataFrame:
     stay; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = map_arrow(rows, _nodes, "doc_id long, text string, key long, print long")
-    prints = staged(keyed.select("doc_id", "key", "print"), "keyed")
-    nodes = staged(prints.groupBy("key", "print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
-    texts = staged(keyed.select("key", "text").dropDuplicates(["key"]), "texts")
-    members = staged(prefixes(texts), "prefixes")
+    fields = "doc_id long, key long, print long, n int, " + ", ".join(f"{m} long" for m in MAPS)
+    prints = staged(map_arrow(rows, _nodes, fields), "keyed")
+    same = ["key", "print", "n", *MAPS]
+    nodes = staged(prints.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
+    texts = map_arrow(rows.select("text"), _keyed, "key long, text string")
+    members = staged(prefixes(texts).distinct(), "prefixes")
     ends = members.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     members = staged(members.join(ends, "shingle"), "members")
     first = members.select(F.col("low").alias("a"), F.col("key").alias("b")).union(members.select("high", "key"))
-    edges = staged(verified(by_fingerprint(nodes).union(first), texts), "similar")
+    edges = staged(verified(by_fingerprint(nodes).union(first), nodes, texts), "similar")
     ids = nodes.select(F.col("key").alias("id"))
     found = staged(components(ids, edges), "found")
     there = members.join(found, members["key"] == found["id"]).select("shingle", "key", "n", "component", "low", "high")
     open_ = there.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
     there = staged(there.where("key <> low and key <> high").join(open_, "shingle", "left_semi"), "open")
-    asked = there.select(F.col("key").alias("id")).distinct()
-    maps = map_arrow(texts.join(asked, texts["key"] == asked["id"], "left_semi"), _bitmaps, "id long, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS)))
-    there = staged(there.join(maps, there["key"] == maps["id"]).drop("id", "low", "high"), "mapped")
+    there = staged(there.select("shingle", "key", "component").join(nodes.select("key", "n", *MAPS), "key"), "mapped")
     a, b = there.alias("a"), there.alias("b")
     apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(MAP_WORDS)])
-    # of sets as similar as that, at most (OF - ALIKE) / (OF + ALIKE) of all members differ
-    near = (OF + ALIKE) * differ <= (OF - ALIKE) * (F.col("a.n") + F.col("b.n"))
-    rest = a.join(b, apart & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-    more = staged(verified(rest, texts), "similar")
+    rest = a.join(b, apart & may_be_similar("a", "b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    more = staged(verified(rest, nodes, texts), "similar")
     if not more.isEmpty():
         found = components(ids, edges.union(more))
     named = nodes.join(found, nodes["key"] == found["id"]).select("key", "least", "copies", "component")
