@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasegrain.llm import decontamination, exact_index, langid, licenses, mixing, sharding, simhash, substrings, token_files, toxicity
+from leasegrain.llm import decontamination, exact_index, langid, licenses, manifest, mixing, oracles, sharding, simhash, substrings, token_files, toxicity
 from leasegrain.llm.common import table
 from leasegrain.session import shared_folder
 
@@ -78,9 +78,19 @@ def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op13_bitmap_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest.prove(table(spark, folder, "documents"), other=manifest.leaf_digest(changed))
+    sides = (F.col("lefts"), F.col("rights"))
+    folded = manifest.folded(F.col("other"), *sides)
+    proof = manifest.proof_digest(*sides).alias("proof_sha256")
+    found = found.select("doc_id", "leaf", "subroot", "root", proof, folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture)
+    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture, op13_bitmap_manifest)
 }
 ORACLES: dict[str, str] = {
     "op4_live_digests": """
@@ -89,4 +99,5 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)
     """,
+    "op13_bitmap_manifest": oracles.MANIFEST,
 }
