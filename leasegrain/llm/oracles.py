@@ -51,3 +51,27 @@ FROM leaves v JOIN subroots s ON v.source IS NOT DISTINCT FROM s.source
 JOIN (SELECT doc_id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM folds GROUP BY doc_id) f USING (doc_id)
 CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1)
 """
+
+SEARCH = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+lengths AS (SELECT doc_id, len(found)::BIGINT AS n, found FROM texts WHERE len(found) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+asked AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(found) AS term FROM lengths)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term),
+parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS part
+  FROM postings JOIN weights USING (term), totals),
+scores AS (SELECT item_id, doc_id, sum(repeats * part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasegrain.llm import decontamination, exact_index, langid, licenses, manifest, mixing, oracles, sharding, simhash, substrings, token_files, toxicity
+from leasegrain.llm import decontamination, exact_index, langid, licenses, manifest, mixing, oracles, search, sharding, simhash, substrings, token_files, toxicity
 from leasegrain.llm.common import table
 from leasegrain.session import shared_folder
 
@@ -78,6 +78,10 @@ def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op12_shared_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_bitmap_manifest(spark: SparkSession, folder: str) -> DataFrame:
     changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     found = manifest.prove(table(spark, folder, "documents"), other=manifest.leaf_digest(changed))
@@ -90,7 +94,7 @@ def op13_bitmap_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture, op13_bitmap_manifest)
+    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture, op12_shared_search, op13_bitmap_manifest)
 }
 ORACLES: dict[str, str] = {
     "op4_live_digests": """
@@ -99,5 +103,6 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)
     """,
+    "op12_shared_search": oracles.SEARCH,
     "op13_bitmap_manifest": oracles.MANIFEST,
 }
