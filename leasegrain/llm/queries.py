@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leasegrain.llm import decontamination, exact_index, langid, licenses, manifest, mixing, oracles, search, sharding, simhash, substrings, token_files, toxicity
+from leasegrain.llm import decontamination, exact_index, langid, licenses, manifest, mixing, oracles, personal, search, sharding, simhash, substrings, token_files, toxicity
 from leasegrain.llm.common import table
 from leasegrain.session import shared_folder
 
@@ -78,6 +78,14 @@ def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_anchored_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.scan(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.BASE]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op12_shared_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -94,7 +102,7 @@ def op13_bitmap_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture, op12_shared_search, op13_bitmap_manifest)
+    for f in (op1_interleaved_shards, op2_range_coded_tokens, op3_near_components, op4_live_digests, op5_template_leaks, op6_weak_toxicity, op7_induced_repeats, op8_code_languages, op9_license_rules, op10_apportioned_mixture, op11_anchored_personal_data, op12_shared_search, op13_bitmap_manifest)
 }
 ORACLES: dict[str, str] = {
     "op4_live_digests": """
