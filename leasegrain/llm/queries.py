@@ -80,7 +80,8 @@ def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 def op11_anchored_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.scan(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.BASE]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in personal.BASE]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
