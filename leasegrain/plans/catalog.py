@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from leasegrain.config import GO_THRESHOLD, Knobs
 from leasegrain.functions.dates import calendar_date
-from leasegrain.operators import cohorts, coverage, curation, planning, profile, shaping, statistics, views
+from leasegrain.operators import cohorts, coverage, curation, planning, profile, refresh, shaping, statistics, views
 from leasegrain.operators.cohorts import EDGES
 from leasegrain.session import staged
-from leasegrain.sources import bookkeeping, event_responses, responses
+from leasegrain.sources import bookkeeping, event_responses, order_listings, responses
 from leasegrain.sources.order_listings import Workbench, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -860,3 +860,47 @@ def comp_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.listing_link(F.concat(F.col("address"), F.lit(" & Söhne"))).alias("listing_link"),
         views.street_link(F.col("lat"), F.col("lng")).alias("street_link"),
     )
+
+
+# ---- refreshed pulls
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = Workbench(spark, sf_dir)
+    return bench.once("changes", lambda: staged(refresh.comp_changes(bench.version("before"), bench.version("after")), "changes"))
+
+
+def _asked_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights on comps of the earlier version, and some on keys that no comp has."""
+    bench = Workbench(spark, sf_dir)
+    weights = order_listings.request_weights(bench.requests(), bench.version("before"))
+    later = order_listings.request_weights(bench.requests(), bench.version("after")).withColumn("weight", F.col("weight") + 5)
+    lost = bench.requests().select("request_id", F.lit("no such street|").alias("comp_key"), F.lit(2.0).alias("weight"))
+    known = weights.select("request_id", "comp_key")
+    return staged(weights.unionByName(later.join(known, ["request_id", "comp_key"], "left_anti")).unionByName(lost), "asked-weights")
+
+
+def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = Workbench(spark, sf_dir)
+    return bench.once(
+        "carried",
+        lambda: staged(refresh.carry_weights(bench.requests(), _asked_weights(spark, sf_dir), _changes(spark, sf_dir)), "carried"),
+    )
+
+
+@query
+def refresh_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh made of every comp of the earlier and the later observation."""
+    return _changes(spark, sf_dir)
+
+
+@query
+def refresh_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of all requests after the refresh."""
+    return _carried(spark, sf_dir)
+
+
+@query
+def refresh_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = Workbench(spark, sf_dir).requests()
+    return refresh.refresh_summary(requests, _changes(spark, sf_dir), _carried(spark, sf_dir))

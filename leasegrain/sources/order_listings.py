@@ -38,9 +38,16 @@ def _iso(day: Column) -> Column:
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
 
 
-def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: An earlier observation of all pulls: removals after this day are not known yet.
+EARLIER = "2001-02-01"
+
+
+def listing_records(spark: SparkSession, sf_dir: str, version: str | None = None) -> DataFrame:
     """Raw listing records with ``pull_ref`` and ``status``.
 
+    ``version`` gives two observations of one search instead: ``before``, what
+    was known on ``EARLIER``, and ``after``, in which some listings are gone.
+
     Every order is an Inactive record; one in eleven also has an Active copy
     that names a different address, so that one listing id disagrees with
     itself. Some records have no id, no address, no area or an unreadable date.
@@ -49,6 +56,12 @@ def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.col("o_custkey")
     listed = F.col("o_orderdate").cast("date")
     removed = F.when(order % 23 != 0, F.date_add(listed, (order * 37 % 200 + 1).cast("int")))
+    orders = table(spark, sf_dir, "orders")
+    if version == "before":
+        orders = orders.where(listed <= F.lit(EARLIER).cast("date"))
+        removed = F.when(removed <= F.lit(EARLIER).cast("date"), removed)
+    elif version == "after":
+        orders = orders.where(order % 31 != 5)
     number = (unit % 5).cast("string")
     label = F.when(unit % 5 != 0, F.element_at(
         F.array(
@@ -93,7 +106,7 @@ def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     nameless = order % 251 == 0
-    main = table(spark, sf_dir, "orders").select(
+    main = orders.select(
         _pull_ref(_pull_number(unit)).alias("pull_ref"),
         F.when(order % 97 != 0, order.cast("string")).alias("id"),
         F.lit(None).cast("string").alias("formattedAddress"),
@@ -116,8 +129,7 @@ def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         history.alias("history"),
     )
     copies = (
-        table(spark, sf_dir, "orders")
-        .where(order % 11 == 0)
+        orders.where(order % 11 == 0)
         .select(
             _pull_ref(_pull_number(unit)).alias("pull_ref"),
             F.when(order % 97 != 0, order.cast("string")).alias("id"),
@@ -228,6 +240,15 @@ class Workbench:
     def pulls(self) -> DataFrame:
         return pulls(self.spark, self.sf_dir)
 
+    def version(self, name: str) -> DataFrame:
+        """The comps of one of two observations, ``before`` or ``after``."""
+        pulls = self.pulls()
+        if name == "before":
+            number = F.split_part("pull_ref", F.lit("-"), F.lit(2)).cast("int")
+            pulls = pulls.withColumn("as_of", F.date_add(F.lit(EARLIER).cast("date"), number % 5))
+        records = listing_records(self.spark, self.sf_dir, name)
+        return self.once(name, lambda: staged(shape(records, pulls).comps, f"comps-{name}"))
+
     def shaped(self) -> Shaped:
         return shape(self.records(), self.pulls())
 

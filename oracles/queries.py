@@ -381,6 +381,19 @@ SELECTS: dict[str, str] = {
                  '&', '%26'), ',', '%2C'), 'ö', '%C3%B6') || '_rb/' AS listing_link,
                'https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=' || printf('%.4f,%.4f', lat, lng) AS street_link
         FROM comps""",
+    "refresh_changes": "SELECT * FROM comp_changes",
+    "refresh_weights": "SELECT request_id, comp_key, weight, mark, mark NOT IN ('vanished', 'absent') AS in_source, conflict FROM carried",
+    "refresh_summaries": """
+        SELECT * FROM (
+          SELECT pull_ref, count(*) FILTER (state = 'kept') AS kept_comps, count(*) FILTER (state = 'changed') AS changed_comps,
+                 count(*) FILTER (state = 'new') AS new_comps, count(*) FILTER (state = 'merged') AS merged_comps,
+                 count(*) FILTER (state = 'vanished') AS vanished_comps, count(*) FILTER (newly_leased) AS newly_leased,
+                 CAST(sum(relists_stitched) AS BIGINT) AS relists_stitched
+          FROM comp_changes GROUP BY ALL)
+        LEFT JOIN (
+          SELECT pull_ref, count(*) FILTER (mark NOT IN ('new', 'vanished', 'absent')) AS weights_moved,
+                 count(*) FILTER (mark IN ('vanished', 'absent')) AS weights_stayed, count(*) FILTER (conflict) AS weights_conflicts
+          FROM carried JOIN requests USING (request_id) GROUP BY ALL) USING (pull_ref)""",
 }
 
 EXTRA: dict[str, str] = {

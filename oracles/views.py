@@ -342,6 +342,99 @@ VIEWS: dict[str, str] = {
 }
 
 
+SHAPING = "base_orders named_orders observed grouped spells stretches gaps_off stitched folded pulls chains comps".split()
+
+
+def version(name: str, orders: str, changes: dict[str, str]) -> dict[str, str]:
+    """The shaping views over other orders, with ``name`` behind each view's name."""
+    own = re.compile(rf"\b({'|'.join(SHAPING)})\b")
+    out = {}
+    for view in SHAPING:
+        text = VIEWS[view]
+        for old, new in changes.items():
+            text = text.replace(old, new)
+        text = own.sub(rf"\1_{name}", text)
+        out[f"{view}_{name}"] = text.replace("FROM orders", f"FROM ({orders})") if view == "base_orders" else text
+    return out
+
+
+VIEWS |= version(
+    "before",
+    "SELECT * FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '2001-02-01'",
+    {
+        "CASE WHEN o_orderkey % 23 <> 0\n": """CASE WHEN o_orderkey % 23 <> 0
+                         AND CAST(o_orderdate AS DATE) + CAST(o_orderkey * 37 % 200 + 1 AS INTEGER) <= DATE '2001-02-01'\n""",
+        "DATE '2001-08-01'": "DATE '2001-02-01'",
+    },
+)
+VIEWS |= version("after", "SELECT * FROM orders WHERE o_orderkey % 31 <> 5", {})
+for side in ("before", "after"):
+    VIEWS[f"units_{side}"] = f"""
+        SELECT *, row_number() OVER (PARTITION BY pull_ref, base_key, first_listed ORDER BY group_key) AS nth FROM comps_{side}
+        LEFT JOIN (SELECT pull_ref, group_key, chain, string_agg(listed || ':' || previous_price || ':' || price, ',' ORDER BY listed) AS cuts
+                   FROM stitched_{side} WHERE NOT starts_chain AND price < previous_price GROUP BY ALL)
+        USING (pull_ref, group_key, chain)"""
+VIEWS |= {
+    "met": """
+        SELECT coalesce(o.pull_ref, n.pull_ref) AS pull_ref, coalesce(o.base_key, n.base_key) AS base_key,
+               o.comp_key AS key_before, n.comp_key AS key_after, o.first_listed AS old_start, n.first_listed AS new_start,
+               n.chain_end AS new_end, o.censored AS was_open, n.censored AS is_open, o.relist_count AS old_relists, n.relist_count AS new_relists,
+               (o.initial_ask, o.chain_end, o.removal_class, o.withdrawal_suspect, o.gap_days, o.relist_count, o.cuts, o.beds, o.baths, o.sqft, o.lat, o.lng)
+               IS NOT DISTINCT FROM
+               (n.initial_ask, n.chain_end, n.removal_class, n.withdrawal_suspect, n.gap_days, n.relist_count, n.cuts, n.beds, n.baths, n.sqft, n.lat, n.lng) AS alike
+        FROM units_before o FULL JOIN units_after n
+          ON o.pull_ref = n.pull_ref AND o.base_key = n.base_key AND o.first_listed = n.first_listed AND o.nth = n.nth""",
+    "left_over": """
+        SELECT pull_ref, base_key FROM met GROUP BY ALL
+        HAVING count(*) FILTER (key_after IS NULL) = 1 AND count(*) FILTER (key_before IS NULL) = 1""",
+    "moved_starts": """
+        SELECT pull_ref, base_key, max(key_before) FILTER (key_after IS NULL) AS key_before, max(key_after) FILTER (key_before IS NULL) AS key_after,
+               bool_or(was_open) FILTER (key_after IS NULL) AND NOT bool_or(is_open) FILTER (key_before IS NULL) AS newly_leased,
+               greatest(0, max(new_relists) FILTER (key_before IS NULL) - max(old_relists) FILTER (key_after IS NULL)) AS relists_stitched
+        FROM met SEMI JOIN left_over USING (pull_ref, base_key) GROUP BY ALL""",
+    "single_ends": """
+        SELECT * FROM met WHERE (key_before IS NULL OR key_after IS NULL)
+          AND (pull_ref, base_key) NOT IN (SELECT (pull_ref, base_key) FROM left_over)""",
+    "covers": """
+        SELECT s.pull_ref, s.base_key, s.key_before, arg_max(m.key_after, m.new_start) AS key_after, arg_max(coalesce(m.new_end, DATE '9999-01-01'), m.new_start) AS new_end
+        FROM single_ends s JOIN met m ON s.pull_ref = m.pull_ref AND s.base_key = m.base_key AND m.new_start <= s.old_start
+        WHERE s.key_after IS NULL GROUP BY ALL""",
+    "comp_changes": """
+        SELECT pull_ref, base_key, key_before, key_after, CASE WHEN alike THEN 'kept' ELSE 'changed' END AS state,
+               was_open AND NOT is_open AS newly_leased, greatest(0, new_relists - old_relists) AS relists_stitched
+        FROM met WHERE key_before IS NOT NULL AND key_after IS NOT NULL
+        UNION ALL SELECT pull_ref, base_key, key_before, key_after, 'changed', newly_leased, relists_stitched FROM moved_starts
+        UNION ALL SELECT pull_ref, base_key, NULL, key_after, 'new', false, 0 FROM single_ends WHERE key_before IS NULL
+        UNION ALL
+        SELECT pull_ref, base_key, key_before, CASE WHEN c.new_end >= old_start THEN c.key_after END,
+               CASE WHEN c.new_end >= old_start THEN 'merged' ELSE 'vanished' END, false, 0
+        FROM (SELECT * FROM single_ends WHERE key_after IS NULL) LEFT JOIN covers c USING (pull_ref, base_key, key_before)""",
+    "asked_before": """
+        SELECT request_id, pull_ref, comp_key, CAST(mark // 3 % 4 AS DOUBLE) AS weight
+        FROM requests JOIN comps_before USING (pull_ref), LATERAL (SELECT CAST(split_part(comp_key, ' ', 1) AS BIGINT) + s AS mark)
+        WHERE mark % 3 = 0""",
+    "asked_weights": """
+        SELECT * FROM asked_before
+        UNION ALL
+        SELECT request_id, pull_ref, comp_key, CAST(mark // 3 % 4 + 5 AS DOUBLE)
+        FROM requests JOIN comps_after USING (pull_ref), LATERAL (SELECT CAST(split_part(comp_key, ' ', 1) AS BIGINT) + s AS mark)
+        WHERE mark % 3 = 0 AND (request_id, comp_key) NOT IN (SELECT (request_id, comp_key) FROM asked_before)
+        UNION ALL SELECT request_id, pull_ref, 'no such street|', 2.0::DOUBLE FROM requests""",
+    "carried": """
+        SELECT request_id, comp_key, arg_max(weight, (place, weight)) AS weight, arg_max(mark, (place, weight, mark)) AS mark,
+               coalesce(min(weight) FILTER (mark <> 'new') < max(weight) FILTER (mark <> 'new'), false) AS conflict
+        FROM (SELECT *, CASE mark WHEN 'new' THEN 0 WHEN 'merged' THEN 1 WHEN 'returned' THEN 2 ELSE 3 END AS place FROM (
+                SELECT request_id, coalesce(c.key_after, w.comp_key) AS comp_key, weight,
+                       CASE WHEN c.state IS NOT NULL THEN c.state WHEN n.key_after IS NOT NULL THEN 'returned' ELSE 'absent' END AS mark
+                FROM asked_weights w
+                LEFT JOIN (SELECT * FROM comp_changes WHERE key_before IS NOT NULL) c ON w.pull_ref = c.pull_ref AND w.comp_key = c.key_before
+                LEFT JOIN (SELECT * FROM comp_changes WHERE state <> 'merged') n ON w.pull_ref = n.pull_ref AND w.comp_key = n.key_after
+                UNION ALL
+                SELECT request_id, key_after, 1.0::DOUBLE, 'new' FROM requests JOIN comp_changes USING (pull_ref) WHERE state = 'new'))
+        GROUP BY ALL""",
+}
+
+
 def with_views(select: str, extra: dict[str, str] | None = None) -> str:
     """``select`` behind a WITH clause of the views it needs, in order."""
     views = {**VIEWS, **(extra or {})}
