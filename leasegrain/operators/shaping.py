@@ -30,12 +30,14 @@ def _stated_address() -> Column:
     return F.coalesce(line, whole, F.lit(""))
 
 
-def with_identity(records: DataFrame) -> DataFrame:
+def with_identity(records: DataFrame, *keep: str) -> DataFrame:
     """Add the display fields and ``own_key``, the record's own unit identity.
 
-    Records keep ``pull_ref``, ``id`` and the raw dates, price and history.
+    Records keep ``pull_ref``, ``id``, the raw dates, price and history, and the
+    columns ``keep``.
     """
     named = records.select(
+        *keep,
         "pull_ref",
         "id",
         "listedDate",

@@ -6,6 +6,7 @@ Doubles are rounded to six places, so that engines can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ from leasegrain.config import GO_THRESHOLD, Knobs
 from leasegrain.functions.dates import calendar_date
 from leasegrain.operators import cohorts, coverage, curation, planning, profile, refresh, shaping, statistics, views
 from leasegrain.operators.cohorts import EDGES
-from leasegrain.session import staged
+from leasegrain.session import shared_folder, staged
 from leasegrain.sources import bookkeeping, event_responses, order_listings, responses
 from leasegrain.sources.order_listings import Workbench, table
+from leasegrain.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -904,3 +906,63 @@ def refresh_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refresh_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = Workbench(spark, sf_dir).requests()
     return refresh.refresh_summary(requests, _changes(spark, sf_dir), _carried(spark, sf_dir))
+
+
+# ---- the incremental store
+
+BATCHES = 3
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing records as response bodies of about ten records, dealt into batches."""
+    records = Workbench(spark, sf_dir).records()
+    fields = [c for c in records.columns if c != "pull_ref"]
+    page = F.concat(F.lit("y2000-"), F.lower("status"), F.lit("-off"), F.pmod(F.crc32(F.coalesce("listedDate", F.lit("")).cast("binary")), F.lit(97)))
+    # the active and the inactive copy of a listing come in different batches
+    return (
+        records.groupBy("pull_ref", F.concat(page, F.lit(".json")).alias("file_name"))
+        .agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*fields))), ","), F.lit("]")).alias("body"))
+        .withColumns({"as_of": F.lit(None).cast("string"), "fetched_at": F.lit(None).cast("string"), "total_count": F.lit(None).cast("int")})
+        .withColumn("_batch", F.pmod(F.crc32(F.col("file_name").cast("binary")), F.lit(BATCHES)).cast("int"))
+    )
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """A store that took in all bodies in batches, first cut short and then again in full; compacted once."""
+    bench = Workbench(spark, sf_dir)
+
+    def fill() -> str:
+        root = f"{shared_folder(spark)}/leasegrain-tables/store-{uuid.uuid4().hex}"
+        bodies = staged(_bodies(spark, sf_dir), "bodies")
+        incremental.put_manifests(spark, root, bench.pulls(), 0)
+        first = bodies.where("_batch = 0").withColumn("body", F.when(F.col("file_name").contains("1."), "[]").otherwise(F.col("body")))
+        incremental.ingest(spark, root, first.drop("_batch"), 0)
+        incremental.ingest(spark, root, bodies.where("_batch = 1").drop("_batch"), 1)
+        incremental.compact(spark, root)
+        incremental.ingest(spark, root, bodies.where("_batch <> 1").drop("_batch"), 2)
+        return root
+
+    return bench.once("store", fill)
+
+
+@query
+def incremental_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comps of a store filled in batches: the same as of all records at once."""
+    return incremental.current_comps(spark, _store(spark, sf_dir)).select(
+        "pull_ref", "comp_key", "initial_ask", "effective_dom", "censored", "removal_class", "first_listed", "withdrawal_suspect", "relist_count", "gap_days"
+    )
+
+
+@query
+def stored_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw sink read back: records of the last version of every file, per pull and status."""
+    stored = responses.listing_records(responses.parse_responses(incremental.stored_responses(spark, _store(spark, sf_dir))))
+    return stored.groupBy("pull_ref", "response_status").agg(
+        F.count(F.lit(1)).alias("records"), F.count("id").alias("with_id"), F.round(F.sum("price"), 2).alias("price_sum")
+    )
+
+
+@query
+def stored_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest sink read back."""
+    return incremental.stored_manifests(spark, _store(spark, sf_dir)).select("pull_ref", "as_of", "window_start", "window_end")

@@ -164,3 +164,26 @@ LEDGER = T.StructType(
         T.StructField("history", T.ArrayType(CALL)),
     ]
 )
+
+
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+# ---- tables of the incremental store
+
+_TEXT, _DAY, _REAL, _WHOLE = T.StringType(), T.DateType(), T.DoubleType(), T.IntegerType()
+STORED_FILE = _fields(pull_ref=_TEXT, file_name=_TEXT)
+STORED_RESPONSE = _fields(pull_ref=_TEXT, file_name=_TEXT, body=_TEXT, as_of=_TEXT, fetched_at=_TEXT, total_count=_WHOLE)
+STORED_MANIFEST = _fields(pull_ref=_TEXT, as_of=_DAY, window_start=_TEXT, window_end=_TEXT, planned=_WHOLE, fetchable=_WHOLE)
+STORED_LISTING = _fields(
+    pull_ref=_TEXT, listing=_TEXT, file_name=_TEXT, id=_TEXT, own_key=_TEXT, listedDate=_TEXT, removedDate=_TEXT, price=_REAL,
+    history=LISTING["history"].dataType, address=_TEXT, unit=_TEXT, lat=_REAL, lng=_REAL, beds=_REAL, baths=_REAL, sqft=_REAL,
+)
+STORED_MEMBER = _fields(pull_ref=_TEXT, group_key=_TEXT, listing=_TEXT)
+STORED_UNIT = _fields(pull_ref=_TEXT, group_key=_TEXT)
+STORED_CHAIN = _fields(
+    pull_ref=_TEXT, group_key=_TEXT, chain=T.LongType(), first_listed=_DAY, chain_end=_DAY, initial_ask=_REAL, relist_count=_WHOLE,
+    gap_days=_WHOLE, cut_history=CUTS, address=_TEXT, unit=_TEXT, beds=_REAL, baths=_REAL, sqft=_REAL, lat=_REAL, lng=_REAL,
+    withdrawal_suspect=T.BooleanType(),
+)

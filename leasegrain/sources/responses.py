@@ -53,40 +53,45 @@ def with_file_facts(responses: DataFrame) -> DataFrame:
     )
 
 
-def _listings(body: Column) -> Column:
-    """The listings of a response body as an array of variants.
-
-    A bare array, or an object with ``listings``; null for anything else, which
-    is not the same as an empty array.
-    """
-    parsed = F.try_parse_json(body)
-    kind = F.schema_of_variant(parsed)
-    inner = F.try_variant_get(parsed, "$.listings", "variant")
-    listing_array = F.when(kind.startswith("ARRAY"), parsed).when(
-        kind.startswith("OBJECT") & F.schema_of_variant(inner).startswith("ARRAY"), inner
-    )
-    return F.try_variant_get(listing_array, "$", "array<variant>")
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).startswith(kind)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """Add ``usable``, ``entries`` (only objects, as JSON text) and ``n_records``."""
-    objects = F.filter("_all", lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    """Add ``usable``, ``entries`` (the objects of the body, as variants) and ``n_records``.
+
+    A usable body is an array, or an object with an array of ``listings``; an
+    empty array is usable, which is not the same as no evidence. A body is
+    parsed once; what follows reads its variant.
+    """
+    inner = F.try_variant_get("_json", "$.listings", "variant")
+    listings = F.when(_is(F.col("_json"), "ARRAY"), F.col("_json")).when(
+        _is(F.col("_json"), "OBJECT") & _is(F.col("_inner"), "ARRAY"), F.col("_inner")
+    )
     return (
-        responses.withColumn("_all", _listings(F.col("body")))
+        responses.withColumn("_json", F.try_parse_json("body"))
+        .withColumn("_inner", inner)
+        .withColumn("_all", F.try_variant_get(listings, "$", "array<variant>"))
         .withColumn("usable", F.col("_all").isNotNull())
-        .withColumn("entries", F.transform(objects, lambda v: F.to_json(v)))
+        .withColumn("entries", F.filter("_all", lambda v: _is(v, "OBJECT")))
         .withColumn("n_records", F.coalesce(F.size("entries"), F.lit(0)))
-        .drop("_all")
+        .drop("_json", "_inner", "_all")
     )
 
 
-def listing_records(parsed: DataFrame) -> DataFrame:
-    """The listings of all usable responses, one row each."""
+def listing_records(parsed: DataFrame, *keep: str) -> DataFrame:
+    """The listings of all usable responses, one row each, with the columns ``keep`` of their response.
+
+    Fields are read from the variant by type; a field of another type is null.
+    Responses without entries are left out after the explosion: a filter before
+    it would be pushed below the projections and parse the body again.
+    """
+    typed = F.try_variant_get("entry", "$", LISTING.simpleString())
     return (
-        parsed.where("usable")
-        .select("pull_ref", F.col("status").alias("response_status"), F.explode("entries").alias("entry"))
-        .select("pull_ref", "response_status", F.from_json("entry", LISTING).alias("listing"))
-        .select("pull_ref", "response_status", "listing.*")
+        parsed.select("pull_ref", F.col("status").alias("response_status"), *keep, F.explode_outer("entries").alias("entry"))
+        .where(F.col("entry").isNotNull())
+        .withColumn("listing", typed)
+        .select("pull_ref", "response_status", *keep, "listing.*")
     )
 
 

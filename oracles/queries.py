@@ -381,6 +381,15 @@ SELECTS: dict[str, str] = {
                  '&', '%26'), ',', '%2C'), 'ö', '%C3%B6') || '_rb/' AS listing_link,
                'https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=' || printf('%.4f,%.4f', lat, lng) AS street_link
         FROM comps""",
+    "incremental_comps": """
+        SELECT pull_ref, comp_key, initial_ask, effective_dom, censored, removal_class, first_listed, withdrawal_suspect, relist_count, gap_days
+        FROM comps""",
+    "stored_bodies": """
+        SELECT pull_ref, status AS response_status, count(*) AS records, count(id) AS with_id, round(sum(price), 2) AS price_sum
+        FROM all_records GROUP BY ALL""",
+    "stored_manifests": """
+        SELECT pull_ref, as_of, printf('%02d-%02d', season_start // 100, season_start % 100) AS window_start,
+               printf('%02d-%02d', season_end // 100, season_end % 100) AS window_end FROM pulls""",
     "refresh_changes": "SELECT * FROM comp_changes",
     "refresh_weights": "SELECT request_id, comp_key, weight, mark, mark NOT IN ('vanished', 'absent') AS in_source, conflict FROM carried",
     "refresh_summaries": """

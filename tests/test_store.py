@@ -5,6 +5,7 @@ import pytest
 
 from leasegrain.config import KnobError, Knobs
 from leasegrain.operators import coverage
+from leasegrain.operators.shaping import shape
 from leasegrain.plans.load import shape_store
 from leasegrain.sources import bookkeeping, responses
 from leasegrain.streaming import incremental
@@ -93,28 +94,86 @@ def test_empty_bodies_are_refused_and_empty_markets_kept(spark, tmp_path):
     assert [r.body for r in spark.read.parquet(str(tmp_path / "raw")).collect()] == ["[]", "[]"]
 
 
-def test_incremental_job_shapes_only_touched_pulls_and_resumes(spark, tmp_path):
-    manifests = spark.createDataFrame([(p, date(2026, 7, 27), "01-01", "12-31") for p in "ab"], "pull_ref string, as_of date, window_start string, window_end string")
-    landing, raw, comps, state = (str(tmp_path / n) for n in ("landing", "raw", "comps", "state"))
-
-    def land(name, rows):
-        put(tmp_path / "landing" / f"{name}.json", "\n".join(json.dumps(r) for r in rows))
-
-    def run():
-        incremental.run_once(spark, landing, raw, comps, manifests, state).awaitTermination(120)
-        found = incremental.current_comps(spark, comps)
-        return {(r.pull_ref, r.comp_key, r.censored) for r in found.collect()}
-
-    land("1", [
-        {"pull_ref": "a", "file_name": "y2025-active-off000.json", "body": json.dumps([record("1", "1 Elm St")])},
-        {"pull_ref": "b", "file_name": "y2025-active-off000.json", "body": json.dumps([record("2", "2 Elm St")])},
-    ])
-    assert run() == {("a", "1 elm st|", True), ("b", "2 elm st|", True)}
-    land("2", [{"pull_ref": "a", "file_name": "y2025-inactive-off000.json", "body": json.dumps([record("1", "1 Elm St", removedDate="2025-07-01")])}])
-    assert run() == {("a", "1 elm st|", False), ("b", "2 elm st|", True)}
-    versions = spark.read.parquet(f"{comps}/versions").groupBy("pull_ref").count().collect()
-    assert {r.pull_ref: r["count"] for r in versions} == {"a": 2, "b": 1}
-    assert run() == {("a", "1 elm st|", False), ("b", "2 elm st|", True)}
+MANIFEST = "pull_ref string, as_of date, window_start string, window_end string"
+
+
+def body(name, pull, *listings):
+    return {"pull_ref": pull, "file_name": f"{name}.json", "body": json.dumps(listings)}
+
+
+def test_incremental_job_shapes_only_touched_units_and_resumes(spark, tmp_path):
+    manifests = spark.createDataFrame([(p, date(2026, 7, 27), "01-01", "12-31") for p in "ab"], MANIFEST)
+    landing, root, state = (str(tmp_path / n) for n in ("landing", "store", "state"))
+    incremental.put_manifests(spark, root, manifests, 0)
+
+    def run(name=None, *rows):
+        if name:
+            put(tmp_path / "landing" / f"{name}.json", "\n".join(json.dumps(r) for r in rows))
+        incremental.run_once(spark, landing, root, state).awaitTermination(180)
+        return {(r.pull_ref, r.comp_key, r.censored) for r in incremental.current_comps(spark, root).collect()}
+
+    def versions():
+        rows = spark.read.parquet(f"{root}/versions").select("pull_ref", "group_key", "version").collect()
+        return {(r.pull_ref, r.group_key[0], r.version) for r in rows}
+
+    first = {("a", "1 elm st|", True), ("a", "3 elm st|", True), ("b", "2 elm st|", True)}
+    assert run("1", body("y2025-active", "a", record("1", "1 Elm St"), record("3", "3 Elm St")), body("y2025-active", "b", record("2", "2 Elm St"))) == first
+    second = first - {("a", "1 elm st|", True)} | {("a", "1 elm st|", False)}
+    assert run("2", body("y2025-inactive", "a", record("1", "1 Elm St", removedDate="2025-07-01"))) == second
+    assert versions() == {("a", "1", 0), ("a", "3", 0), ("b", "2", 0), ("a", "1", 1)}
+    assert run() == second
+
+
+def test_units_follow_listings_that_move_leave_and_come_back(spark, tmp_path):
+    """After every batch the store gives what shaping all its current bodies gives."""
+    root = str(tmp_path / "store")
+    manifests = spark.createDataFrame([("a", date(2026, 7, 27), "01-01", "12-31")], MANIFEST)
+    incremental.put_manifests(spark, root, manifests, 0)
+    batches = [
+        [body("y2025-active", "a", record("1", "5 Elm St"), record("2", "5 Elm St", listedDate="2025-03-01", removedDate="2025-03-20"), record(None, "7 Oak St"), record("9", ""))],
+        # another copy moves listing 1, and with it its spells, to a smaller key
+        [body("y2024-active", "a", record("1", "4 Elm St", listedDate="2024-05-01", removedDate="2024-06-01"))],
+        # the first file comes again without listing 2, and a listing without id joins its unit
+        [body("y2025-active", "a", record("1", "5 Elm St"), record(None, "7 Oak St", listedDate="2025-01-05", removedDate="2025-01-30"))],
+        [{"pull_ref": "a", "file_name": "y2024-active.json", "body": "[]"}, {"pull_ref": "a", "file_name": "y2023-active.json", "body": ""}],
+    ]
+    columns = ("comp_key", "group_key", "first_listed", "chain_end", "initial_ask", "relist_count", "withdrawal_suspect")
+    for number, rows in enumerate(batches):
+        arrived = spark.createDataFrame([(r["pull_ref"], r["file_name"], r["body"], None, None, None) for r in rows], incremental.RESPONSE_COLUMNS)
+        for _ in range(2 if number == 2 else 1):
+            incremental.ingest(spark, root, arrived, number)
+        whole = shape(responses.listing_records(responses.parse_responses(incremental.stored_responses(spark, root))), manifests).comps
+        found = sorted(map(str, incremental.current_comps(spark, root).select(*columns).collect()))
+        assert found and found == sorted(map(str, whole.select(*columns).collect()))
+        if number == 1:
+            incremental.compact(spark, root)
+    incremental.compact(spark, root)
+    assert sorted(map(str, incremental.current_comps(spark, root).select(*columns).collect())) == found
+    for name in ("responses", "listings", "units", "chains", "versions"):
+        (folder,) = (tmp_path / "store" / name).glob("batch=*")
+        assert folder.name.startswith("batch=-")
+    assert {r.file_name for r in incremental.stored_responses(spark, root).collect()} == {"y2025-active.json", "y2024-active.json"}
+
+
+def test_listings_are_read_from_their_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [(p, "y2025-active.json", json.dumps([record(f"{p}{k}", f"{k} Elm St") for k in range(30)]), None, None, None) for p in ("a", "b", "c")]
+    incremental.ingest(spark, root, spark.createDataFrame(rows, incremental.RESPONSE_COLUMNS), 0)
+    one = spark.createDataFrame([("b", "id b7")], "pull_ref string, listing string")
+    found = incremental.current_listings(spark, root, one)
+    assert [r.own_key for r in found.collect()] == ["7 elm st|"]
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert scans and all("PartitionFilters" in s and "bucket#" in s.split("PartitionFilters")[1] for s in scans)
+    assert not any("body" in s.split("ReadSchema")[1] for s in scans)
+    # folders follow buckets, not pulls
+    assert len(list((tmp_path / "store" / "responses").glob("batch=0/bucket=*"))) <= 3
+
+
+def test_a_body_is_parsed_once(spark):
+    df = spark.createDataFrame([("p", "y2025-active-off000.json", json.dumps([record("1", "1 Elm St")]))], "pull_ref string, file_name string, body string")
+    records = responses.listing_records(responses.parse_responses(responses.with_file_facts(df)))
+    assert records._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+    assert records.count() == 1
 
 
 def test_workspaces_replace_and_bad_ones_stay_listed(spark, tmp_path):
