@@ -27,3 +27,32 @@ def placeable(lat: Column, lng: Column) -> Column:
         & (F.abs(lng) != infinite)
     )
     return F.coalesce(finite & ~((lat == 0.0) & (lng == 0.0)), F.lit(False))
+
+
+#: Bits per axis of a cell number: about 0.2 miles of latitude.
+CELL_BITS = 16
+
+
+def _spread_bits(value: Column) -> Column:
+    """The low 16 bits of a number, each moved to twice its place."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+    return value
+
+
+def cell_row(lat: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit((1 << CELL_BITS) - 1), F.floor((lat + 90.0) / 180.0 * (1 << CELL_BITS)))).cast("bigint")
+
+
+def cell_column(lng: Column) -> Column:
+    """Without wrapping: numbers that differ by ``1 << CELL_BITS`` are the same place."""
+    return F.floor((lng + 180.0) / 360.0 * (1 << CELL_BITS)).cast("bigint")
+
+
+def cell_number(row: Column, column: Column) -> Column:
+    """Rows and columns as one number, their bits alternating.
+
+    A cell of ``k`` bits per axis is the range of the numbers that start with its
+    ``2 k`` bits, so leaving out low bits gives the larger cell around a place.
+    """
+    return F.shiftleft(_spread_bits(row), 1).bitwiseOR(_spread_bits(F.pmod(column, F.lit(1 << CELL_BITS).cast("bigint"))))
