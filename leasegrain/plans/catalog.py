@@ -9,12 +9,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leasegrain.config import GO_THRESHOLD, Knobs
 from leasegrain.functions.dates import calendar_date
-from leasegrain.operators import cohorts, coverage, curation, planning, profile, refresh, shaping, statistics, views
+from leasegrain.operators import cohorts, coverage, curation, decisions, drift, planning, profile, refresh, shaping, statistics, views
 from leasegrain.operators.cohorts import EDGES
 from leasegrain.session import shared_folder, staged
 from leasegrain.sources import bookkeeping, event_responses, order_listings, responses
@@ -966,3 +966,84 @@ def stored_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest sink read back."""
     return incremental.stored_manifests(spark, _store(spark, sf_dir)).select("pull_ref", "as_of", "window_start", "window_end")
+
+
+# ---- drift from the comps themselves
+
+
+def _zip(number: Column) -> Column:
+    """The zip of a house number; a tenth have none."""
+    return F.when(number % 10 != 9, F.concat(F.lit("6061"), (number % 10).cast("string")))
+
+
+def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = Workbench(spark, sf_dir)
+    house = F.split_part("comp_key", F.lit(" "), F.lit(1)).cast("bigint")
+    return bench.once("ratios", lambda: staged(drift.cohort_ratios(bench.comps().withColumn("zip", _zip(house))), "ratios"))
+
+
+@query
+def cohort_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort medians and their yearly growth per zip and bedrooms, zip, bedrooms, pull."""
+    return rounded(_ratios(spark, sf_dir), "median_psf", "growth")
+
+
+@query
+def group_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(drift.group_drifts(_ratios(spark, sf_dir)), "drift_pct")
+
+
+@query
+def subject_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift of every request from its source, or its own where there is no evidence."""
+    s = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint")
+    asked = Workbench(spark, sf_dir).requests().select(
+        "request_id",
+        "pull_ref",
+        "drift_pct",
+        F.element_at(F.array(F.lit("zip"), F.lit("cohort"), F.lit("zip"), F.lit("manual")), (s % 4 + 1).cast("int")).alias("drift_source"),
+        F.concat(_zip(s % 12), F.when(s % 12 > 9, "0").otherwise("")).alias("subject_zip"),
+        (s % 6).cast("double").alias("subject_beds"),
+    )
+    found = drift.subject_drifts(asked, drift.group_drifts(_ratios(spark, sf_dir)))
+    return rounded(found, "drift_pct", "cohort_drift_pct")
+
+
+# ---- decisions and what came of them
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision of every request about one unit of its pull, read back from the log, with what followed."""
+    bench = Workbench(spark, sf_dir)
+    s = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint")
+    unit = F.floor(s * 3 / 20) * 100 + s * 7 % 130
+    number = F.when(unit % 5 != 0, (unit % 5).cast("string")).otherwise("")
+    tests = bench.derived()["price_test"].select("request_id", F.col("days_mid").alias("predicted_days"))
+    made = (
+        bench.requests()
+        .join(tests, "request_id", "left")
+        .select(
+            F.col("request_id").alias("decision_id"),
+            "pull_ref",
+            F.concat(unit.cast("string"), F.lit(" w oak st|"), number).alias("unit_key"),
+            F.date_add(F.lit("1996-01-01").cast("date"), (s * 37 % 2100).cast("int")).alias("decided_on"),
+            F.col("candidate_rent").alias("candidate_rent"),
+            "predicted_days",
+        )
+    )
+    path = f"{shared_folder(spark)}/leasegrain-tables/decisions-{uuid.uuid4().hex}"
+    decisions.log_decisions(made, path)
+    logged = spark.read.parquet(path)
+    vacancies = shaping.with_comp_key(bench.shaped().chains, "address", "unit", "unit_key")
+    return decisions.outcomes(logged, vacancies.select("pull_ref", "unit_key", "first_listed", "chain_end", "initial_ask", "cut_history"))
+
+
+@query
+def decision_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _outcomes(spark, sf_dir).drop("unit_key")
+    return rounded(found, "predicted_days", "error_days", places=4)
+
+
+@query
+def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(decisions.track_record(_outcomes(spark, sf_dir), "pull_ref"), "mean_error_days", "mean_abs_error_days", places=3)

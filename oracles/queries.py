@@ -390,6 +390,31 @@ SELECTS: dict[str, str] = {
     "stored_manifests": """
         SELECT pull_ref, as_of, printf('%02d-%02d', season_start // 100, season_start % 100) AS window_start,
                printf('%02d-%02d', season_end // 100, season_end % 100) AS window_end FROM pulls""",
+    "cohort_ratios": """
+        SELECT pull_ref, level, zip, beds, cohort_year, round(median_psf, 6) AS median_psf, n, enough, prior_year, round(growth, 6) AS growth
+        FROM cohort_ratios""",
+    "group_drifts": "SELECT pull_ref, level, zip, beds, round(drift_pct, 6) AS drift_pct, years, evidence FROM group_drifts",
+    "subject_drifts": """
+        SELECT request_id, coalesce(['zip and beds', 'zip', 'beds', 'pull'][min(level) FILTER (usable) + 1], 'manual') AS drift_source,
+               round(coalesce(arg_min(found, level) FILTER (usable), max(own)), 6) AS drift_pct,
+               round(max(found) FILTER (level = 3), 6) AS cohort_drift_pct,
+               arg_min(years, level) FILTER (usable) AS years, arg_min(evidence, level) FILTER (usable) AS evidence
+        FROM (SELECT a.*, d.drift_pct AS found, years, evidence,
+                     d.drift_pct IS NOT NULL AND (source = 'zip' OR (source = 'cohort' AND a.level = 3)) AS usable
+              FROM (SELECT request_id, pull_ref, drift_pct AS own, ['zip', 'cohort', 'zip', 'manual'][s % 4 + 1] AS source, unnest(range(0, 4))::INTEGER AS level,
+                           CASE WHEN s % 12 <> 9 THEN '6061' || (s % 12 % 10) || CASE WHEN s % 12 > 9 THEN '0' ELSE '' END END AS zip, CAST(s % 6 AS DOUBLE) AS beds FROM requests) a
+              LEFT JOIN group_drifts d ON a.pull_ref = d.pull_ref AND a.level = d.level
+                AND d.zip = CASE WHEN a.level < 2 THEN a.zip ELSE '*' END
+                AND d.beds = CASE WHEN a.level IN (0, 2) THEN printf('%.1f', a.beds) ELSE '*' END)
+        GROUP BY ALL""",
+    "decision_outcomes": """
+        SELECT decision_id, pull_ref, decided_on, candidate_rent, round(predicted_days, 4) AS predicted_days, outcome, actual_days, final_ask,
+               ask_held, round(error_days, 4) AS error_days FROM decided""",
+    "decision_records": """
+        SELECT pull_ref, count(*) AS decisions, count(*) FILTER (outcome = 'leased') AS leased, count(*) FILTER (outcome = 'open') AS open,
+               count(*) FILTER (outcome = 'late') AS late, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (ask_held) AS held,
+               round(avg(error_days), 3) AS mean_error_days, round(avg(abs(error_days)), 3) AS mean_abs_error_days
+        FROM decided GROUP BY ALL""",
     "refresh_changes": "SELECT * FROM comp_changes",
     "refresh_weights": "SELECT request_id, comp_key, weight, mark, mark NOT IN ('vanished', 'absent') AS in_source, conflict FROM carried",
     "refresh_summaries": """
@@ -406,6 +431,48 @@ SELECTS: dict[str, str] = {
 }
 
 EXTRA: dict[str, str] = {
+    "placed_comps": """
+        SELECT pull_ref, cohort_year, psf, level, CASE WHEN level < 2 THEN zip ELSE '*' END AS zip,
+               CASE WHEN level IN (0, 2) THEN printf('%.1f', beds) ELSE '*' END AS beds
+        FROM (SELECT *, CASE WHEN house % 10 <> 9 THEN '6061' || (house % 10) END AS zip, unnest(range(0, 4))::INTEGER AS level
+              FROM (SELECT *, CAST(split_part(comp_key, ' ', 1) AS BIGINT) AS house FROM comps WHERE psf IS NOT NULL))
+        WHERE level > 1 OR zip IS NOT NULL""",
+    "cohort_ratios": """
+        SELECT * EXCLUDE (last_year, last_median), CASE WHEN enough THEN last_year END AS prior_year,
+               CASE WHEN enough THEN pow(median_psf / last_median, 1.0::DOUBLE / (cohort_year - last_year)) - 1 END AS growth
+        FROM (SELECT *, last_value(CASE WHEN enough THEN cohort_year END IGNORE NULLS) OVER w AS last_year,
+                     last_value(CASE WHEN enough THEN median_psf END IGNORE NULLS) OVER w AS last_median
+              FROM (SELECT pull_ref, level, zip, beds, cohort_year, min(psf) FILTER (share >= 0.5) AS median_psf, count(*) AS n, count(*) >= 4 AS enough
+                    FROM (SELECT *, cume_dist() OVER (PARTITION BY pull_ref, level, zip, beds, cohort_year ORDER BY psf) AS share FROM placed_comps)
+                    GROUP BY ALL)
+              WINDOW w AS (PARTITION BY pull_ref, level, zip, beds ORDER BY cohort_year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    "group_drifts": """
+        SELECT pull_ref, level, zip, beds, (pow(arg_max(median_psf, cohort_year) / arg_min(median_psf, cohort_year),
+               1.0::DOUBLE / (max(cohort_year) - min(cohort_year))) - 1) * 100 AS drift_pct,
+               CAST(max(cohort_year) - min(cohort_year) AS INTEGER) AS years, min(n) AS evidence
+        FROM cohort_ratios WHERE enough GROUP BY ALL HAVING count(*) > 1""",
+    "made": """
+        SELECT request_id AS decision_id, pull_ref, DATE '1996-01-01' + CAST(s * 37 % 2100 AS INTEGER) AS decided_on, candidate_rent,
+               u || ' w oak st|' || CASE WHEN u % 5 <> 0 THEN CAST(u % 5 AS VARCHAR) ELSE '' END AS unit_key, predicted_days
+        FROM (SELECT *, s * 3 // 20 * 100 + s * 7 % 130 AS u FROM requests)
+        LEFT JOIN (SELECT request_id, max(days) FILTER (edge = 'mid') AS predicted_days FROM areas GROUP BY ALL) USING (request_id)""",
+    "spans": """
+        SELECT pull_ref, base_key AS unit_key, first_listed, chain_end, initial_ask, group_key, chain,
+               coalesce(chain_end, lead(first_listed) OVER (PARTITION BY pull_ref, base_key ORDER BY first_listed), DATE '9999-12-31') AS upto
+        FROM chains WHERE effective_dom >= 0""",
+    "decided": """
+        SELECT decision_id, pull_ref, decided_on, candidate_rent, predicted_days, outcome, CASE WHEN outcome = 'leased' THEN days END AS actual_days,
+               CASE WHEN outcome IN ('leased', 'open') THEN coalesce(last_price, initial_ask) END AS final_ask,
+               CASE WHEN outcome = 'leased' THEN NOT coalesce(last_cut > decided_on, false) AND coalesce(last_price, initial_ask) >= candidate_rent END AS ask_held,
+               CASE WHEN outcome = 'leased' THEN days - predicted_days END AS error_days
+        FROM (SELECT m.*, v.*  EXCLUDE (pull_ref, unit_key), CAST(chain_end - greatest(decided_on, first_listed) AS INTEGER) AS days,
+                     CASE WHEN v.first_listed IS NULL THEN 'missing' WHEN v.first_listed - decided_on > 180 THEN 'late'
+                          WHEN chain_end IS NULL THEN 'open' ELSE 'leased' END AS outcome
+              FROM made m LEFT JOIN LATERAL (
+                SELECT * FROM spans v WHERE v.pull_ref = m.pull_ref AND v.unit_key = m.unit_key AND v.upto >= m.decided_on
+                ORDER BY upto LIMIT 1) v ON true)
+        LEFT JOIN (SELECT pull_ref, group_key, chain, max(listed) AS last_cut, arg_max(price, listed) AS last_price
+                   FROM stitched WHERE NOT starts_chain AND price < previous_price GROUP BY ALL) USING (pull_ref, group_key, chain)""",
     "asked": "SELECT request_id, comp_key, (s + CAST(split_part(comp_key, ' ', 1) AS BIGINT)) % 3 = 0 AS asked_for FROM curated",
     "pull_curves": """
         SELECT pull_ref, day, truncated_at,
