@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -11,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leasegrain.session import staged
+from leasegrain.session import shared_folder, staged
 
 #: A key with more than this share of all rows is hot; there are at most as many hot keys as its inverse.
 HOT_SHARE = 0.001
@@ -121,6 +122,55 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+class Scratch:
+    """Tables staged in the shared folder that go when their reader is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(f"{shared_folder(self.spark)}/leasegrain-tables/{label}-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Delete the tables; only of this object, and only once no frame that is still to run reads them."""
+        for path in self.paths:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
+#: Bits of a key filter, and of one of its blocks (as Spark's bitmap functions have it).
+FILTER_BITS, FILTER_BLOCK = 26, 1 << 15
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """``block, bits``: a bitmap of at most ``1 << FILTER_BITS`` bits (8 MB) of the hashes of a long column.
+
+    A key whose bit is not set is not among ``keys``; one whose bit is set may be.
+    More keys than bits only let more through.
+    """
+    place = F.xxhash64(F.col(column)).bitwiseAND((1 << FILTER_BITS) - 1)
+    return (
+        keys.where(F.col(column).isNotNull())
+        .select(F.floor(place / FILTER_BLOCK).alias("block"), (place % FILTER_BLOCK).alias("_place"))
+        .groupBy("block")
+        .agg(F.bitmap_construct_agg("_place").alias("bits"))
+    )
+
+
+def may_be_in(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """Adds ``_hit``: whether the long ``column`` may be among the keys of a ``key_filter``; null is no key."""
+    place = F.xxhash64(F.col(column)).bitwiseAND((1 << FILTER_BITS) - 1)
+    inside = place % FILTER_BLOCK
+    byte = F.conv(F.hex(F.call_function("substring", F.col("_bits"), F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (inside % 8).cast("int")).bitwiseAND(1) == 1
+    blocks = F.broadcast(bitmap.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")))
+    joined = df.join(blocks, F.floor(place / FILTER_BLOCK) == F.col("_block"), "left")
+    return joined.withColumn("_hit", F.col(column).isNotNull() & F.coalesce(bit, F.lit(False))).drop("_block", "_bits")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

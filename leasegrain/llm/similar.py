@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leasegrain.llm import simhash
-from leasegrain.llm.common import components, join_counted, map_arrow, slices
+from leasegrain.llm.common import FILTER_BITS, FILTER_BLOCK, Scratch, components, join_counted, key_filter, map_arrow, may_be_in, slices
 from leasegrain.llm.decontamination import BASE, scramble, token_hashes
 from leasegrain.session import staged
 
@@ -25,6 +25,8 @@ from leasegrain.session import staged
 WORDS, ALIKE, OF = 5, 4, 5
 #: Counts of shingles are kept by the first bits of their hashes; they only order shingles.
 CELL_BITS = 18
+#: Keys by which a task knows the texts it has seen.
+REMEMBERED = 1 << 20
 #: Longs of a set's bitmap, a power of two.
 MAP_WORDS = 8
 MAPS = [f"m{k}" for k in range(MAP_WORDS)]
@@ -73,14 +75,6 @@ def _nodes(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "print", "n", *MAPS])
 
 
-def _keyed(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in slices(batches, "text"):
-        keys = pa.array([key_of(t) for t in batch.column("text").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([keys, batch.column("text")], ["key", "text"])
-
-
 def _counts(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -94,39 +88,77 @@ def _counts(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
 
-def _sets(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in slices(batches, "text"):
-        sets = pa.array([shingles(t).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), sets], ["key", "set"])
-
-
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """Parities of a set's hashes per place: two sets differ in at least as many hashes as their bitmaps in bits."""
     places = (hashes & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=64 * MAP_WORDS) & 1).view(np.int64)
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """``shingle, key, n`` of the prefix of every text of ``texts(key, text)``; ``n`` is the size of its whole set."""
+def prefixes(rows: DataFrame) -> DataFrame:
+    """``shingle, key`` of the prefix of every text of ``rows(text)``; a task gives a text it remembers once."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    found = map_arrow(texts.select("text"), _counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(rows.select("text"), _counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        for keys, sets in _distinct(batches):
             first = [prefix(s, shared.value).view(np.int64) for s in sets]
-            sizes = [len(p) for p in first]
-            keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)
-            columns = [np.concatenate(first), keys, np.repeat([len(s) for s in sets], sizes).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "key", "n"])
+            columns = [np.concatenate(first), np.repeat(np.array(keys, np.int64), [len(p) for p in first])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "key"])
 
-    return map_arrow(texts.select("key", "text"), run, "shingle long, key long, n int")
+    return map_arrow(rows.select("text"), run, "shingle long, key long")
+
+
+def _distinct(batches: Iterator, wanted=None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Keys and sets of a task's texts, each text once as far as ``REMEMBERED`` keys tell, of the ``wanted`` keys."""
+    seen: set[int] = set()
+    for batch in slices(batches, "text"):
+        keys, sets = [], []
+        for text in batch.column("text").to_pylist():
+            key = key_of(text)
+            if key in seen or not (wanted is None or wanted(key)):
+                continue
+            if len(seen) < REMEMBERED:
+                seen.add(key)
+            keys.append(key)
+            sets.append(shingles(text))
+        if keys:
+            yield keys, sets
+
+
+def sets_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``key, set`` of the texts of ``rows(text)`` whose key is in ``asked(key)``, each once.
+
+    Tasks hold a filter of the keys of at most 8 MB, so that hardly any other
+    text leaves them; the join is exact.
+    """
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for block, data in key_filter(asked, "key").toLocalIterator():
+        bits[block * (FILTER_BLOCK >> 3) : (block + 1) * (FILTER_BLOCK >> 3)] = np.frombuffer(data, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def wanted(key: int) -> bool:
+            place = spark_hash(key) & ((1 << FILTER_BITS) - 1)
+            return bool(shared.value[place >> 3] >> (place & 7) & 1)
+
+        for keys, sets in _distinct(batches, wanted):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "set"])
+
+    found = map_arrow(rows.select("text"), run, "key long, set array<long>")
+    return found.join(asked, "key", "left_semi").dropDuplicates(["key"])
+
+
+def spark_hash(key: int) -> int:
+    """What Spark's ``xxhash64`` gives for a long."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
 
 
 def may_be_similar(a: str, b: str) -> Column:
@@ -136,24 +168,23 @@ def may_be_similar(a: str, b: str) -> Column:
     return (OF + ALIKE) * differ <= (OF - ALIKE) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs ``a, b`` of keys, each given once, whose texts are similar enough."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = nodes.select("key", "n", *MAPS).alias("x"), nodes.select("key", "n", *MAPS).alias("y")
     near = pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & may_be_similar("x", "y"))
-    pairs = staged(near.select("a", "b"), "pairs")
-    asked = staged(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "asked")
-    found = texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    sets = staged(map_arrow(found, _sets, "key long, set array<long>"), "sets")
+    pairs = scratch.staged(near.select("a", "b"), "pairs")
+    asked = scratch.staged(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "asked")
+    sets = scratch.staged(sets_of(rows, asked), "sets")
     sided = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"of_{k}"))
     both = pairs.join(sided("a"), "a").join(sided("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(OF * shared >= ALIKE * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def by_fingerprint(nodes: DataFrame) -> DataFrame:
+def by_fingerprint(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidates ``a, b``: a key with the least key of its fingerprint, and the least keys of fingerprints few bits apart."""
-    heads = staged(nodes.groupBy("print").agg(F.min("key").alias("head")), "heads")
+    heads = scratch.staged(nodes.groupBy("print").agg(F.min("key").alias("head")), "heads")
     n = heads.count()
     same = nodes.join(heads, "print").select(F.col("head").alias("a"), F.col("key").alias("b"))
     if n < 2:
@@ -163,6 +194,18 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.union(close.join(named("a"), "a").join(named("b"), "b").select("of_a", "of_b"))
 
 
+def shared_prefixes(rows: DataFrame) -> DataFrame:
+    """``shingle, key, low, high`` of the prefix shingles that stand in several texts, with the least and largest key of each.
+
+    Nearly all shingles stand in one text, so these leave the one shuffle in
+    the stage that reads it, and nothing else moves or keeps them.
+    """
+    texts = Window.partitionBy("shingle")
+    dealt = prefixes(rows).repartition("shingle").distinct()
+    ends = dealt.withColumn("low", F.min("key").over(texts)).withColumn("high", F.max("key").over(texts))
+    return ends.where("low <> high")
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id, group_size`` of ``docs(doc_id, text)``: the smallest id reachable over similar texts.
 
@@ -174,29 +217,28 @@ def similar_components(docs: DataFrame) -> DataFrame:
     does not meet pair by pair. Repeated rows and ids
     stay; an empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fields = "doc_id long, key long, print long, n int, " + ", ".join(f"{m} long" for m in MAPS)
     prints = staged(map_arrow(rows, _nodes, fields), "keyed")
     same = ["key", "print", "n", *MAPS]
     nodes = staged(prints.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
-    texts = map_arrow(rows.select("text"), _keyed, "key long, text string")
-    members = staged(prefixes(texts).distinct(), "prefixes")
-    ends = members.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    members = staged(members.join(ends, "shingle"), "members")
+    members = scratch.staged(shared_prefixes(rows), "members")
     first = members.select(F.col("low").alias("a"), F.col("key").alias("b")).union(members.select("high", "key"))
-    edges = staged(verified(by_fingerprint(nodes).union(first), nodes, texts), "similar")
+    edges = staged(verified(by_fingerprint(nodes, scratch).union(first), nodes, rows, scratch), "similar")
     ids = nodes.select(F.col("key").alias("id"))
     found = staged(components(ids, edges), "found")
-    there = members.join(found, members["key"] == found["id"]).select("shingle", "key", "n", "component", "low", "high")
+    there = members.join(found, members["key"] == found["id"]).select("shingle", "key", "component", "low", "high")
     open_ = there.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
-    there = staged(there.where("key <> low and key <> high").join(open_, "shingle", "left_semi"), "open")
-    there = staged(there.select("shingle", "key", "component").join(nodes.select("key", "n", *MAPS), "key"), "mapped")
+    there = scratch.staged(there.where("key <> low and key <> high").join(open_, "shingle", "left_semi"), "open")
+    there = scratch.staged(there.select("shingle", "key", "component").join(nodes.select("key", "n", *MAPS), "key"), "mapped")
     a, b = there.alias("a"), there.alias("b")
     apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
     rest = a.join(b, apart & may_be_similar("a", "b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-    more = staged(verified(rest, nodes, texts), "similar")
+    more = staged(verified(rest, nodes, rows, scratch), "similar")
     if not more.isEmpty():
         found = components(ids, edges.union(more))
+    scratch.clear()
     named = nodes.join(found, nodes["key"] == found["id"]).select("key", "least", "copies", "component")
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("group_size"))
     labels = named.join(heads, "component").select("key", "copies", "component_id", "group_size")
@@ -209,6 +251,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that repeat that id stay or go together, except that equal rows are kept
     once; documents without an id are all kept.
     """
-    found = similar_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.dropDuplicates(docs.columns).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    found = staged(similar_components(docs.select("doc_id", "text")), "labelled")
+    # without a filter's hit a row surely stays; only the others are looked up, and compared as wholes
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    marked = may_be_in(packed, "id", key_filter(gone.union(twice.select("doc_id")), "doc_id"))
+    sure = F.col("id").isNotNull() & ~F.col("_hit")
+    looked = marked.where(~sure).select("row", "id").dropDuplicates(["row"])
+    left = looked.join(gone.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return marked.where(sure).select("row.*").unionByName(left.select("row.*"))

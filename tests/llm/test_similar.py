@@ -50,3 +50,26 @@ def test_any_similar_set_shares_a_shingle_of_the_prefix():
             b = a[cut:] if cut else a
             if 5 * len(b) >= 4 * len(a):
                 assert len(np.intersect1d(similar.prefix(a, counts), similar.prefix(b, counts)))
+
+
+def test_kept_rows_are_whole_rows_once(spark):
+    text = prose(3, 40)
+    rows = [(1, text, "a", 1, True), (1, text, "a", 1, True), (1, text, "b", 1, True), (2, text, "a", 2, False), (None, text, "a", 3, False), (None, text, "a", 3, False), (5, "other words", "a", 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, id long, _hit boolean")
+    got = sorted(similar.keep_first(docs).collect(), key=str)
+    # the smallest id of a group keeps its different rows; rows without an id are no copies of others
+    assert sorted(map(tuple, got), key=str) == sorted({rows[0], rows[2], rows[4], rows[6]}, key=str)
+
+
+def test_one_shuffle_finds_shared_shingles(spark):
+    docs = spark.createDataFrame([(k, prose(k % 7, 30)) for k in range(20)], "doc_id long, text string")
+    plan = similar.shared_prefixes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_filters_of_keys_miss_nothing(spark):
+    from leasegrain.llm.common import key_filter, may_be_in
+
+    keys = spark.range(0, 4000, 7).withColumnRenamed("id", "k")
+    marked = may_be_in(spark.range(4000), "id", key_filter(keys, "k")).collect()
+    assert all(r._hit for r in marked if r.id % 7 == 0) and sum(r._hit for r in marked) < 600
