@@ -73,3 +73,20 @@ def test_filters_of_keys_miss_nothing(spark):
     keys = spark.range(0, 4000, 7).withColumnRenamed("id", "k")
     marked = may_be_in(spark.range(4000), "id", key_filter(keys, "k")).collect()
     assert all(r._hit for r in marked if r.id % 7 == 0) and sum(r._hit for r in marked) < 600
+
+
+def test_parities_rule_out_no_similar_sets(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r, rows, similar_pairs = np.random.default_rng(6), [], set()
+    for k in range(300):
+        whole = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 900)), dtype=np.uint64))
+        other = np.union1d(whole[: max(1, int(len(whole) * r.uniform(0.5, 1)))], r.integers(0, 1 << 63, int(len(whole) * r.uniform(0, 0.4)), dtype=np.uint64))
+        if 5 * len(np.intersect1d(whole, other)) >= 4 * len(np.union1d(whole, other)):
+            similar_pairs.add(k)
+        rows += [(k, side, len(s), similar.parity(s).tolist()) for side, s in (("x", whole), ("y", other))]
+    marks = spark.createDataFrame(rows, "k int, side string, n int, parity array<long>")
+    x, y = (marks.where(F.col("side") == side).alias(side) for side in "xy")
+    left = {row.k for row in x.join(y, F.col("x.k") == F.col("y.k")).where(similar.parities_allow("x", "y")).select("x.k").collect()}
+    assert similar_pairs <= left and len(similar_pairs) > 20 and len(left) < len(similar_pairs) + 40
