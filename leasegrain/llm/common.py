@@ -37,7 +37,26 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, as a Python worker lives on for tasks of other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -25,6 +25,8 @@ from leasegrain.session import staged
 WORDS, ALIKE, OF = 5, 4, 5
 #: Counts of shingles are kept by the first bits of their hashes; they only order shingles.
 CELL_BITS = 18
+#: Bytes of text worked on at a time; a text takes some 24 times its size while it is hashed.
+SLICE = 1 << 20
 #: Keys by which a task knows the texts it has seen.
 REMEMBERED = 1 << 20
 #: Longs of a set's bitmap, a power of two.
@@ -66,7 +68,7 @@ def key_of(text: str | None) -> int:
 def _nodes(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         texts = batch.column("text").to_pylist()
         sets = [shingles(t) for t in texts]
         maps = np.array([bitmap(s) for s in sets])
@@ -79,7 +81,7 @@ def _counts(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     total = np.zeros(1 << CELL_BITS, np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         for text in batch.column("text").to_pylist():
             np.add.at(total, (shingles(text) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
     cells = np.flatnonzero(total)
@@ -115,7 +117,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
 def _distinct(batches: Iterator, wanted=None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Keys and sets of a task's texts, each text once as far as ``REMEMBERED`` keys tell, of the ``wanted`` keys."""
     seen: set[int] = set()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         keys, sets = [], []
         for text in batch.column("text").to_pylist():
             key = key_of(text)
