@@ -70,16 +70,25 @@ def request_errors() -> Column:
 
 
 def split_requests(requests: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid requests, rejected requests with their ``errors``)."""
-    negative = (
-        weights.where((F.col("weight") < 0) | F.isnan("weight"))
+    """(valid requests, rejected requests with their ``errors``).
+
+    Weights are judged per comp first, so a request with very many is merged
+    before it is gathered; two weights on one comp would double its pairs.
+    """
+    bad = (F.col("weight") < 0) | F.isnan("weight")
+    per_comp = weights.groupBy("request_id", "comp_key").agg(F.bool_or(bad).alias("bad"), (F.count(F.lit(1)) > 1).alias("twice"))
+    faulty = (
+        per_comp.where("bad or twice")
         .groupBy("request_id")
-        .agg(F.lit("weights must be non-negative").alias("_weight_error"))
+        .agg(
+            F.when(F.bool_or("bad"), "weights must be non-negative").alias("_negative"),
+            F.when(F.bool_or("twice"), "weights must name a comp once").alias("_twice"),
+        )
     )
     judged = (
-        requests.join(negative, "request_id", "left")
-        .withColumn("errors", F.concat(request_errors(), F.array_compact(F.array("_weight_error"))))
-        .drop("_weight_error")
+        requests.join(faulty, "request_id", "left")
+        .withColumn("errors", F.concat(request_errors(), F.array_compact(F.array("_negative", "_twice"))))
+        .drop("_negative", "_twice")
     )
     return (
         judged.where(F.size("errors") == 0).drop("errors"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leasegrain.config import GO_THRESHOLD, Knobs
 from leasegrain.functions.dates import calendar_date
-from leasegrain.operators import cohorts, coverage, curation, decisions, drift, planning, profile, refresh, shaping, statistics, views
+from leasegrain.operators import cohorts, coverage, curation, decisions, drift, planning, profile, refresh, shaping, statistics, validation, views
 from leasegrain.operators.cohorts import EDGES
 from leasegrain.session import shared_folder, staged
 from leasegrain.sources import bookkeeping, event_responses, order_listings, responses
@@ -1047,3 +1047,123 @@ def decision_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decisions.track_record(_outcomes(spark, sf_dir), "pull_ref"), "mean_error_days", "mean_abs_error_days", places=3)
+
+
+# ---- requests as documents
+
+#: What is wrong with a document by the supplier's number: (text of the good one, what stands there instead).
+FAULTS = (
+    ("", ""),
+    ('"pull_ref":"p1",', ""),
+    ('"pull_ref":"p1"', '"pull_ref":7'),
+    ('"sqft":900', '"sqft":0'),
+    ('"beds":2', '"beds":-1'),
+    ('"baths":1.5,', ""),
+    ('"lat":41.8', '"lat":"41.8"'),
+    ('"lng":-87.7', '"lng":-87.7,"zip":"60614"'),
+    ('"weights":{"a|":1}', '"weights":{"a|":-2,"b|":"x","c|":0}'),
+    ('["a|"]', '["a|",3,null]'),
+    ('"max_distance_mi":1.5', '"max_distance_mi":-1'),
+    ('"max_distance_mi":1.5', '"max_distance_mi":null'),
+    ('"leased_only":false', '"leased_only":"no"'),
+    ('"candidate_rent":1500', '"candidate_rent":0'),
+    ('"candidate_rent":1500', '"candidate_rent":null'),
+    ('"drift_pct":7', '"drift_pct":null'),
+    ('"drift_pct":7', '"drift":7,"Drift_pct":7'),
+    ('"subject":{', '"subject":[{'),
+    ("}", "]"),
+)
+DOCUMENT = (
+    '{"pull_ref":"p1","subject":{"address":"1 Elm St","lat":41.8,"lng":-87.7,"sqft":900,"beds":2,"baths":1.5},'
+    '"weights":{"a|":1},"include_overrides":["a|"],"filters":{"max_distance_mi":1.5,"hide_censored":true,"leased_only":false},'
+    '"drift_pct":7,"candidate_rent":1500}'
+)
+
+
+def _document(fault: tuple[str, str]) -> str:
+    old, new = fault
+    if old == '"baths":1.5,':
+        return DOCUMENT.replace(',"baths":1.5', "")
+    if old == '"subject":{':
+        return DOCUMENT.replace(old, new).replace('"baths":1.5}', '"baths":1.5}]')
+    return DOCUMENT.replace(old, new) if old else DOCUMENT
+
+
+@query
+def request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every problem of a request document of each supplier, by path."""
+    bodies = F.array(*[F.lit(_document(f)) for f in FAULTS])
+    s = F.col("s_suppkey")
+    documents = table(spark, sf_dir, "supplier").select(
+        s.alias("request_id"), F.element_at(bodies, (s % len(FAULTS) + 1).cast("int")).alias("body")
+    )
+    return validation.problems_of(validation.judged_documents(documents))
+
+
+# ---- provenance
+
+
+@query
+def derive_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, knobs and gaps of every request; the digest follows the comps, not their order."""
+    from leasegrain.plans.derive import meta
+
+    bench = Workbench(spark, sf_dir)
+    number = F.split_part("pull_ref", F.lit("-"), F.lit(2)).cast("int")
+    gaps = bench.pulls().where(number % 3 == 1).select("pull_ref", F.array(F.lit("2001 Active")).alias("missing"), F.lit(2).alias("calls_to_complete"))
+    comps, requests = bench.comps(), bench.requests()
+    dearer = comps.withColumn("initial_ask", F.when(number % 2 == 0, F.col("initial_ask") + 1).otherwise(F.col("initial_ask")))
+    now = meta(requests, comps, Knobs(), gaps)
+    dealt = meta(requests, comps.repartition(7, "first_listed"), Knobs()).select("request_id", F.col("pull_digest").alias("_dealt"))
+    other = meta(requests, dearer, Knobs()).select("request_id", F.col("pull_digest").alias("_other"))
+    return now.join(dealt, "request_id").join(other, "request_id").select(
+        "request_id",
+        "pull_ref",
+        "as_of",
+        "n_comps",
+        F.length("pull_digest").alias("digest_length"),
+        (F.col("pull_digest") == F.col("_dealt")).alias("same_when_dealt_anew"),
+        (F.col("pull_digest") != F.col("_other")).alias("other_when_changed"),
+        "config_digest",
+        "knobs",
+        "pipeline_version",
+        F.array_join("missing", ",").alias("missing"),
+        "calls_to_complete",
+    )
+
+
+@query
+def dominant_in_small_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dominance in requests that include the comps of one unit of their pull only, where it does occur."""
+    scored, _ = Workbench(spark, sf_dir).scored()
+    house = F.split_part("comp_key", F.lit(" "), F.lit(1)).cast("bigint")
+    s = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint")
+    few = scored.withColumn("included", F.col("included") & (house % 50 == s % 50))
+    shared = curation.contribution_shares(few).where("included")
+    return shared.select("request_id", "comp_key", views.dominates(F.col("contribution_share")).alias("dominant"))
+
+
+@query
+def cohort_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort median of every pair, those of cohorts without evidence included."""
+    scored, medians = Workbench(spark, sf_dir).scored()
+    found = scored.select("request_id", "cohort_year", "comp_key").join(
+        medians.select("request_id", "cohort_year", "median_psf", "basis"), ["request_id", "cohort_year"], "left"
+    )
+    return rounded(found, "median_psf")
+
+
+@query
+def listing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies and unit of every listing; a record without an id is a listing of its own address."""
+    named = shaping.with_identity(Workbench(spark, sf_dir).records(), "status")
+    anonymous = F.when(F.col("id").isNull(), F.col("own_key"))
+    return (
+        named.withColumn("anonymous_key", anonymous)
+        .groupBy("pull_ref", "id", "anonymous_key")
+        .agg(
+            F.count(F.lit(1)).alias("copies"),
+            F.count_if(F.col("status") == "Active").alias("active_copies"),
+            F.min(F.when(F.col("own_key") != "|", F.col("own_key"))).alias("group_key"),
+        )
+    )

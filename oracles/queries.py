@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+from leasegrain.config import Knobs
+from leasegrain.plans.derive import PIPELINE_VERSION
 from oracles.views import with_views
 
 SELECTS: dict[str, str] = {
@@ -415,6 +419,32 @@ SELECTS: dict[str, str] = {
                count(*) FILTER (outcome = 'late') AS late, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (ask_held) AS held,
                round(avg(error_days), 3) AS mean_error_days, round(avg(abs(error_days)), 3) AS mean_abs_error_days
         FROM decided GROUP BY ALL""",
+    "request_problems": """
+        SELECT s_suppkey AS request_id, path, problem FROM supplier JOIN (VALUES
+          (1, 'pull_ref', 'is required'), (2, 'pull_ref', 'must be a text'), (3, 'subject.sqft', 'must be greater than 0'),
+          (4, 'subject.beds', 'must be at least 0'), (5, 'subject.baths', 'is required'), (6, 'subject.lat', 'must be a number'),
+          (7, 'subject.zip', 'unknown field'), (8, 'weights.a|', 'must be at least 0'), (8, 'weights.b|', 'must be a number'),
+          (9, 'include_overrides[1]', 'must be a text'), (9, 'include_overrides[2]', 'must be a text'),
+          (10, 'filters.max_distance_mi', 'must be at least 0'), (12, 'filters.leased_only', 'must be true or false'),
+          (13, 'candidate_rent', 'must be greater than 0'), (15, 'drift_pct', 'must be a number'),
+          (16, 'Drift_pct', 'unknown field'), (16, 'drift', 'unknown field'), (17, 'subject', 'must be an object'), (18, '$', 'is not JSON')
+        ) AS p(fault, path, problem) ON s_suppkey % 19 = fault""",
+    "derive_provenance": f"""
+        SELECT request_id, r.pull_ref, max(as_of) AS as_of, count(comp_key) AS n_comps, 64 AS digest_length, true AS same_when_dealt_anew,
+               CAST(split_part(r.pull_ref, '-', 2) AS INTEGER) % 2 = 0 AS other_when_changed,
+               '{Knobs().digest()}' AS config_digest, '{json.dumps(Knobs().to_mapping(), sort_keys=True)}' AS knobs, '{PIPELINE_VERSION}' AS pipeline_version,
+               CASE WHEN CAST(split_part(r.pull_ref, '-', 2) AS INTEGER) % 3 = 1 THEN '2001 Active' END AS missing,
+               CASE WHEN CAST(split_part(r.pull_ref, '-', 2) AS INTEGER) % 3 = 1 THEN 2 END AS calls_to_complete
+        FROM (SELECT request_id, pull_ref FROM requests) r JOIN comps c USING (pull_ref) GROUP BY ALL""",
+    "dominant_in_small_requests": """
+        SELECT request_id, comp_key, weight / sum(weight) OVER (PARTITION BY request_id) > 0.4 AS dominant FROM curated
+        WHERE included AND CAST(split_part(comp_key, ' ', 1) AS BIGINT) % 50 = s % 50""",
+    "cohort_lookup_all": """
+        SELECT request_id, cohort_year, comp_key, round(median_psf, 6) AS median_psf, basis FROM scored""",
+    "listing_groups": """
+        SELECT pull_ref, id, CASE WHEN id IS NULL THEN own_key END AS anonymous_key, count(*) AS copies,
+               count(*) FILTER (status = 'Active') AS active_copies, min(own_key) FILTER (own_key <> '|') AS group_key
+        FROM all_records GROUP BY ALL""",
     "refresh_changes": "SELECT * FROM comp_changes",
     "refresh_weights": "SELECT request_id, comp_key, weight, mark, mark NOT IN ('vanished', 'absent') AS in_source, conflict FROM carried",
     "refresh_summaries": """
