@@ -1,6 +1,7 @@
 """A report on raw records: yields, completeness, gaps and extremes.
 
-All parts share one shape, ``report, item, value``, and are plain aggregates.
+A record gives a few tagged measures, which are merged in one aggregate (map-side,
+so only the keys of units are many) and then shaped into ``report, item, value``.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasegrain.functions.dates import calendar_date
+from leasegrain.operators.shaping import with_identity
+
+_EDGE = "\x1f"
 
 _FIELDS = (
     "price",
@@ -32,18 +36,13 @@ def _gap_class(days: Column) -> Column:
     )
 
 
-def _report(name: str, item: Column, value: Column) -> list[Column]:
-    return [F.lit(name).alias("report"), item.cast("string").alias("item"), value.cast("double").alias("value")]
-
+def _measure(report: str, item: Column, value: Column | None = None) -> Column:
+    number = F.lit(None).cast("double") if value is None else value.cast("double")
+    return F.struct(F.lit(report).alias("report"), item.cast("string").alias("item"), number.alias("v"))
 
-def history_sizes(records: DataFrame) -> DataFrame:
-    events = F.coalesce(F.size("history"), F.lit(0))
-    counted = records.groupBy(F.when(F.col("history").isNull(), 0).otherwise(events).alias("n")).agg(F.count(F.lit(1)).alias("v"))
-    return counted.select(*_report("history events", F.col("n"), F.col("v")))
 
-
-def history_gaps(records: DataFrame) -> DataFrame:
-    """Days between one history event's removal and the next one's start.
+def _gaps() -> tuple[Column, Column]:
+    """Classes of the days between one history event's removal and the next one's start.
 
     Inside one record, so an array of its own few events is enough.
     """
@@ -53,60 +52,51 @@ def history_gaps(records: DataFrame) -> DataFrame:
             lambda e: F.struct(calendar_date(e["listedDate"]).alias("s"), calendar_date(e["removedDate"]).alias("e")),
         )
     )
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("_events") - 1),
+    days = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size("_events") - 1), lambda i: F.get("_events", i)["s"].isNotNull() & F.get("_events", i - 1)["e"].isNotNull()),
         lambda i: F.datediff(F.get("_events", i)["s"], F.get("_events", i - 1)["e"]),
     )
-    gaps = (
-        records.where(F.size("history") > 1)
-        .select(events.alias("_events"))
-        .select(F.explode(pairs).alias("gap"))
-        .where(F.col("gap").isNotNull())
-    )
-    counted = gaps.groupBy(_gap_class(F.col("gap")).alias("n")).agg(F.count(F.lit(1)).alias("v"))
-    return counted.select(*_report("gap days", F.col("n"), F.col("v")))
-
-
-def type_yields(records: DataFrame) -> DataFrame:
-    counted = records.groupBy(F.concat_ws(" / ", "propertyType", "status").alias("n")).agg(F.count(F.lit(1)).alias("v"))
-    return counted.select(*_report("property type", F.col("n"), F.col("v")))
-
+    several = F.coalesce(F.size("_events") > 1, F.lit(False))
+    return events, F.when(several, F.transform(days, lambda d: _measure("gap days", _gap_class(d)))).otherwise(F.array())
 
-def missing_shares(records: DataFrame) -> DataFrame:
-    shares = records.agg(*[F.avg(F.col(f).isNull().cast("double")).alias(f) for f in _FIELDS])
-    pairs = F.array(*[F.struct(F.lit(f).alias("n"), F.col(f).alias("v")) for f in _FIELDS])
-    return shares.select(F.inline(pairs)).select(*_report("missing share", F.col("n"), F.col("v")))
 
+def profile(records: DataFrame) -> DataFrame:
+    """``report, item, value`` of all records; an empty table gives no rows.
 
-def duplicate_addresses(named: DataFrame) -> DataFrame:
-    """Unit keys that more than one record of a pull states."""
-    repeated = named.groupBy("pull_ref", "own_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return repeated.agg(F.count(F.lit(1)).alias("v")).select(*_report("duplicate addresses", F.lit("units"), F.col("v")))
-
-
-def extremes(records: DataFrame) -> DataFrame:
+    ``history events``, ``gap days`` and ``property type`` count records (or
+    gaps) per class, ``missing share`` is per field, ``duplicate addresses``
+    counts units that several records of a pull state, ``extremes`` are of
+    prices.
+    """
+    named = with_identity(records, "propertyType", "status", "bedrooms", "bathrooms", "squareFootage", "yearBuilt")
     psf = F.when(F.col("squareFootage") > 0, F.col("price") / F.col("squareFootage"))
-    found = records.agg(
-        F.min("price").alias("price min"),
-        F.max("price").alias("price max"),
-        F.min(psf).alias("price per sqft min"),
-        F.max(psf).alias("price per sqft max"),
+    events, gaps = _gaps()
+    singles = F.array(
+        _measure("history events", F.when(F.col("history").isNull(), 0).otherwise(F.size("history"))),
+        _measure("property type", F.concat_ws(" / ", "propertyType", "status")),
+        _measure("extremes", F.lit("price"), F.col("price")),
+        _measure("extremes", F.lit("price per sqft"), psf),
+        _measure("unit", F.concat_ws(_EDGE, "pull_ref", "own_key")),
+        *[_measure("missing share", F.lit(f), F.col(f).isNull().cast("int")) for f in _FIELDS],
+    )
+    measures = named.withColumn("_events", events).select(F.inline(F.concat(singles, gaps)))
+    merged = measures.groupBy("report", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("share"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+    # units, the only large part, become one row
+    is_unit = F.col("report") == "unit"
+    rolled = merged.groupBy(
+        F.when(is_unit, "duplicate addresses").otherwise(F.col("report")).alias("report"),
+        F.when(is_unit, "units").otherwise(F.col("item")).alias("item"),
+    ).agg(
+        F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("n"), F.max("share").alias("share"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    row = lambda item, value: F.struct(item.alias("item"), value.cast("double").alias("value"))
+    report, item = F.col("report"), F.col("item")
+    values = (
+        F.when(report == "extremes", F.array(row(F.concat(item, F.lit(" min")), F.col("least")), row(F.concat(item, F.lit(" max")), F.col("most"))))
+        .when(report == "missing share", F.array(row(item, F.col("share"))))
+        .when(report == "duplicate addresses", F.array(row(item, F.col("repeated"))))
+        .otherwise(F.array(row(item, F.col("n"))))
     )
-    pairs = F.array(*[F.struct(F.lit(c).alias("n"), F.col(c).alias("v")) for c in found.columns])
-    return found.select(F.inline(pairs)).select(*_report("extremes", F.col("n"), F.col("v")))
-
-
-def profile(records: DataFrame, named: DataFrame) -> DataFrame:
-    """All parts; ``named`` is the records with ``own_key``."""
-    parts = [
-        history_sizes(records),
-        history_gaps(records),
-        type_yields(records),
-        missing_shares(records),
-        duplicate_addresses(named),
-        extremes(records),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    return rolled.select("report", F.inline(values))

@@ -309,49 +309,54 @@ def with_row_dates(comps: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shaped:
-    """The results of shaping, all lazy.
+    """The results of shaping; lazy, but for what ``keep`` wrote.
 
     ``comps`` are in the reference order when sorted by ``group_key`` and
     ``first_listed`` within a pull; no row number is computed, as it would pull
-    every comp of a pull through one task.
+    every comp of a pull through one task. ``rejected`` has a row with its
+    reason for everything that was left out, ``quarantine`` counts them.
     """
 
     chains: DataFrame
     comps: DataFrame
     summary: DataFrame
-    quarantine: DataFrame
+    rejected: DataFrame
 
+    @property
+    def quarantine(self) -> DataFrame:
+        return self.rejected.groupBy("pull_ref", "reason").agg(F.count(F.lit(1)).alias("n")).select("pull_ref", "n", "reason")
 
-def shape(records: DataFrame, pulls: DataFrame, knobs: Knobs = Knobs()) -> Shaped:
-    """Shape raw listing records of many pulls into comps."""
+
+def shape(
+    records: DataFrame, pulls: DataFrame, knobs: Knobs = Knobs(), keep: Callable[[DataFrame, str], DataFrame] | None = None
+) -> Shaped:
+    """Shape raw listing records of many pulls into comps.
+
+    With ``keep`` (such as ``session.staged``) the judged chains are written
+    once, and comps, summary and the chains left out are read from them; without
+    it each result that is used shapes the records for itself.
+    """
     # records without any address would all fall into one unit
     nameless = ~names_something(_stated_address()) & ~names_something(F.col("addressLine2"))
     observed = observations(with_identity(records.where(~nameless)))
     spells = collapse(observed)
     folded = fold_chains(stitch(spells, knobs.stitch_gap_days))
     counts = records.groupBy("pull_ref").agg(F.count(F.lit(1)).alias("rows"))
-    chains = classify(flag_withdrawals(folded, knobs.withdrawal_suspect_months), pulls, knobs, counts)
+    judged = classify(flag_withdrawals(folded, knobs.withdrawal_suspect_months), pulls, knobs, counts)
+    chains = judged if keep is None else keep(judged, "judged-chains")
     sound = chains.where(F.col("effective_dom") >= 0)
     comps = with_final_keys(sound.where("in_window").drop("in_window"))
-    quarantine = (
-        records.where(nameless)
-        .groupBy("pull_ref")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("reason", F.lit("no address"))
-        .unionByName(
-            observed.where("bad_date")
-            .groupBy("pull_ref")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("reason", F.lit("unreadable date"))
-        )
-        .unionByName(
-            chains.where(F.col("effective_dom") < 0)
-            .groupBy("pull_ref")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("reason", F.lit("removed before listed"))
-        )
+
+    def left_out(frame: DataFrame, id: str | None, unit: str | None, started: Column, reason: str) -> DataFrame:
+        name = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string")
+        return frame.select("pull_ref", name(id).alias("id"), name(unit).alias("unit_key"), started.alias("started"), F.lit(reason).alias("reason"))
+
+    rejected = (
+        left_out(records.where(nameless), "id", None, calendar_date(F.col("listedDate")), "no address")
+        .unionByName(left_out(observed.where("bad_date"), "id", "own_key", F.lit(None).cast("date"), "unreadable date"))
+        .unionByName(left_out(chains.where(F.col("effective_dom") < 0), None, "group_key", F.col("first_listed"), "removed before listed"))
     )
-    return Shaped(chains=sound, comps=comps, summary=shaping_summary(sound), quarantine=quarantine)
+    return Shaped(chains=sound, comps=comps, summary=shaping_summary(sound), rejected=rejected)
 
 
 def shaping_summary(chains: DataFrame) -> DataFrame:

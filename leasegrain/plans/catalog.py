@@ -167,6 +167,12 @@ def shaping_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Workbench(spark, sf_dir).shaped().quarantine
 
 
+@query
+def shaping_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record, report and chain that shaping leaves out, with its reason."""
+    return Workbench(spark, sf_dir).shaped().rejected
+
+
 @query
 def price_per_sqft(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = Workbench(spark, sf_dir).comps()
@@ -793,8 +799,7 @@ def empty_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pull_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = Workbench(spark, sf_dir).records()
-    return rounded(profile.profile(records, shaping.with_identity(records)), "value")
+    return rounded(profile.profile(Workbench(spark, sf_dir).records()), "value")
 
 
 # ---- view rules

@@ -47,6 +47,10 @@ SELECTS: dict[str, str] = {
         SELECT pull_ref, count(*), 'unreadable date' FROM base_orders WHERE k % 251 <> 0 AND k % 499 = 0 GROUP BY ALL
         UNION ALL
         SELECT pull_ref, count(*), 'removed before listed' FROM chains WHERE effective_dom < 0 GROUP BY ALL""",
+    "shaping_rejects": """
+        SELECT pull_ref, id, NULL AS unit_key, listed AS started, 'no address' AS reason FROM base_orders WHERE k % 251 = 0
+        UNION ALL SELECT pull_ref, id, own_key, NULL, 'unreadable date' FROM observed WHERE listed IS NULL
+        UNION ALL SELECT pull_ref, NULL, group_key, first_listed, 'removed before listed' FROM chains WHERE effective_dom < 0""",
     "price_per_sqft": "SELECT pull_ref, comp_key, initial_ask, sqft, round(psf, 6) AS psf FROM comps",
     "row_dates": """
         SELECT c.pull_ref, comp_key, chain_end AS removed_on, CAST(as_of - chain_end AS INTEGER) AS days_since_removal,

@@ -245,3 +245,23 @@ def test_shaping_does_not_depend_on_the_order_of_records(spark):
     once = comps(spark, rows)
     rng.shuffle(rows)
     assert comps(spark, rows) == once
+
+
+def test_kept_chains_are_shaped_once(spark):
+    from leasegrain.session import staged
+
+    rows = [
+        listing("1", removedDate="2025-07-01"), listing("2", "2 Elm St", removedDate="2025-05-01"),
+        listing("3", None), listing("4", "4 Elm St", listedDate="soon"),
+    ]
+    schema = "pull_ref string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING)
+    records = spark.createDataFrame([("p", *[r[c] for c in LISTING.names]) for r in rows], schema)
+    pulls = spark.createDataFrame([("p", AS_OF, "01-01", "12-31")], "pull_ref string, as_of date, window_start string, window_end string")
+    once = shape(records, pulls, keep=staged)
+    assert {(r.id, r.unit_key, r.reason) for r in once.rejected.collect()} == {
+        (None, "2 elm st|", "removed before listed"), ("3", None, "no address"), ("4", "4 elm st|", "unreadable date")
+    }
+    assert {(r.reason, r.n) for r in once.quarantine.collect()} == {("removed before listed", 1), ("no address", 1), ("unreadable date", 1)}
+    assert once.summary.first().kept == 1 and [r.comp_key for r in once.comps.collect()] == ["1 elm st|"]
+    for result in (once.comps, once.summary):
+        assert "listedDate" not in result._jdf.queryExecution().optimizedPlan().toString()
