@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import erfc
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +26,9 @@ ROWS_PER_CLASS = 4000
 DIMENSIONS_BITS = 20
 #: Prefix lengths (bytes) that stand for stems, beside whole words.
 STEMS = (4, 5, 6)
-#: A feature counts if at least SUPPORT sampled texts hold it and it tells the classes apart by Z.
-SUPPORT, Z, INDUCED_VOTERS, EM_ROUNDS, FIT_ROUNDS = 8, 10.0, 12, 30, 300
+#: A feature counts if at least SUPPORT sampled texts hold it and it tells the classes apart; of those that
+#: are taken to, at most the share FALSE is expected to be chance. So rare kinds of abuse count like common ones.
+SUPPORT, FALSE, INDUCED_VOTERS, EM_ROUNDS, FIT_ROUNDS = 8, 1e-4, 12, 30, 300
 #: A word joins an induced lexicon if it is so much (log) likelier in toxic texts.
 ODDS = 3.0
 #: How often a human label says toxic of a clean and of a toxic text.
@@ -104,8 +106,13 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def telling(rows: list[np.ndarray], weight: np.ndarray, support: int, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their log-odds, of those that ``weight`` (chance of being toxic per row) tells apart by ``z``."""
+def telling(rows: list[np.ndarray], weight: np.ndarray, support: int, false: float = FALSE) -> tuple[np.ndarray, np.ndarray]:
+    """Features and their log-odds, of those that ``weight`` (chance of being toxic per row) tells apart.
+
+    The bound follows the step-up rule for false discoveries: the ``k`` surest of
+    ``n`` features count, for the largest ``k`` whose last one would be so sure by
+    chance at most ``false * k / n`` of the time.
+    """
     size = 1 << DIMENSIONS_BITS
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
     bad = np.bincount(flat, np.repeat(weight, [len(r) for r in rows]), minlength=size)
@@ -114,7 +121,11 @@ def telling(rows: list[np.ndarray], weight: np.ndarray, support: int, z: float)
     odds = np.log((bad + 0.5) / n_bad) - np.log((good + 0.5) / n_good)
     rate = np.maximum(all_ / (n_bad + n_good), 1e-12)
     sure = np.abs(bad / n_bad - good / n_good) / np.sqrt(rate * (1 / n_bad + 1 / n_good))
-    chosen = np.flatnonzero((all_ >= support) & (sure >= z))
+    tested = np.flatnonzero(all_ >= support)
+    tested = tested[np.argsort(-sure[tested], kind="stable")]
+    chance = np.array([erfc(x / 2**0.5) for x in sure[tested]])
+    passed = np.flatnonzero(chance <= false * np.arange(1, len(tested) + 1) / max(1, len(tested)))
+    chosen = np.sort(tested[: passed[-1] + 1]) if len(passed) else tested[:0]
     return chosen, odds[chosen]
 
 
@@ -194,13 +205,13 @@ def fit(rows: list[tuple[str | None, int]], prior: float) -> tuple[Classifier, d
     texts = [t or "" for t, _ in rows]
     label = np.array([y for _, y in rows], float)
     found = [features(t) for t in texts]
-    words, odds = telling(found, label, SUPPORT, Z)
+    words, odds = telling(found, label, SUPPORT)
     words = words[odds > ODDS]
     induced = [words[words % INDUCED_VOTERS == k] for k in range(INDUCED_VOTERS)]
     seen, names = votes(texts, found, induced)
     drawn = float(label.mean())
     post, told = label_model(seen, drawn, label)
-    chosen, odds = telling(found, post, SUPPORT, Z)
+    chosen, odds = telling(found, post, SUPPORT)
     chosen = chosen[odds > ODDS / 2]
     weights, bias = np.zeros(size), 0.0
     place = np.full(size, -1)
