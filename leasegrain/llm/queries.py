@@ -61,7 +61,8 @@ def op6_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_induced_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, folder, "documents"))
+    found = substrings.remove_repeats(table(spark, folder, "documents"))
+    return found.withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op8_code_languages(spark: SparkSession, folder: str) -> DataFrame:
