@@ -161,11 +161,11 @@ class Scratch:
 
 
 #: Bits of a key filter, and of one of its blocks (as Spark's bitmap functions have it).
-FILTER_BITS, FILTER_BLOCK = 26, 1 << 15
+FILTER_BITS, FILTER_BLOCK = 24, 1 << 15
 
 
 def key_filter(keys: DataFrame, column: str) -> DataFrame:
-    """``block, bits``: a bitmap of at most ``1 << FILTER_BITS`` bits (8 MB) of the hashes of a long column.
+    """``block, bits``: a bitmap of at most ``1 << FILTER_BITS`` bits (2 MB) of the hashes of a long column.
 
     A key whose bit is not set is not among ``keys``; one whose bit is set may be.
     More keys than bits only let more through.

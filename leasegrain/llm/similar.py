@@ -134,7 +134,7 @@ def _distinct(batches: Iterator, wanted=None) -> Iterator[tuple[list[int], list[
 def sets_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """``key, set`` of the texts of ``rows(text)`` whose key is in ``asked(key)``, each once.
 
-    Tasks hold a filter of the keys of at most 8 MB, so that hardly any other
+    Tasks hold a filter of the keys of at most 2 MB, so that hardly any other
     text leaves them; the join is exact.
     """
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -165,9 +165,10 @@ def spark_hash(key: int) -> int:
 
 def may_be_similar(a: str, b: str) -> Column:
     """Whether bitmaps and sizes of two nodes leave the similarity possible: of such sets, at most
-    (OF - ALIKE) / (OF + ALIKE) of all members are in one only."""
+    (OF - ALIKE) / (OF + ALIKE) of all members are in one only, and neither is below ALIKE / OF of the other."""
+    m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in MAPS])
-    return (OF + ALIKE) * differ <= (OF - ALIKE) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return (OF * F.least(m, n) >= ALIKE * F.greatest(m, n)) & ((OF + ALIKE) * differ <= (OF - ALIKE) * (m + n))
 
 
 def _parities(batches: Iterator) -> Iterator:
