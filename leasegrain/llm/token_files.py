@@ -14,7 +14,6 @@ header, then the sections it names one after the other.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -168,8 +167,9 @@ class Segment:
         return np.concatenate([self.stretch(k) for k in range(len(self.checks))] or [np.empty(0, np.uint32)])
 
 
-#: What keeps a text from being cut into pieces: an empty piece, or one that starts with white space.
-ODD = re.compile(r"\A\s| \s| \Z|\A\Z")
+#: White space of any script, and what keeps a text from being cut into pieces: an empty piece, or one that starts with it.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = rf"\A{SPACE}| {SPACE}| \z|\A\z"
 
 
 class Encoder:
@@ -240,30 +240,47 @@ class Encoder:
         self.index.update(zip(part, range(n, n + len(part))))
         self.used += len(flat)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text, and all ids one after the other."""
-        whole = [not self.by_piece or bool(ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        cut = [None if odd else t.split(" ") for t, odd in zip(texts, whole)]
-        pieces = [x for p in cut if p for x in (" " + p[0], *p[1:])]
-        if len(self.index) > self.known:
-            self.forget()
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Where each piece stands among the known ones; new ones are learnt."""
         get = self.index.get
         at = np.array([get(x, -1) for x in pieces], np.int64)
         new = np.flatnonzero(at < 0).tolist()
         if new:
             self.learn([pieces[k] for k in new])
             at[new] = [self.index[pieces[k]] for k in new]
+        return at
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text of an Arrow array (null: empty), and all ids one after the other.
+
+        Arrow cuts the texts and numbers their distinct pieces, so that only those are looked up.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD) if self.by_piece else pa.array(np.full(len(texts), True))
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        odd = odd.to_numpy(zero_copy_only=False)
+        if len(self.index) > self.known:
+            self.forget()
+        cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        counts, flat = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        coded = flat.dictionary_encode()
+        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        at[edge[:-1]] = self.places([" " + p for p in flat.take(pa.array(edge[:-1])).to_pylist()])
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.offset[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        counts = np.fromiter((len(p) if p else 0 for p in cut), np.int64, len(cut))
         ends = np.concatenate([[0], ends])
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        lengths = ends[edge[1:]] - ends[edge[:-1]]
-        odd = [k for k, p in enumerate(cut) if not p]
-        if odd:
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[~odd] = ends[edge[1:]] - ends[edge[:-1]]
+        if odd.any():
             runs = np.split(ids, np.cumsum(lengths)[:-1])
-            for k, x in zip(odd, self.whole([texts[k] for k in odd])):
+            where = np.flatnonzero(odd)
+            for k, x in zip(where.tolist(), self.whole(texts.take(pa.array(where)).to_pylist())):
                 runs[k], lengths[k] = x, len(x)
             ids = np.concatenate(runs)
         return lengths, ids
@@ -291,8 +308,8 @@ def _segments(path: str, end_id: int, segment: int):
             values = [part, seq, len(docs), held, payload]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["part", "seq", "n_docs", "n_ids", "payload"])
 
-        for batch in slices(batches, "text", 2 << 20):
-            n, ids = encoder([t or "" for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, "text", 4 << 20):
+            n, ids = encoder(batch.column("text"))
             whole = np.full(len(ids) + len(n), end_id, np.uint32)
             whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
             docs += batch.column("doc_id").to_pylist()
