@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from itertools import accumulate
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -88,8 +89,10 @@ def plan(sizes: list[tuple[str | None, int]], seed: int, shards: int, blocks_per
     small for it, which have shorter ones. Every block of the source is taken
     ``passes`` times, ``extra`` blocks, the first ones of a seeded permutation, once
     more, and of the next one its first ``part`` words, so that a quota is met to the
-    word. ``quotas`` is what each shard gets of the quota, again by Sainte-Laguë, with
-    each shard's whole quota kept.
+    word. ``quotas`` is what each shard gets of the quota, again by Sainte-Laguë; the words
+    taken, pass by pass and in each by the permutation of blocks, form one line, which
+    ``edges`` cut so that each shard meets its quota to the word. ``last`` is the rank of
+    the source's last block, which is ``short`` words shorter.
     """
     want, total = targets(sizes), sum(n for _, n in sizes)
     longest = max(1, total // max(1, blocks_per_source * len(sizes)))
@@ -107,22 +110,27 @@ def plan(sizes: list[tuple[str | None, int]], seed: int, shards: int, blocks_per
             rest += n * block - size[s]
         extra, part = divmod(rest, block)
         per_shard = apportion({str(k).zfill(6): 1.0 for k in range(shards)}, quota[s])
-        out.append((s, size[s], float(want[s]), block, n, quota[s], passes, extra, a, c, [per_shard[k] for k in sorted(per_shard)], part))
+        quotas = [per_shard[k] for k in sorted(per_shard)]
+        edges = [unit * e for e in accumulate(quotas, initial=0)]
+        last = (a * (n - 1) + c) % n if n else 0
+        out.append((s, size[s], float(want[s]), block, n, quota[s], passes, extra, a, c, quotas, part, edges, last, n * block - size[s]))
     return out
 
 
-ADDED = ("size", "source_size", "target", "taken", "passes", "picked")
-PLAN = "source string, source_size long, target double, block long, blocks long, quota long, passes long, extra long, a long, c long, quotas array<long>, part long"
+ADDED = ("size", "source_size", "target", "taken", "passes", "picked", "shard_words")
+PLAN = "source string, source_size long, target double, block long, blocks long, quota long, passes long, extra long, a long, c long, quotas array<long>, part long, edges array<long>, last long, short long"
 
 
 def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = ROWS_PER_BUCKET, blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
-    """Adds ``size, source_size, target, taken, passes, first_word, picked`` to ``docs(doc_id, source, text, ...)``.
+    """Adds ``size, source_size, target, taken, passes, picked, shard_words`` to ``docs(doc_id, source, text, ...)``.
 
     The documents of a source stand in seeded order on one line of words, which
     is cut into blocks of equal length (shorter ones in a small source); a document takes what its blocks are
     taken. ``passes`` whole passes over the source are followed by one over the
     blocks in ``picked`` (positions of picked words, as ``[start, stop)`` pairs
-    within the document). The plan has a row per source; only source sizes and
+    within the document). ``shard_words`` says how many of the taken words each shard
+    gets: a block goes to the shard whose quota it fills, and is divided where a quota
+    ends, so that every shard holds its quota of every source. The plan has a row per source; only source sizes and
     the plan go through the driver, never rows.
 
     Null texts have no words and are never taken; a null source is a source; an
@@ -153,9 +161,23 @@ def mix(docs: DataFrame, seed: int = 11, shards: int = 16, bucket_rows: int = RO
                     x -> x.rank < extra or (x.rank = extra and x.at + part > 0 and part > 0)),
              x -> array(greatest(x.at, 0L), least(x.at + if(x.rank < extra, block, part), size)))"""
     )
+    pieces = F.expr(
+        """flatten(transform(sequence(0L, passes), p -> transform(
+             filter(transform(_blocks, j -> struct(j * block - _offset as at, cast((cast(a as decimal(20)) * j + c) % blocks as long) as rank)),
+                    x -> p < passes or x.rank < extra or (x.rank = extra and x.at + part > 0 and part > 0)),
+             x -> struct(
+               p * source_size + x.rank * block - if(x.rank > last, short, 0L) + greatest(-x.at, 0L) as start,
+               least(x.at + if(p < passes or x.rank < extra, block, part), size) - greatest(x.at, 0L) as n))))"""
+    )
+    shard_words = F.expr(
+        """transform(quotas, (q, k) -> aggregate(_pieces, 0L, (s, x) ->
+             s + greatest(0L, least(x.start + x.n, edges[k + 1]) - greatest(x.start, edges[k]))))"""
+    )
     return (
         lined.withColumn("_blocks", blocks)
         .withColumn("picked", picked)
+        .withColumn("_pieces", pieces)
+        .withColumn("shard_words", shard_words)
         .withColumn("taken", F.col("passes") * F.col("size") + F.expr("aggregate(picked, 0L, (s, x) -> s + x[1] - x[0])"))
         .select("_row.*", *ADDED)
     )

@@ -76,7 +76,9 @@ def op9_license_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_apportioned_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    parts = F.filter(F.transform("shard_words", lambda n, k: F.struct(k.alias("shard"), n.alias("n"))), lambda p: p["n"] > 0)
+    shards = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["shard"], p["n"])), ",").alias("shards")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", shards)
 
 
 def op11_anchored_personal_data(spark: SparkSession, folder: str) -> DataFrame:
