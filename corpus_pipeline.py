@@ -12,12 +12,8 @@ from leasegrain.session import staged
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; null texts and texts without a letter go.
-
-    The classifier is fitted on the labelled rows of ``docs``. Rows, repeated ones
-    too, are judged one by one; an empty table gives an empty table.
-    """
-    return langid.identify(docs).where(f"lang_pred <> '{langid.UNKNOWN}'").select(*docs.columns)
+    """Documents whose language is recognised without ambiguity; see ``langid.recognised``."""
+    return langid.recognised(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
