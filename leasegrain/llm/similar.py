@@ -29,6 +29,8 @@ CELL_BITS = 18
 SLICE = 1 << 20
 #: Keys by which a task knows the texts it has seen.
 REMEMBERED = 1 << 20
+#: Shingles of each text by which a pair knows that it has met before.
+LEAST = 8
 #: Longs of a set's bitmap, a power of two.
 MAP_WORDS = 8
 MAPS = [f"m{k}" for k in range(MAP_WORDS)]
@@ -245,6 +247,27 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     return ends.where("low <> high")
 
 
+def with_least(there: DataFrame) -> DataFrame:
+    """Adds ``least`` to ``there(shingle, key)``: the ``LEAST`` smallest shingles of the key among its rows."""
+    listed = there.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("shingle")), 1, LEAST).alias("least"))
+    return there.join(listed, "key")
+
+
+def open_pairs(there: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of keys of ``there(shingle, key, component, least, n, bitmap)`` that share a shingle, are not yet in
+    one component and may be similar.
+
+    A pair meets at its smallest shared shingle. It may meet again at others only as
+    long as no smaller one is among the least of both, so near copies, which share
+    dozens, are no rows of each.
+    """
+    a, b = there.alias("a"), there.alias("b")
+    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
+    before = F.array_min(F.array_intersect("a.least", "b.least"))
+    first = F.coalesce(before >= F.col("a.shingle"), F.lit(True))
+    return a.join(b, apart & may_be_similar("a", "b") & first).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id, group_size`` of ``docs(doc_id, text)``: the smallest id reachable over similar texts.
 
@@ -252,8 +275,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     one node that is similar to no other. Candidates are verified in two rounds:
     those of the fingerprints and those of the least and the largest key of each
     shingle first, then the pairs of a shingle that are not yet in one component and
-    whose bitmaps leave the similarity possible, so a large group of near copies
-    does not meet pair by pair. Repeated rows and ids
+    whose bitmaps leave the similarity possible, each pair at one shingle, so a large
+    group of near copies does not meet pair by pair. Repeated rows and ids
     stay; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
@@ -270,10 +293,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     there = members.join(found, members["key"] == found["id"]).select("shingle", "key", "component", "low", "high")
     open_ = there.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
     there = scratch.staged(there.where("key <> low and key <> high").join(open_, "shingle", "left_semi"), "open")
-    there = scratch.staged(there.select("shingle", "key", "component").join(nodes.select("key", "n", *MAPS), "key"), "mapped")
-    a, b = there.alias("a"), there.alias("b")
-    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-    rest = a.join(b, apart & may_be_similar("a", "b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    there = with_least(there.select("shingle", "key", "component")).join(nodes.select("key", "n", *MAPS), "key")
+    rest = open_pairs(scratch.staged(there, "mapped"))
     more = staged(verified(rest, nodes, rows, scratch), "similar")
     if not more.isEmpty():
         found = components(ids, edges.union(more))
