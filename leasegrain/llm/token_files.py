@@ -179,7 +179,8 @@ class Encoder:
     stands before a non-space, so a text is the sequence of its space-separated
     pieces, and a piece has the same ids wherever it stands. Texts in which a
     piece is empty, starts with white space, or that hold a special token, go to
-    the library whole. The memory of pieces is bounded: it starts anew when full.
+    the library whole. Known pieces are an Arrow array, in which Arrow finds a
+    batch's distinct pieces at once. The memory of pieces is bounded: it starts anew when full.
     """
 
     def __init__(self, path: str, known: int = 1_000_000):
@@ -188,7 +189,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), known
+        self.tokenizer, self.limit = Tokenizer.from_file(path), known
         config = json.loads(self.tokenizer.to_str())
         pre = config["pre_tokenizer"] or {}
         self.by_piece = (
@@ -205,76 +206,88 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.size, self.used = {}, np.zeros(1024, np.int64), 0
-        self.offset, self.pool = np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
+        import pyarrow as pa
+
+        self.known, self.used = pa.array([], pa.large_string()), 0
+        self.size, self.offset, self.pool = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(8192, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces; a key with a leading space stands for a piece at the start of a text."""
-        pieces = list(dict.fromkeys(pieces))
-        starts, inner = [p for p in pieces if p[0] == " "], [p for p in pieces if p[0] != " "]
+    def learn(self, pieces) -> None:
+        """Encode distinct new pieces; one with a leading space stands for a piece at the start of a text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        start = pc.starts_with(pieces, " ")
+        starts, inner = pieces.filter(start), pieces.filter(pc.invert(start))
+        sizes, runs = [], []
         for k in range(0, len(starts), 1024):
-            part = starts[k : k + 1024]
-            ids = self.whole([p[1:] for p in part])
-            self.keep(part, np.array([len(x) for x in ids]), np.concatenate(ids))
+            ids = self.whole([p[1:] for p in starts.slice(k, 1024).to_pylist()])
+            sizes.append(np.array([len(x) for x in ids]))
+            runs += ids
+        n_bytes = pc.binary_length(inner).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         for k in range(0, len(inner), 256):
-            part = inner[k : k + 256]
-            ids = self.whole(["".join([f" {p}" for p in part])])[0]
+            ids = self.whole([" " + " ".join(inner.slice(k, 256).to_pylist())])[0]
             # byte-level tokens cover the bytes one after the other, so byte counts tell where a piece ends
-            ends = np.cumsum([len(p.encode()) + 1 for p in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            self.keep(part, np.diff(cuts, prepend=0), ids)
-
-    def keep(self, part: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.index)
-        if n + len(part) > len(self.size):
-            self.size = np.resize(self.size, 2 * (n + len(part)))
-            self.offset = np.resize(self.offset, 2 * (n + len(part)))
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[k : k + 256])) + 1
+            sizes.append(np.diff(cuts, prepend=0))
+            runs.append(ids)
+        self.keep(pa.concat_arrays([starts, inner]), np.concatenate(sizes), np.concatenate(runs))
+
+    def keep(self, pieces, sizes: np.ndarray, flat: np.ndarray) -> None:
+        import pyarrow as pa
+
+        n = len(self.known)
+        if n + len(pieces) > len(self.size):
+            self.size = np.resize(self.size, 2 * (n + len(pieces)))
+            self.offset = np.resize(self.offset, 2 * (n + len(pieces)))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(flat)))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(part)] = sizes
-        self.offset[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-        self.index.update(zip(part, range(n, n + len(part))))
+        self.size[n : n + len(pieces)] = sizes
+        self.offset[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.known = pa.concat_arrays([self.known, pieces])
         self.used += len(flat)
 
-    def places(self, pieces: list[str]) -> np.ndarray:
+    def places(self, pieces) -> np.ndarray:
         """Where each piece stands among the known ones; new ones are learnt."""
-        get = self.index.get
-        at = np.array([get(x, -1) for x in pieces], np.int64)
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self.learn([pieces[k] for k in new])
-            at[new] = [self.index[pieces[k]] for k in new]
-        return at
-
-    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary
+        at = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+        if len(new):
+            # those that start a text are kept before the others
+            inner = ~pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
+            at[np.flatnonzero(at < 0)[np.argsort(inner, kind="stable")]] = np.arange(len(self.known), len(self.known) + len(new))
+            self.learn(new)
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def __call__(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text of an Arrow array (null: empty), and all ids one after the other.
 
-        Arrow cuts the texts and numbers their distinct pieces, so that only those are looked up.
+        With ``end``, that id follows each text's. Arrow cuts the texts and numbers their pieces.
         """
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.match_substring_regex(texts, ODD) if self.by_piece else pa.array(np.full(len(texts), True))
         for special in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, special))
         odd = odd.to_numpy(zero_copy_only=False)
-        if len(self.index) > self.known:
+        if len(self.known) > self.limit:
             self.forget()
         cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         counts, flat = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
         edge = np.concatenate([[0], np.cumsum(counts)])
-        coded = flat.dictionary_encode()
-        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        at[edge[:-1]] = self.places([" " + p for p in flat.take(pa.array(edge[:-1])).to_pylist()])
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.offset[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])
+        starts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat.take(pa.array(edge[:-1])), pa.scalar(" ", pa.large_string()))
+        at = self.places(pa.concat_arrays([flat, starts]))
+        at[edge[:-1]] = at[len(flat) :]
+        ids, ends = self.expanded(at[: len(flat)])
         lengths = np.zeros(len(texts), np.int64)
         lengths[~odd] = ends[edge[1:]] - ends[edge[:-1]]
         if odd.any():
@@ -283,7 +296,25 @@ class Encoder:
             for k, x in zip(where.tolist(), self.whole(texts.take(pa.array(where)).to_pylist())):
                 runs[k], lengths[k] = x, len(x)
             ids = np.concatenate(runs)
-        return lengths, ids
+        if end is None:
+            return lengths, ids
+        lengths += 1
+        out, inner = np.full(len(ids) + len(lengths), end, np.uint32), np.ones(len(ids) + len(lengths), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        out[inner] = ids
+        return lengths, out
+
+    def expanded(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces at ``at``, and where each piece's begin, with their number at the end."""
+        sizes = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        ids = np.empty(int(ends[-1]), np.uint32)
+        for k in range(0, len(at), 1 << 16):
+            part, first, n = at[k : k + (1 << 16)], ends[k], sizes[k : k + (1 << 16)]
+            last = int(ends[min(k + (1 << 16), len(at))])
+            shift = self.offset[part] - (ends[k : k + len(part)] - first)
+            ids[first:last] = self.pool[np.repeat(shift, n) + np.arange(last - first)]
+        return ids, ends
 
 
 _encoders: dict[str, Encoder] = {}
@@ -308,14 +339,12 @@ def _segments(path: str, end_id: int, segment: int):
             values = [part, seq, len(docs), held, payload]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["part", "seq", "n_docs", "n_ids", "payload"])
 
-        for batch in slices(batches, "text", 4 << 20):
-            n, ids = encoder(batch.column("text"))
-            whole = np.full(len(ids) + len(n), end_id, np.uint32)
-            whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+        for batch in slices(batches, "text", 12 << 20):
+            n, ids = encoder(batch.column("text"), end_id)
             docs += batch.column("doc_id").to_pylist()
-            lengths.append(n + 1)
-            runs.append(whole)
-            held += len(whole)
+            lengths.append(n)
+            runs.append(ids)
+            held += len(ids)
             if held >= segment:
                 yield flush()
                 seq, docs, lengths, runs, held = seq + 1, [], [], [], 0

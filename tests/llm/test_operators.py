@@ -33,6 +33,21 @@ def test_shards_hold_equal_rows_and_the_mixture(docs, rows, none):
     assert sharding.interleave(none, 4).count() == 0
 
 
+def test_encoder_finds_known_pieces_in_arrow():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path(), known=40)
+    texts = ["one two two", "two", "", None, " odd  one", "two one\nthree,", "Éa Straße x <|endoftext|> x", "three three"]
+    for batch in (texts, texts[::-1], [f"{t} {k} more" for k, t in enumerate(texts * 9)], texts, ["", None], [" a"], []):
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in batch]
+        lengths, ids = encoder(pa.array(batch, pa.string()), 7)
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        plain, ids = encoder(pa.array(batch, pa.string()))
+        assert plain.tolist() == [len(x) - 1 for x in want] and ids.tolist() == [i for x in want for i in x[:-1]]
+        assert isinstance(encoder.known, pa.Array) and len(encoder.known) == len(encoder.known.unique())
+
+
 def test_tokens_round_trip(spark, docs, rows, none, tmp_path):
     from tokenizers import Tokenizer
 
