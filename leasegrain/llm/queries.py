@@ -61,7 +61,7 @@ def op6_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_induced_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    found = substrings.remove_repeats(table(spark, folder, "documents"))
+    found = substrings.remove_repeats(table(spark, folder, "documents"), passages=True)
     return found.withColumn("has_repeat", F.col("n_removed") > 0)
 
 

@@ -9,6 +9,9 @@ neighbours. The suffixes left of the anchors are then induced byte by byte: orde
 ``o + 1`` follows from order ``o`` by a stable pass over the preceding byte, and
 common prefixes from range minima. A string is repeated where a neighbour in that
 order shares ``LENGTH`` bytes.
+
+Passages of ``PASSAGE`` words are sampled alike, by the least hash of their runs of
+``RUN`` words, and only marked.
 """
 
 from __future__ import annotations
@@ -18,15 +21,21 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leasegrain.llm.common import join_counted, map_arrow, slices
+from leasegrain.llm.decontamination import BASE as WORD_BASE
+from leasegrain.llm.decontamination import scramble, token_hashes
 from leasegrain.session import staged
 
 LENGTH, GRAM = 400, 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Words of a passage, and of a run of words by whose least hash passages are first compared.
+PASSAGE, RUN = 50, 16
+SPACES = np.zeros(256, bool)
+SPACES[[32, *range(9, 14)]] = True
 #: Bytes of a text looked at together; a longer text goes in stretches.
 STRETCH = 1 << 22
 #: Rows induced together; a larger group of one anchor is a batch of its own.
@@ -295,6 +304,72 @@ def _removed(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "key", "n_removed", "n_spans", "kept_sha256"])
 
 
+def passage_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of every ``PASSAGE`` consecutive words (ASCII letters lowered), the hash and the least hash of its runs of ``RUN`` words."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~SPACES[b], [False]]).astype(np.int8)))
+    if len(edge) < 2 * PASSAGE:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    words = token_hashes(b, edge[::2], edge[1::2])
+
+    def rolled(h: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(h) - size + 1, np.uint64(size))
+        for k in range(size):
+            out = scramble(out * WORD_BASE + h[k : k + len(out)])
+        return out
+
+    runs_ = rolled(words, RUN)
+    # runs that overlap cover the passage
+    starts = [*range(0, PASSAGE - RUN, RUN), PASSAGE - RUN]
+    n = len(words) - PASSAGE + 1
+    out = np.full(n, np.uint64(PASSAGE))
+    for k in starts:
+        out = scramble(out * WORD_BASE + runs_[k : k + n])
+    return out, sliding_least(runs_, PASSAGE - RUN + 1)
+
+
+def _least_runs(batches: Iterator) -> Iterator:
+    met: set[int] = set()
+    for batch in slices(batches, "text", 1 << 20):
+        keys, found = [], []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            if key in met:
+                continue  # a copy
+            if len(met) < 150_000:
+                met.add(key)
+            keys.append(key)
+            found.append(np.unique(passage_hashes(text)[1]).view(np.int64))
+        if keys:
+            yield _batch("hash long, key long", [np.concatenate(found), np.repeat(np.array(keys, np.int64), [len(x) for x in found])])
+
+
+def _passages(batches: Iterator) -> Iterator:
+    for batch in slices(batches, "text", 1 << 20):
+        keys, found = batch.column("key").to_pylist(), []
+        for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
+            hashes, least = passage_hashes(text)
+            found.append(np.unique(hashes[np.isin(least, np.array(asked, np.int64).view(np.uint64))]).view(np.int64))
+        yield _batch("hash long, key long", [np.concatenate(found), np.repeat(np.array(keys, np.int64), [len(x) for x in found])])
+
+
+def shared_passages(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``key`` of the ``texts(doc_id, key, text)`` with ``PASSAGE`` consecutive words that also stand in another row.
+
+    ``groups(doc_id, key, copies)`` has one row of each text. Equal passages have the
+    same least run, so only passages whose least run stands in several texts are compared.
+    """
+    several = lambda rows: rows.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("hash")
+    found = staged(map_arrow(texts.select("key", "text"), _least_runs, "hash long, key long"), "least-runs")
+    asked = found.join(several(found), "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias("asked"))
+    asked = asked.join(groups.select("doc_id", "key"), "key")
+    first = texts.join(asked, texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["key"] == asked["key"])).select(texts["key"], "text", "asked")
+    passages = map_arrow(first, _passages, "hash long, key long").repartition("hash").distinct()
+    ends = Window.partitionBy("hash")
+    marked = passages.withColumn("low", F.min("key").over(ends)).withColumn("high", F.max("key").over(ends))
+    copied = found.join(groups.where("copies > 1").select("key"), "key", "left_semi").select("key")
+    return marked.where("low <> high").select("key").union(copied).distinct()
+
+
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``known, groups, texts, spans``: all rows by digest, copies, the texts that may hold repeats and their repeated byte spans.
 
@@ -326,9 +401,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     return known, groups, hold.select("doc_id", "key", "text"), spans
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs(doc_id, text)``.
 
+    With ``passages`` also ``shares_passage``: whether ``PASSAGE`` consecutive words, of any
+    number of bytes, stand in another row too. Such words alone are not removed.
+
     A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere
     else, in this text or another; strings are judged on the input. Copies of whole
     texts of that length lose everything. Null counts as empty, shorter texts lose
@@ -342,7 +420,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     listed = listed.join(single, same(listed, single), "left_semi")
     cut = map_arrow(hold.join(listed, same(hold, listed)).select(hold["doc_id"], hold["key"], "text", "spans"), _removed, "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string")
     cut = staged(cut, "cut-texts")
-    rows = join_counted(known.drop("n_bytes"), groups.select("digest", "copies", "n_bytes"), "digest", "copies", known.count())
+    also = []
+    if passages:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+        shared = staged(shared_passages(texts, groups), "sharing").withColumn("shares_passage", F.lit(True))
+        groups, also = groups.join(shared, "key", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(False))), ["shares_passage"]
+    rows = join_counted(known.drop("n_bytes"), groups.select("digest", "copies", "n_bytes", *also), "digest", "copies", known.count())
     gone = F.col("copies") > 1
     gone = gone & (F.col("n_bytes") >= LENGTH)
     none = F.sha2(F.lit("").cast("binary"), 256)
@@ -352,4 +435,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, none).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+        *also,
     )

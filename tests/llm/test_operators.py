@@ -205,6 +205,27 @@ def repeats_plainly(texts, length):
     return out
 
 
+def test_shared_passages_of_fifty_words_are_marked(spark, docs, rows, none):
+    def plainly(texts):
+        passages = []
+        for text in texts:
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+            passages.append({tuple(w[k : k + 50]) for k in range(len(w) - 49)})
+        count = Counter(p for one in passages for p in one)
+        return [any(count[p] > 1 for p in one) for one in passages]
+
+    short = " ".join(f"w{k}" for k in range(50))  # fewer than 400 bytes
+    texts = [f"{prose(700, 80)} {short} {prose(701, 20)}", f"x {short.upper()}\n{prose(702, 30)}", prose(703, 40) + " " + short[: short.rindex(" ")]]
+    texts += [prose(704, 60) + " and " + prose(704, 60), short[3:], prose(705, 49), prose(705, 49), prose(706, 50), prose(706, 50), None, "", None]
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), passages=True).collect()
+    assert plainly(texts) == [True, True, False, False, False, False, False, True, True, False, False, False]
+    assert {r.doc_id: r.shares_passage for r in got} == dict(enumerate(plainly(texts)))
+    assert all(r.n_removed == 0 for r in got if r.doc_id in (0, 1))
+    want = Counter(zip([r[0] for r in rows], plainly([r[1] for r in rows])))
+    assert Counter((r.doc_id, r.shares_passage) for r in substrings.remove_repeats(docs, passages=True).collect()) == want
+    assert substrings.remove_repeats(none, passages=True).count() == 0
+
+
 def test_repeats_are_those_of_brute_force(docs, rows, none):
     want = Counter((r[0], *x) for r, x in zip(rows, repeats_plainly([(r[1] or "").encode() for r in rows], substrings.LENGTH)))
     assert Counter(map(tuple, substrings.remove_repeats(docs).collect())) == want
