@@ -41,6 +41,8 @@ _IN_NUMBER = np.frombuffer(b".,/:-", np.uint8)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 CHUNK = 1 << 16
+#: Bytes of text whose tokens are worked on at once; they take some 60 times their size.
+SLICE = 1 << 20
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -80,34 +82,50 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def together(texts) -> tuple[bytes, np.ndarray]:
+    """UTF-8 of the texts of an Arrow array (null: empty), a line end apart, and where each one begins."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(texts)], pa.int64()), texts)
+    data = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_buffer().to_pybytes()
+    return data, np.cumsum(sizes + 1) - sizes - 1
+
+
 class Tokens:
-    """Tokens of a text and the templates made of them; ``capital``: most words have a capital, so case tells nothing."""
+    """Tokens of the texts of an Arrow array and the templates made of them; ``capital``: most words of a text have a capital,
+    so case tells nothing there. ``names``: whether a text has any. Tokens of all texts are worked on at once."""
 
-    def __init__(self, text: str | None):
-        self.data = (text or "").encode("utf-8", "surrogatepass")
-        self.bytes = np.frombuffer(self.data, np.uint8)
+    def __init__(self, texts):
+        self.data, begin = together(texts)
+        self.bytes, n = np.frombuffer(self.data, np.uint8), len(texts)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD[self.bytes], [False]]).astype(np.int8)))
-        self.starts, self.ends, self.names = edge[::2], edge[1::2], False
-        self.hash, self.kind, self.capital = np.empty(0, np.uint64), np.empty(0, np.int8), False
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.hash, self.kind, self.text = np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64)
+        self.capital, self.names = np.zeros(n, bool), np.zeros(n, bool)
         if not len(self.starts):
             return
         b, starts, ends = self.bytes, self.starts, self.ends
         h = token_hashes(b, starts, ends)
         upper = _UPPER[b[starts]]
-        self.hash, self.kind, self.capital = h, np.zeros(len(h), np.int8), bool(upper.mean() > 0.5)
-        if not self.capital:
-            stops = np.concatenate([[0], np.cumsum(_STOP[b])])
-            first = np.concatenate([[True], stops[starts[1:]] > stops[ends[:-1]]])
-            self.kind[upper & ~first] = NAME
+        self.hash, self.kind = h, np.zeros(len(h), np.int8)
+        counts = np.diff(np.searchsorted(starts, begin), append=len(starts))
+        self.text = np.repeat(np.arange(n), counts)
+        self.capital = 2 * np.bincount(self.text[upper], minlength=n) > counts
+        stops = np.concatenate([[0], np.cumsum(_STOP[b])])  # the line end between two texts is one
+        first = np.concatenate([[True], stops[starts[1:]] > stops[ends[:-1]]])
+        self.kind[upper & ~first & ~self.capital[self.text]] = NAME
         self.kind[among(h, _UNITS)] = UNIT
         digits = np.concatenate([[0], np.cumsum(_DIGIT[b])])
         self.kind[(digits[ends] > digits[starts]) | among(h, _NUMBERS)] = NUM
-        self.names = bool((self.kind == NAME).any())
+        self.names[self.text[self.kind == NAME]] = True
 
     def template(self, names: bool = True) -> Template:
         h, starts, ends = self.hash, self.starts, self.ends
         if not len(h):
-            return Template(self.data, h, self.kind, starts, ends)
+            return Template(self.data, h, self.kind, starts, ends, self.text)
         kind = self.kind if names else np.where(self.kind == NAME, 0, self.kind)
         # a run of one type is one slot only where nothing but a space, or the sign inside a number, parts it
         inner = self.bytes[ends[:-1]]
@@ -115,20 +133,20 @@ class Tokens:
         new = np.concatenate([[True], (kind[1:] == 0) | (kind[1:] != kind[:-1]) | ~joined])
         at = np.flatnonzero(new)
         last = np.concatenate([at[1:], [len(h)]]) - 1
-        return Template(self.data, np.where(kind[at] == 0, h[at], kind[at].astype(np.uint64)), kind[at], starts[at], ends[last])
+        return Template(self.data, np.where(kind[at] == 0, h[at], kind[at].astype(np.uint64)), kind[at], starts[at], ends[last], self.text[at])
 
     def literal(self) -> Template:
-        return Template(self.data, self.hash, np.zeros(len(self.hash), np.int8), self.starts, self.ends, LITERAL_SEED)
+        return Template(self.data, self.hash, np.zeros(len(self.hash), np.int8), self.starts, self.ends, self.text, LITERAL_SEED)
 
 
 class Template:
-    """Tokens of a template: ``hash``, ``kind`` (0: literal) and the byte span each one covers."""
+    """Tokens of templates: ``hash``, ``kind`` (0: literal), the byte span each one covers and the ``text`` it is of."""
 
-    def __init__(self, data: bytes, hash: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = np.uint64(0)):
-        self.data, self.hash, self.kind, self.starts, self.ends, self.seed = data, hash, kind, starts, ends, seed
+    def __init__(self, data: bytes, hash: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, seed: np.uint64 = np.uint64(0)):
+        self.data, self.hash, self.kind, self.starts, self.ends, self.text, self.seed = data, hash, kind, starts, ends, text, seed
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of ``size`` tokens, and which of them have enough literals to mean something."""
+        """Hashes of all windows of ``size`` tokens, and which of them are of one text and have enough literals to mean something."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, bool)
@@ -136,11 +154,11 @@ class Template:
         for k in range(size):
             out = scramble(out * BASE + self.hash[k : k + n])
         literals = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        return out, literals[size:] - literals[:-size] >= min(LITERALS, size)
+        return out, (literals[size:] - literals[:-size] >= min(LITERALS, size)) & (self.text[:n] == self.text[size - 1 :])
 
     def slots(self, at: int, size: int, ends: bool = False) -> list[str]:
-        """Type and filling of every slot of a window, in order; with ``ends`` the text's first and last slot are marked,
-        as their runs may go on outside the passage."""
+        """Type and filling of every slot of a window, in order; with ``ends`` the first and last slot of a single text are
+        marked, as their runs may go on outside the passage."""
         return [
             f"{EDGE if ends and k in (0, len(self.kind) - 1) else ''}{self.kind[k]}{self.data[self.starts[k] : self.ends[k]].decode('utf-8', 'replace').lower()}"
             for k in range(at, at + size)
@@ -164,10 +182,10 @@ def _item_windows(batches: Iterator) -> Iterator:
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
     for batch in slices(batches, "text"):
         columns: list[list] = [[] for _ in kinds]
-        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-            tokens = Tokens(text)
-            forms = [(CAPITAL if tokens.capital else TYPED, tokens.template()), (LITERAL, tokens.literal())]
-            if tokens.names:
+        for k, item in enumerate(batch.column("item_id").to_pylist()):
+            tokens = Tokens(batch.column("text").slice(k, 1))
+            forms = [(CAPITAL if tokens.capital[0] else TYPED, tokens.template()), (LITERAL, tokens.literal())]
+            if tokens.names[0]:
                 forms.append((NAMELESS, tokens.template(names=False)))
             for form, t in forms:
                 size = min(WINDOW, len(t.hash))
@@ -199,6 +217,35 @@ def window_filter(windows: DataFrame) -> tuple[np.ndarray, dict[int, list[int]]]
     return marks, sizes
 
 
+def _held(batch, marks: np.ndarray, sizes: dict[int, list[int]]) -> Iterator:
+    """The windows of a batch's texts whose bit is set in ``marks``, with their slots; all texts of the batch at once."""
+    import pyarrow as pa
+
+    tokens = Tokens(batch.column("text"))
+    shift = np.uint64(64 - (len(marks) * 8).bit_length() + 1)
+    typed = sorted({x for form, found in sizes.items() if form != LITERAL for x in found})
+    views = [(TYPED, tokens.template(), typed), (LITERAL, tokens.literal(), sizes.get(LITERAL, []))]
+    if CAPITAL in sizes and tokens.names.any():
+        views.append((NAMELESS, tokens.template(names=False), sizes[CAPITAL]))
+    for view, t, wanted in views:
+        begin = np.searchsorted(t.text, np.arange(batch.num_rows))
+        for size in wanted:
+            hashes, enough = t.windows(size)
+            bit = hashes >> shift
+            seen = (marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+            if view == NAMELESS:  # other texts have this template as the typed one
+                enough &= tokens.names[t.text[: len(enough)]]
+            places = np.flatnonzero(enough & (seen == 1))
+            for k in range(0, len(places), 20_000):
+                at = places[k : k + 20_000]
+                text = t.text[at]
+                constant = lambda v: pa.array(np.full(len(at), v, np.int32))
+                slots = [t.slots(x, size) for x in at.tolist()] if t.kind.any() else [[]] * len(at)
+                columns = [*[batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_key")], constant(view), constant(size)]
+                columns += [pa.array(at - begin[text]), pa.array(hashes[at].view(np.int64)), pa.array(slots, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "view", "size", "place", "hash", "slots"])
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, text_key, item_id, windows, n_windows, contained, slots_changed`` of every document that holds an item.
 
@@ -218,32 +265,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((marks, sizes))
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        marks, sizes = shared.value
-        shift = np.uint64(64 - (len(marks) * 8).bit_length() + 1)
-        typed = sorted({x for form, found in sizes.items() if form != LITERAL for x in found})
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-        names = ["doc_id", "text_key", "view", "size", "place", "hash", "slots"]
-        for batch in slices(batches, "text"):
-            columns: list[list] = [[] for _ in kinds]
-            for doc, key, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")]):
-                tokens = Tokens(text)
-                views = [(TYPED, tokens.template(), typed), (LITERAL, tokens.literal(), sizes.get(LITERAL, []))]
-                if tokens.names and CAPITAL in sizes:
-                    views.append((NAMELESS, tokens.template(names=False), sizes[CAPITAL]))
-                for view, t, wanted in views:
-                    for size in wanted:
-                        hashes, enough = t.windows(size)
-                        bit = hashes >> shift
-                        seen = (marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                        for at in np.flatnonzero(enough & (seen == 1)).tolist():
-                            for c, v in zip(columns, (doc, key, view, size, at, int(hashes[at].astype(np.int64)), t.slots(at, size))):
-                                c.append(v)
-                if len(columns[0]) > 20_000:
-                    yield _emit(names, columns, kinds)
-                    columns = [[] for _ in kinds]
-            yield _emit(names, columns, kinds)
+        for batch in slices(batches, "text", SLICE):
+            yield from _held(batch, *shared.value)
 
     held = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"), run, DOC_WINDOWS)
     # a passage may stand in a third of all documents: its windows are spread over salts
