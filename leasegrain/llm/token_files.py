@@ -170,6 +170,28 @@ class Segment:
 #: White space of any script, and what keeps a text from being cut into pieces: an empty piece, or one that starts with it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = rf"\A{SPACE}| {SPACE}| \z|\A\z"
+#: Pieces whose cuts are known without the library's pattern: words of Latin letters, marks after them, single line ends between.
+LETTER, MARK, CUT = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[!-/:-@\[-`{-~]", "\x01"
+PLAIN = rf"\A{LETTER}+{MARK}*(\n{LETTER}+{MARK}*)*\z"
+
+
+def byte_letters() -> np.ndarray:
+    """The character by which byte-level BPE writes each byte; ``CUT`` stays as it is."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, others = np.arange(256, dtype="<u4"), [b for b in range(256) if b not in own]
+    out[others] = 256 + np.arange(len(others))
+    out[ord(CUT)] = ord(CUT)
+    return out
+
+
+def in_lines(pieces, between: str):
+    """The pieces, each behind a space, 256 to a text, with ``between`` in place of the space of all but the first."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    edge = pa.array([*range(0, len(pieces), 256), len(pieces)], pa.int64())
+    empty, space, between = (pa.scalar(x, pa.large_string()) for x in ("", " ", between))
+    return pc.binary_join_element_wise(empty, pc.binary_join(pa.LargeListArray.from_arrays(edge, pieces), between), space)
 
 
 class Encoder:
@@ -179,7 +201,8 @@ class Encoder:
     stands before a non-space, so a text is the sequence of its space-separated
     pieces, and a piece has the same ids wherever it stands. Texts in which a
     piece is empty, starts with white space, or that hold a special token, go to
-    the library whole. Known pieces are an Arrow array, in which Arrow finds a
+    the library whole. Of new pieces, ``PLAIN`` ones are cut by Arrow and reach the library's
+    model in its byte letters, without its pattern. Known pieces are an Arrow array, in which Arrow finds a
     batch's distinct pieces at once. The memory of pieces is bounded: it starts anew when full.
     """
 
@@ -187,7 +210,7 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), known
         config = json.loads(self.tokenizer.to_str())
@@ -199,6 +222,9 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and config["post_processor"] is None
         )
+        # the same model, behind cuts that are made already
+        self.model, self.letters = Tokenizer(self.tokenizer.model), byte_letters()
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(CUT)
         self.special = [t["content"] for t in config["added_tokens"]]
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -214,26 +240,37 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces) -> None:
-        """Encode distinct new pieces; one with a leading space stands for a piece at the start of a text."""
+    def learn(self, pieces) -> np.ndarray:
+        """Encode distinct new pieces, and say in which order they are kept; one with a leading space stands for a piece
+        at the start of a text."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        start = pc.starts_with(pieces, " ")
-        starts, inner = pieces.filter(start), pieces.filter(pc.invert(start))
-        sizes, runs = [], []
-        for k in range(0, len(starts), 1024):
-            ids = self.whole([p[1:] for p in starts.slice(k, 1024).to_pylist()])
-            sizes.append(np.array([len(x) for x in ids]))
-            runs += ids
-        n_bytes = pc.binary_length(inner).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        for k in range(0, len(inner), 256):
-            ids = self.whole([" " + " ".join(inner.slice(k, 256).to_pylist())])[0]
-            # byte-level tokens cover the bytes one after the other, so byte counts tell where a piece ends
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[k : k + 256])) + 1
-            sizes.append(np.diff(cuts, prepend=0))
-            runs.append(ids)
-        self.keep(pa.concat_arrays([starts, inner]), np.concatenate(sizes), np.concatenate(runs))
+        numpy = lambda x: x.to_numpy(zero_copy_only=False)
+        kind = np.where(numpy(pc.starts_with(pieces, " ")), 0, np.where(numpy(pc.match_substring_regex(pieces, PLAIN)), 2, 1))
+        order = np.argsort(kind, kind="stable")
+        pieces = pieces.take(pa.array(order))
+        n, m = np.searchsorted(kind[order], [1, 2]).tolist()
+        starts = [p[1:] for p in pieces.slice(0, n).to_pylist()]
+        first = [x for k in range(0, n, 1024) for x in self.whole(starts[k : k + 1024])]
+        inner = [self.whole([line])[0] for line in in_lines(pieces.slice(n, m - n), " ").to_pylist()]
+        inner = np.concatenate([np.empty(0, np.uint32), *inner, *self.plain(in_lines(pieces.slice(m), CUT + " "))])
+        # byte-level tokens cover the bytes one after the other, so byte counts tell where a piece ends
+        n_bytes = numpy(pc.binary_length(pieces.slice(n))).astype(np.int64) + 1
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[inner]), np.cumsum(n_bytes)) + 1
+        sizes = np.concatenate([np.array([len(x) for x in first], np.int64), np.diff(cuts, prepend=0)])
+        self.keep(pieces, sizes, np.concatenate([np.empty(0, np.uint32), *first, inner]))
+        return order
+
+    def plain(self, lines) -> list[np.ndarray]:
+        """Ids of each line of ``PLAIN`` pieces that are parted by ``CUT``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lines = pc.replace_substring_regex(lines, f"({LETTER})({MARK})", rf"\1{CUT}\2")
+        lines = pc.replace_substring(lines, "\n", f"{CUT}\n{CUT}").cast(pa.large_binary()).to_pylist()
+        written = (self.letters[np.frombuffer(line, np.uint8)].tobytes().decode("utf-32-le") for line in lines)
+        return [np.array(self.model.encode_batch_fast([w], add_special_tokens=False)[0].ids, np.uint32) for w in written]
 
     def keep(self, pieces, sizes: np.ndarray, flat: np.ndarray) -> None:
         import pyarrow as pa
@@ -260,10 +297,8 @@ class Encoder:
         new = distinct.filter(pc.is_null(at))
         at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
         if len(new):
-            # those that start a text are kept before the others
-            inner = ~pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
-            at[np.flatnonzero(at < 0)[np.argsort(inner, kind="stable")]] = np.arange(len(self.known), len(self.known) + len(new))
-            self.learn(new)
+            n = len(self.known)
+            at[np.flatnonzero(at < 0)[self.learn(new)]] = np.arange(n, n + len(new))
         return at[coded.indices.to_numpy(zero_copy_only=False)]
 
     def __call__(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
