@@ -119,7 +119,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: every edge is replaced by one to the
     smallest neighbour, so the edge table never grows and the rounds grow with
-    the logarithm of the diameter. Each round is a table in the shared folder.
+    the logarithm of the diameter. Each round is a table in the shared folder; the
+    rounds end with the first table that is stars, so none only confirms the last.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -130,20 +131,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if now.isEmpty():
         return nodes.select("id", F.col("id").alias("component"))
-    while True:
+    while not are_stars(now):
         large = star(both(now)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = star(large.where("a <> b"))
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        following = staged(small.where("a <> b").distinct(), "links")
-        same = now.exceptAll(following).isEmpty() and following.exceptAll(now).isEmpty()
-        now = following
-        if same:
-            break
+        now = staged(small.where("a <> b").distinct(), "links")
     return nodes.join(now.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
 
 
+def are_stars(links: DataFrame) -> bool:
+    """Whether in ``links(a, b)``, distinct and with ``a > b``, every ``a`` hangs on one ``b`` that hangs on none: the smallest of its component."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("hangs")).unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("hangs")))
+    tied = ends.groupBy("id").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("least"))
+    return tied.where("n > 1 or n = 1 and least = 0").count() == 0
+
+
 class Scratch:
     """Tables staged in the shared folder that go when their reader is done."""
 

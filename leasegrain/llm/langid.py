@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leasegrain.llm.common import map_arrow, seeded, slices
+from leasegrain.llm.common import give_back, map_arrow, seeded, slices
 
 #: At most so many labelled rows of each language are fitted on, by seeded order.
 ROWS_PER_LANGUAGE = 600
@@ -120,6 +120,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model:
     rate = np.clip((right + 1) / (len(held) + 2), 0.501, 0.9999)
     model.trust = np.log(rate / (1 - rate))
     model.trust /= model.trust.sum()
+    del data, grown
+    give_back()
     return model
 
 

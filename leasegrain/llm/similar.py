@@ -268,6 +268,15 @@ def open_pairs(there: DataFrame) -> DataFrame:
     return a.join(b, apart & may_be_similar("a", "b") & first).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
 
 
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found(id, component)`` after further links ``a, b`` of ids: only components are linked, not all their members again."""
+    of = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}"))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    ends = between.select(F.col("a").alias("id")).union(between.select("b")).distinct()
+    least = components(ends, between).where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return found.join(least, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id, group_size`` of ``docs(doc_id, text)``: the smallest id reachable over similar texts.
 
@@ -297,7 +306,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rest = open_pairs(scratch.staged(there, "mapped"))
     more = staged(verified(rest, nodes, rows, scratch), "similar")
     if not more.isEmpty():
-        found = components(ids, edges.union(more))
+        found = merged(found, more)
     scratch.clear()
     named = nodes.join(found, nodes["key"] == found["id"]).select("key", "least", "copies", "component")
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("group_size"))
