@@ -52,7 +52,9 @@ class Model:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Model:
-        counts = np.bincount(ids)
+        counts = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+        for k in range(0, len(ids), BLOCK):  # numpy counts and looks up in 64 bits, so by blocks
+            counts += np.bincount(ids[k : k + BLOCK], minlength=len(counts))
         symbols = np.flatnonzero(counts)
         counts = counts[symbols]
         bits = max(20, int(len(symbols)).bit_length() + 2)
@@ -108,17 +110,16 @@ def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     model = Model.of(ids)
     rank_of = np.zeros(int(model.symbols[-1]) + 1 if len(model.symbols) else 1, np.uint32)
     rank_of[model.symbols] = np.arange(len(model.symbols))
-    ranks = rank_of[ids]
     checks, streams, at = [], [], 0
     for start in range(0, len(ids), BLOCK):
-        block = ranks[start : start + BLOCK]
+        block = rank_of[ids[start : start + BLOCK]]
         lanes = int(max(1, min(LANES, len(block) // 64)))
         marks, words = encode_block(block, model, lanes)
         for k, (first, position, state) in enumerate(marks):
             stop = marks[k + 1][0] if k + 1 < len(marks) else len(block)
             check = zlib.crc32(ids[start + first : start + stop].astype("<u4").tobytes())
             checks.append((start + first, stop - first, at + position, lanes, check, state))
-        streams.append(words)
+        streams.append(words.astype("<u4", copy=False).data.cast("B"))
         at += len(words)
     parts = {
         "docs": zlib.compress(json.dumps(doc_ids).encode()),
@@ -127,10 +128,10 @@ def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
         "freq": zlib.compress(model.freq.astype("<u4").tobytes()),
         "checks": np.array([c[:5] for c in checks], "<i8").tobytes(),
         "states": b"".join(c[5].astype("<u8").tobytes() for c in checks),
-        "words": np.concatenate(streams).astype("<u4").tobytes() if streams else b"",
     }
-    head = json.dumps({"bits": model.bits, "n_ids": len(ids), "sizes": {k: len(v) for k, v in parts.items()}}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts.values())
+    sizes = {k: len(v) for k, v in parts.items()} | {"words": sum(map(len, streams))}
+    head = json.dumps({"bits": model.bits, "n_ids": len(ids), "sizes": sizes}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts.values(), *streams])
 
 
 class Segment:
@@ -167,6 +168,9 @@ class Segment:
         return np.concatenate([self.stretch(k) for k in range(len(self.checks))] or [np.empty(0, np.uint32)])
 
 
+#: Bytes of text whose pieces stand apart at one time, and known pieces of which Arrow makes a table at one time.
+PART, LOOKUP = 1 << 20, 1 << 17
+
 #: White space of any script, and what keeps a text from being cut into pieces: an empty piece, or one that starts with it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = rf"\A{SPACE}| {SPACE}| \z|\A\z"
@@ -194,6 +198,13 @@ def in_lines(pieces, between: str):
     return pc.binary_join_element_wise(empty, pc.binary_join(pa.LargeListArray.from_arrays(edge, pieces), between), space)
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` values and half as many again."""
+    out = np.zeros(n + n // 2, x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
@@ -203,7 +214,8 @@ class Encoder:
     piece is empty, starts with white space, or that hold a special token, go to
     the library whole. Of new pieces, ``PLAIN`` ones are cut by Arrow and reach the library's
     model in its byte letters, without its pattern. Known pieces are an Arrow array, in which Arrow finds a
-    batch's distinct pieces at once. The memory of pieces is bounded: it starts anew when full.
+    batch's distinct pieces at once. The memory of pieces is bounded: it starts anew when full. A batch is cut
+    and written out in parts of ``PART`` bytes, so of its pieces only the numbers stand beside it as a whole.
     """
 
     def __init__(self, path: str, known: int = 1_000_000):
@@ -277,10 +289,10 @@ class Encoder:
 
         n = len(self.known)
         if n + len(pieces) > len(self.size):
-            self.size = np.resize(self.size, 2 * (n + len(pieces)))
-            self.offset = np.resize(self.offset, 2 * (n + len(pieces)))
+            self.size = grown(self.size, n + len(pieces))
+            self.offset = grown(self.offset, n + len(pieces))
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + len(flat)))
+            self.pool = grown(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
         self.size[n : n + len(pieces)] = sizes
         self.offset[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
@@ -293,16 +305,33 @@ class Encoder:
 
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary
-        at = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(pc.is_null(at))
-        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+        at, new = np.full(len(distinct), -1, np.int32), distinct
+        for k in range(0, len(self.known), LOOKUP):
+            there = pc.index_in(new, value_set=self.known.slice(k, LOOKUP))
+            at[at < 0] = pc.fill_null(pc.add(there, k), -1).to_numpy(zero_copy_only=False)
+            new = new.filter(pc.is_null(there))
         if len(new):
             n = len(self.known)
             at[np.flatnonzero(at < 0)[self.learn(new)]] = np.arange(n, n + len(new))
         return at[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def __call__(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text of an Arrow array (null: empty), and all ids one after the other.
+    def cut(self, texts) -> tuple:
+        """Distinct pieces of texts that are not odd, the number of each piece among them, and where each text's begin,
+        with their number at the end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pieces = pc.split_pattern(texts, " ")
+        edge = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        flat = pieces.flatten()
+        starts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat.take(pa.array(edge[:-1])), pa.scalar(" ", pa.large_string()))
+        coded = pa.concat_arrays([flat, starts]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).copy()
+        codes[edge[:-1]] = codes[len(flat) :]
+        return coded.dictionary, codes[: len(flat)], edge
+
+    def parts(self, texts, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Number of ids of each text of an Arrow array (null: empty), and their ids one after the other, part by part.
 
         With ``end``, that id follows each text's. Arrow cuts the texts and numbers their pieces.
         """
@@ -316,13 +345,21 @@ class Encoder:
         odd = odd.to_numpy(zero_copy_only=False)
         if len(self.known) > self.limit:
             self.forget()
-        cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        counts, flat = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        starts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat.take(pa.array(edge[:-1])), pa.scalar(" ", pa.large_string()))
-        at = self.places(pa.concat_arrays([flat, starts]))
-        at[edge[:-1]] = at[len(flat) :]
-        ids, ends = self.expanded(at[: len(flat)])
+        within = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // PART
+        edges = [0, *(np.flatnonzero(np.diff(within)) + 1).tolist(), len(texts)]
+        parts = [(texts.slice(a, b - a), odd[a:b]) for a, b in zip(edges, edges[1:])]
+        cuts = [self.cut(part.filter(pa.array(~o))) for part, o in parts]
+        # the distinct pieces of all parts are looked up at once
+        at = self.places(pa.concat_arrays([distinct for distinct, _, _ in cuts]))
+        first = np.cumsum([0, *(len(distinct) for distinct, _, _ in cuts)])
+        cuts = [(codes, edge) for _, codes, edge in cuts]
+        for (part, o), (codes, edge), k in zip(parts, cuts, first.tolist()):
+            yield self.ended(*self.joined(part, o, *self.expanded(at[codes + k]), edge), end)
+
+    def joined(self, texts, odd: np.ndarray, ids: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of texts of which the others than the ``odd`` ones have ``ids``."""
+        import pyarrow as pa
+
         lengths = np.zeros(len(texts), np.int64)
         lengths[~odd] = ends[edge[1:]] - ends[edge[:-1]]
         if odd.any():
@@ -331,14 +368,22 @@ class Encoder:
             for k, x in zip(where.tolist(), self.whole(texts.take(pa.array(where)).to_pylist())):
                 runs[k], lengths[k] = x, len(x)
             ids = np.concatenate(runs)
+        return lengths, ids
+
+    def ended(self, lengths: np.ndarray, ids: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if end is None:
             return lengths, ids
-        lengths += 1
+        lengths = lengths + 1
         out, inner = np.full(len(ids) + len(lengths), end, np.uint32), np.ones(len(ids) + len(lengths), bool)
         inner[np.cumsum(lengths) - 1] = False
         out[inner] = ids
         return lengths, out
 
+    def __call__(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All parts in one: the number of ids of each text, and all ids one after the other."""
+        lengths, runs = zip(*self.parts(texts, end))
+        return np.concatenate(lengths), np.concatenate(runs)
+
     def expanded(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces at ``at``, and where each piece's begin, with their number at the end."""
         sizes = self.size[at]
@@ -369,17 +414,19 @@ def _segments(path: str, end_id: int, segment: int):
         part, seq, docs, lengths, runs, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
-            payload = pack_segment(docs, np.concatenate(lengths), np.concatenate(runs))
+            ids = np.concatenate(runs)
+            runs.clear()
+            payload = pack_segment(docs, np.concatenate(lengths), ids)
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             values = [part, seq, len(docs), held, payload]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["part", "seq", "n_docs", "n_ids", "payload"])
 
         for batch in slices(batches, "text", 12 << 20):
-            n, ids = encoder(batch.column("text"), end_id)
             docs += batch.column("doc_id").to_pylist()
-            lengths.append(n)
-            runs.append(ids)
-            held += len(ids)
+            for n, ids in encoder.parts(batch.column("text"), end_id):
+                lengths.append(n)
+                runs.append(ids)
+                held += len(ids)
             if held >= segment:
                 yield flush()
                 seq, docs, lengths, runs, held = seq + 1, [], [], [], 0
@@ -409,7 +456,7 @@ def _documents(batches: Iterator) -> Iterator:
     for batch in batches:
         for row in range(batch.num_rows):
             segment = Segment(batch.column("payload")[row].as_buffer().to_pybytes())
-            ids = segment.ids().astype("<u4")
+            ids = segment.ids().astype("<u4", copy=False)
             ends = np.cumsum(segment.lengths.astype(np.int64))
             starts = ends - segment.lengths
             view = memoryview(ids).cast("B")
