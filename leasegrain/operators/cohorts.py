@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leasegrain.config import DRIFT_SENSITIVITY_PTS, SQFT_SUSPECT_SHARE
+from leasegrain.operators.curation import cohort_number
 from leasegrain.operators.spread import spread_join
 from leasegrain.operators.statistics import weighted_median
 
@@ -68,12 +69,27 @@ def bucket_of(value: Column, half_width_pct: float) -> Column:
     return F.when(value < -half, "below").when(value > half, "above").when(value.isNotNull(), "at")
 
 
+def beside_medians(requests: DataFrame, comps: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Requests once per cohort of their pull, with its median: ``_cohort, median_psf, basis``.
+
+    So a pair finds its median where request and comp meet.
+    """
+    years = comps.select("pull_ref", "cohort_year", cohort_number().alias("_cohort")).distinct()
+    medians = cohorts.select("request_id", "cohort_year", "median_psf", "basis")
+    return requests.join(years, "pull_ref").join(medians, ["request_id", "cohort_year"], "left").drop("cohort_year")
+
+
 def with_premiums(curated: DataFrame, cohorts: DataFrame, half_width_pct: float) -> DataFrame:
-    """Add ``premium``, ``premium_basis``, ``sqft_suspect`` and ``bucket``."""
-    reference = cohorts.select("request_id", "cohort_year", "median_psf", "basis")
+    """Add ``premium``, ``premium_basis``, ``sqft_suspect`` and ``bucket``.
+
+    Pairs whose request brought its medians (``beside_medians``) are not shuffled again.
+    """
+    referred = curated
+    if "median_psf" not in curated.columns:
+        reference = cohorts.select("request_id", "cohort_year", "median_psf", "basis")
+        referred = spread_join(curated, reference, ["request_id", "cohort_year"], by=["comp_key"], how="left")
     return (
-        spread_join(curated, reference, ["request_id", "cohort_year"], by=["comp_key"], how="left")
-        .withColumn("premium", premium(F.col("psf"), F.col("median_psf")))
+        referred.withColumn("premium", premium(F.col("psf"), F.col("median_psf")))
         .withColumn("premium_basis", F.when(F.col("premium").isNotNull(), F.col("basis")))
         .withColumn("sqft_suspect", sqft_suspect(F.col("premium")))
         .withColumn("bucket", bucket_of(F.col("premium"), half_width_pct))

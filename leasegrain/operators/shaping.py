@@ -18,7 +18,7 @@ from leasegrain.config import CONFIRMED_DAYS, DAYS_PER_MONTH, WITHDRAWAL_FLOOR_D
 from leasegrain.functions.address import SEPARATOR, has_text, names_something, with_comp_key
 from leasegrain.functions.dates import calendar_date, in_season, month_day
 from leasegrain.operators.spread import spread_join
-from leasegrain.session import staged
+from leasegrain.session import discard, staged
 
 UNIT = ["pull_ref", "group_key"]
 _OBSERVED = ["address", "unit", "lat", "lng", "beds", "baths", "sqft"]
@@ -116,15 +116,16 @@ def collapse(observed: DataFrame) -> DataFrame:
     copy = F.when(F.col("id").isNull(), F.col("own_key"))
     per_copy = (
         observed.withColumn("_anonymous", copy)
-        .groupBy("pull_ref", "id", "_anonymous", "listed")
+        # what tells rows apart fastest comes first: these groups are sorted
+        .groupBy("id", "listed", "pull_ref", "_anonymous")
         .agg(F.max(_best_observation()).alias("best"), F.min("own_key").alias("own_key"))
     )
     # at most one row per day and listing is left in each of these partitions
-    copies = Window.partitionBy("pull_ref", "id", "_anonymous")
+    copies = Window.partitionBy("id", "pull_ref", "_anonymous")
     return (
         per_copy.withColumn("group_key", F.min("own_key").over(copies))
         .where(F.col("listed").isNotNull())
-        .groupBy("pull_ref", "group_key", "listed")
+        .groupBy("group_key", "listed", "pull_ref")
         .agg(F.max("best").alias("best"))
         .select("pull_ref", "group_key", "listed", "best.removed", "best.price", *[f"best.{c}" for c in _OBSERVED])
     )
@@ -334,16 +335,19 @@ def shape(
 
     With ``keep`` (such as ``session.staged``) the judged chains are written
     once, and comps, summary and the chains left out are read from them; without
-    it each result that is used shapes the records for itself.
+    it each result that is used shapes the records for itself. The spells are
+    written on the way, so that the shuffles before them need not stay on disk
+    with those after.
     """
     # records without any address would all fall into one unit
     nameless = ~names_something(_stated_address()) & ~names_something(F.col("addressLine2"))
     observed = observations(with_identity(records.where(~nameless)))
-    spells = collapse(observed)
+    spells = collapse(observed) if keep is None else keep(collapse(observed), "spells")
     folded = fold_chains(stitch(spells, knobs.stitch_gap_days))
     counts = records.groupBy("pull_ref").agg(F.count(F.lit(1)).alias("rows"))
     judged = classify(flag_withdrawals(folded, knobs.withdrawal_suspect_months), pulls, knobs, counts)
     chains = judged if keep is None else keep(judged, "judged-chains")
+    discard(spells)
     sound = chains.where(F.col("effective_dom") >= 0)
     comps = with_final_keys(sound.where("in_window").drop("in_window"))
 

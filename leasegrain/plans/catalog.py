@@ -16,7 +16,7 @@ from leasegrain.config import GO_THRESHOLD, Knobs
 from leasegrain.functions.dates import calendar_date
 from leasegrain.operators import cohorts, coverage, curation, decisions, drift, planning, profile, refresh, shaping, statistics, validation, views
 from leasegrain.operators.cohorts import EDGES
-from leasegrain.session import shared_folder, staged
+from leasegrain.session import discard, shared_folder, staged
 from leasegrain.sources import bookkeeping, event_responses, order_listings, responses
 from leasegrain.sources.order_listings import Workbench, table
 from leasegrain.streaming import incremental
@@ -945,6 +945,7 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
         incremental.ingest(spark, root, bodies.where("_batch = 1").drop("_batch"), 1)
         incremental.compact(spark, root)
         incremental.ingest(spark, root, bodies.where("_batch <> 1").drop("_batch"), 2)
+        discard(bodies)
         return root
 
     return bench.once("store", fill)
@@ -1039,7 +1040,7 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/leasegrain-tables/decisions-{uuid.uuid4().hex}"
     decisions.log_decisions(made, path)
     logged = spark.read.parquet(path)
-    vacancies = shaping.with_comp_key(bench.shaped().chains, "address", "unit", "unit_key")
+    vacancies = shaping.with_comp_key(bench.shaped_once().chains, "address", "unit", "unit_key")
     return decisions.outcomes(logged, vacancies.select("pull_ref", "unit_key", "first_listed", "chain_end", "initial_ask", "cut_history"))
 
 
@@ -1143,7 +1144,8 @@ def dominant_in_small_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = Workbench(spark, sf_dir).scored()
     house = F.split_part("comp_key", F.lit(" "), F.lit(1)).cast("bigint")
     s = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint")
-    few = scored.withColumn("included", F.col("included") & (house % 50 == s % 50))
+    # the totals of all included comps are not those of these few
+    few = scored.drop("total_weight").withColumn("included", F.col("included") & (house % 50 == s % 50))
     shared = curation.contribution_shares(few).where("included")
     return shared.select("request_id", "comp_key", views.dominates(F.col("contribution_share")).alias("dominant"))
 

@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 from leasegrain.config import PIPELINE_VERSION, Knobs
 from leasegrain.operators import buckets, cohorts, curation, evidence, price_test
 from leasegrain.operators.coverage import hash_sums
+from leasegrain.operators.curation import CURATED_COMP
 from leasegrain.operators.shaping import with_row_dates
-from leasegrain.session import staged
+from leasegrain.session import discard, staged
 
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
+#: What the cohort medians and totals read of a pair.
+EVIDENCE_COLUMNS = ["request_id", "pull_ref", "cohort_year", "psf", "weight", "included"]
+#: What the results read of a scored pair; the request's other columns join from ``requests`` where they are needed.
+SCORED_COLUMNS = [
+    *["request_id", "pull_ref", "as_of", *CURATED_COMP, "cut_count", "drift_pct", "distance_mi"],
+    *["weight", "total_weight", "overridden", "state", "included"],
+    *["premium", "premium_basis", "sqft_suspect", "bucket"],
+]
+
 
 def lazy(df: DataFrame, label: str) -> DataFrame:
     """A ``keep`` that writes nothing."""
@@ -31,11 +41,22 @@ def score(
     knobs: Knobs = Knobs(),
     keep: Keep = staged,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored pairs of request and comp, cohort medians)."""
-    curated = keep(curation.curate(curation.pair(requests, comps), weights, overrides), "curated")
+    """(scored pairs of request and comp, cohort medians).
+
+    The pairs, by far the largest frame, are made from the comps and their marks where
+    they are needed and never shuffled: once narrow, for medians and totals, and once
+    whole, beside what their request brought of those.
+    """
+    marked = keep(curation.marked_comps(requests, comps, weights, overrides), "marked-comps")
+    curated = keep(curation.curate(curation.pair(requests, marked)).select(*EVIDENCE_COLUMNS), "curated")
     medians = keep(cohorts.cohort_medians(curated, comps, knobs.min_cohort_size), "cohorts")
-    scored = cohorts.with_premiums(curated, medians, knobs.bucket_half_width_pct)
-    return keep(scored, "scored"), medians
+    asking = curation.in_blocks(requests).join(curation.total_weights(curated), "request_id", "left")
+    asking = cohorts.beside_medians(asking, marked, medians)
+    scored = cohorts.with_premiums(curation.curate(curation.pair(asking, marked)), medians, knobs.bucket_half_width_pct)
+    kept = keep(scored.select(*SCORED_COLUMNS), "scored")
+    for done in (marked, curated):
+        discard(done)
+    return kept, medians
 
 
 def derive(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,7 @@ def local_session(cores: int | str = "*", name: str = "leasegrain", **conf: str)
 
 
 _own_folder: dict[str, str] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +52,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go as soon as each is done.
+
+    Otherwise they stay until the driver happens to collect its garbage, so that
+    a job of many tables holds the shuffles of all of them on disk.
+    """
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_REMOVE_SHUFFLES) if before is None else spark.conf.set(_REMOVE_SHUFFLES, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -57,5 +79,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/leasegrain-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``staged`` wrote, once no frame that is still to run reads it.
+
+    Any other frame stays as it is.
+    """
+    path = _path_of.pop(table, None)
+    if path is not None:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -192,13 +192,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked_pairs(requests: DataFrame, comps: DataFrame) -> DataFrame:
-    mark = F.split_part("comp_key", F.lit(" "), F.lit(1)).cast("bigint") + F.split_part(
-        "request_id", F.lit("-"), F.lit(2)
-    ).cast("bigint")
+    """Each comp's house number plus the request's number as ``mark``.
+
+    Both are read out of their text before the rows multiply; text that is no
+    number fails as it would in the pairs, and only where there is a pair.
+    """
+    house = F.split_part("comp_key", F.lit(" "), F.lit(1))
+    number = F.split_part("request_id", F.lit("-"), F.lit(2))
+    mark = F.coalesce("_house", house.cast("bigint")) + F.coalesce("_number", number.cast("bigint"))
     return (
-        requests.select("request_id", "pull_ref")
-        .join(comps.select("pull_ref", "comp_key"), "pull_ref")
+        requests.select("request_id", "pull_ref", number.try_cast("bigint").alias("_number"))
+        .join(comps.select("pull_ref", "comp_key", house.try_cast("bigint").alias("_house")), "pull_ref")
         .withColumn("mark", mark)
+        .drop("_house", "_number")
     )
 
 
@@ -252,9 +258,13 @@ class Workbench:
     def shaped(self) -> Shaped:
         return shape(self.records(), self.pulls())
 
+    def shaped_once(self) -> Shaped:
+        """The same with its chains written, for what reads more than one result."""
+        return self.once("shaped", lambda: shape(self.records(), self.pulls(), keep=staged))
+
     def comps(self) -> DataFrame:
         """The comps table: the shaping job's output, read by all that follows."""
-        return self.once("comps", lambda: staged(self.shaped().comps, "comps"))
+        return self.once("comps", lambda: staged(self.shaped_once().comps, "comps"))
 
     def requests(self) -> DataFrame:
         return requests(self.spark, self.sf_dir)
@@ -280,6 +290,6 @@ class Workbench:
         return self.once(
             "derived",
             lambda: results(
-                scored, medians, self.requests(), self.comps(), summary=self.shaped().summary
+                scored, medians, self.requests(), self.comps(), summary=self.shaped_once().summary
             ),
         )
